@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as white space and as a line break in the text formats.
+# The white-space characters a text is trimmed of, and the line breaks.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
+    chr(code) for code in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
+BREAKS = r"\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}"
 
 
 def strip(text: Column) -> Column:
-    """Trim every Unicode white-space character; plain ``trim`` only knows the blank."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Trim every Unicode white-space character; plain ``trim`` only knows the blank.
+
+    Looks at both ends only, unlike a regular expression, which would walk the whole text.
+    """
+    return F.btrim(text, F.lit(WHITE))
 
 
 def is_blank(text: Column) -> Column:
-    return ~F.coalesce(F.regexp_like(text, F.lit(NOT_SPACE)), F.lit(False))
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK)
+    """Lines of a text. A two-character break makes one more empty line, which no reader keeps."""
+    return F.split(text, f"[{BREAKS}]")
 
 
 def normalised(text: Column) -> Column:
@@ -46,9 +53,7 @@ def bullets(text: Column) -> Column:
 
 def header(block: Column, label: str) -> Column:
     """Value of the first ``Label:`` line, or an empty text."""
-    marked = F.filter(lines(block), lambda line: F.startswith(strip(line), F.lit(f"{label}:")))
-    value = F.regexp_extract(F.get(marked, F.lit(0)), r"(?s)^[^:]*:(.*)$", 1)
-    return F.coalesce(strip(value), F.lit(""))
+    return strip(F.regexp_extract(block, rf"(?:\A|[{BREAKS}]){SPACE}*{label}:([^{BREAKS}]*)", 1))
 
 
 def body_bullets(block: Column) -> Column:

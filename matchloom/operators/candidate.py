@@ -100,9 +100,11 @@ def with_match_texts(candidates: DataFrame) -> DataFrame:
         F.col("experiences"), F.col("projects"), F.col("skills"), F.col("industry_tags"), F.col("strengths")
     )
     guard_lines = tx.spaced(F.col("experiences"), F.col("projects"), F.col("skills"), F.col("strengths"))
-    return (
-        candidates.withColumn("rule_text", tx.normalised(rule_lines))
-        .withColumn("gap_text", tx.normalised(gap_lines))
-        .withColumn("claim_text", F.lower(gap_lines))
-        .withColumn("guard_text", F.lower(guard_lines))
+    return candidates.withColumns(
+        {
+            "rule_text": tx.normalised(rule_lines),
+            "gap_text": tx.normalised(gap_lines),
+            "claim_text": F.lower(gap_lines),
+            "guard_text": F.lower(guard_lines),
+        }
     )

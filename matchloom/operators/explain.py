@@ -62,32 +62,23 @@ def with_explanation(evaluations: DataFrame) -> DataFrame:
     """Add the explanation columns to evaluated pairs."""
     col = F.col
     cited = col("assessed") & (F.size("evidence_citations") > 0)
-    return (
-        evaluations.withColumn("decision_summary", summary_text())
-        .withColumn(
-            "dimension_reasons",
-            reasons(
-                fit=labelled(rule_fit=col("fit_score"), llm_role_fit=col("llm_role_fit_score")),
-                ats=labelled(keyword_coverage=col("keyword_coverage")),
-                evidence=labelled(rule_evidence=col("evidence_binding"), llm_evidence=col("llm_evidence_score")),
-                stretch=labelled(stretch=col("stretch_score")),
-                gap_risk=labelled(gap_risk=col("gap_risk_score")),
-                rewrite_cost=labelled(rewrite_cost=col("rewrite_cost_score")),
-                overall=col("decision_summary"),
-            ),
-        )
-        .withColumn(
-            "positive_signals",
-            F.array(
-                labelled(final_score=ranking_score()),
-                F.concat(F.lit("decision_source="), col("final_decision_source")),
-            ),
-        )
-        .withColumn("risk_flags", tx.or_default(col("guardrail_flags"), tx.head(col("untraceable_claim_flags"), 2)))
-        .withColumn(
-            "evidence_refs",
-            F.when(cited, col("evidence_citations")).otherwise(tx.head(matched_evidence(), 3)),
-        )
+    dimension_reasons = reasons(
+        fit=labelled(rule_fit=col("fit_score"), llm_role_fit=col("llm_role_fit_score")),
+        ats=labelled(keyword_coverage=col("keyword_coverage")),
+        evidence=labelled(rule_evidence=col("evidence_binding"), llm_evidence=col("llm_evidence_score")),
+        stretch=labelled(stretch=col("stretch_score")),
+        gap_risk=labelled(gap_risk=col("gap_risk_score")),
+        rewrite_cost=labelled(rewrite_cost=col("rewrite_cost_score")),
+        overall=col("decision_summary"),
+    )
+    source = F.concat(F.lit("decision_source="), col("final_decision_source"))
+    return evaluations.withColumn("decision_summary", summary_text()).withColumns(
+        {
+            "dimension_reasons": dimension_reasons,
+            "positive_signals": F.array(labelled(final_score=ranking_score()), source),
+            "risk_flags": tx.or_default(col("guardrail_flags"), tx.head(col("untraceable_claim_flags"), 2)),
+            "evidence_refs": F.when(cited, col("evidence_citations")).otherwise(tx.head(matched_evidence(), 3)),
+        }
     )
 
 

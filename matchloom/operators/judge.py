@@ -73,39 +73,31 @@ def with_assessment(pairs: DataFrame, provider: str = DETERMINISTIC, model: str
     role_fit = F.col("role_fit")
     verified = F.size("verified_evidence") > 0
     specific = F.col("variant_type") == JD_SPECIFIC
-    judged = (
-        pairs.withColumn("role_fit", lifted)
-        .withColumn(
-            "evidence_quality",
-            F.when(verified, EVIDENCE_QUALITY["verified"]).otherwise(F.lit(EVIDENCE_QUALITY["unverified"])),
-        )
-        .withColumn(
-            "persuasiveness",
-            F.when(specific, PERSUASIVENESS["jd-specific"]).otherwise(F.lit(PERSUASIVENESS["other"])),
-        )
-        .withColumn("interview_pressure_risk", sc.round2(F.greatest(F.lit(0.0), 1 - role_fit)))
-        .withColumn(
-            "application_worthiness",
-            F.when(role_fit >= STRONG_FROM, F.lit(STRONG_APPLY))
-            .when(role_fit >= APPLY_FROM, F.lit(APPLY))
-            .otherwise(F.lit(HOLD)),
-        )
+    quality = F.when(verified, EVIDENCE_QUALITY["verified"]).otherwise(F.lit(EVIDENCE_QUALITY["unverified"]))
+    appeal = F.when(specific, PERSUASIVENESS["jd-specific"]).otherwise(F.lit(PERSUASIVENESS["other"]))
+    rationale = F.concat(
+        F.lit("Deterministic LLM-assessment fallback based on rule score "),
+        sc.two_places(F.col("overall_score")),
+        F.lit("."),
     )
-    held = F.col("application_worthiness") == HOLD
-    return (
-        judged.withColumn("must_fix_issues", F.when(held, tx.texts(HOLD_ISSUE)).otherwise(tx.no_texts()))
-        .withColumn("evidence_citations", tx.head(F.col("verified_evidence"), 3))
-        .withColumn("rewrite_opportunities", tx.head(F.col("stretch_points"), 2))
-        .withColumn(
-            "decision_rationale",
-            F.concat(
-                F.lit("Deterministic LLM-assessment fallback based on rule score "),
-                sc.two_places(F.col("overall_score")),
-                F.lit("."),
-            ),
-        )
-        .withColumn("assessment_provider", F.lit(provider))
-        .withColumn("assessment_model", F.lit(model))
+    worthiness = (
+        F.when(role_fit >= STRONG_FROM, F.lit(STRONG_APPLY))
+        .when(role_fit >= APPLY_FROM, F.lit(APPLY))
+        .otherwise(F.lit(HOLD))
+    )
+    return pairs.withColumn("role_fit", lifted).withColumns(
+        {
+            "evidence_quality": quality,
+            "persuasiveness": appeal,
+            "interview_pressure_risk": sc.round2(F.greatest(F.lit(0.0), 1 - role_fit)),
+            "application_worthiness": worthiness,
+            "must_fix_issues": F.when(role_fit < APPLY_FROM, tx.texts(HOLD_ISSUE)).otherwise(tx.no_texts()),
+            "evidence_citations": tx.head(F.col("verified_evidence"), 3),
+            "rewrite_opportunities": tx.head(F.col("stretch_points"), 2),
+            "decision_rationale": rationale,
+            "assessment_provider": F.lit(provider),
+            "assessment_model": F.lit(model),
+        }
     )
 
 
@@ -144,9 +136,11 @@ def settle_assessments(pairs: DataFrame) -> DataFrame:
     called = F.col("error_type").isNull()
     checked = pairs.withColumn("assessed", called & assessment_usable())
     rejected = called & ~F.col("assessed")
-    return (
-        checked.withColumn("error_message", F.when(rejected, F.lit(INVALID_MESSAGE)).otherwise(F.col("error_message")))
-        .withColumn("error_type", F.when(rejected, F.lit(INVALID_TYPE)).otherwise(F.col("error_type")))
+    return checked.withColumns(
+        {
+            "error_message": F.when(rejected, F.lit(INVALID_MESSAGE)).otherwise(F.col("error_message")),
+            "error_type": F.when(rejected, F.lit(INVALID_TYPE)).otherwise(F.col("error_type")),
+        }
     )
 
 
@@ -160,21 +154,20 @@ def with_final_score(pairs: DataFrame, provider: str = DETERMINISTIC, model: str
     assessed = F.col("assessed")
     weak_binding = F.col("evidence_binding") < BINDING_MINIMUM
     over_confident = (F.col("application_worthiness") == STRONG_APPLY) & must_haves_missing()
-    flagged = pairs.withColumn(
-        "guardrail_flags",
-        F.when(
-            assessed,
-            F.array_compact(
-                F.array(
-                    F.when(assessment_incomplete(), F.lit(FLAG_INCOMPLETE)),
-                    F.when(weak_binding, F.lit(FLAG_EVIDENCE)),
-                    F.when(F.size("untraceable_claim_flags") > 0, F.lit(FLAG_CLAIMS)),
-                    F.when(over_confident, F.lit(FLAG_MUST_HAVE)),
-                )
-            ),
-        ).otherwise(tx.texts(FLAG_MISSING)),
+    raised = F.array_compact(
+        F.array(
+            F.when(assessment_incomplete(), F.lit(FLAG_INCOMPLETE)),
+            F.when(weak_binding, F.lit(FLAG_EVIDENCE)),
+            F.when(F.size("untraceable_claim_flags") > 0, F.lit(FLAG_CLAIMS)),
+            F.when(over_confident, F.lit(FLAG_MUST_HAVE)),
+        )
+    )
+    judged = pairs.withColumns(
+        {
+            "guardrail_flags": F.when(assessed, raised).otherwise(tx.texts(FLAG_MISSING)),
+            "llm_overall_score": F.when(assessed, judge_overall()).otherwise(F.lit(0.0)),
+        }
     )
-    judged = flagged.withColumn("llm_overall_score", F.when(assessed, judge_overall()).otherwise(F.lit(0.0)))
 
     def capped(score: Column, flag: str, cap: float) -> Column:
         return F.when(F.array_contains("guardrail_flags", flag), F.least(score, F.lit(cap))).otherwise(score)
@@ -189,23 +182,23 @@ def with_final_score(pairs: DataFrame, provider: str = DETERMINISTIC, model: str
             F.lit(fallback)
         )
 
-    return (
-        judged.withColumn("ranking_version", F.lit(RANKING_VERSION))
-        .withColumn("llm_role_fit_score", judge_column("role_fit"))
-        .withColumn("llm_evidence_score", judge_column("evidence_quality"))
-        .withColumn("llm_persuasion_score", judge_column("persuasiveness"))
-        .withColumn("llm_risk_score", judge_column("interview_pressure_risk"))
-        .withColumn(
-            "final_overall_score", F.when(assessed, sc.round2(capped_score)).otherwise(F.col("overall_score"))
-        )
-        .withColumn(
-            "final_decision_source",
-            F.when(~assessed, F.lit(FROM_FALLBACK))
-            .when(F.size("guardrail_flags") > 0, F.lit(FROM_GUARDRAIL))
-            .otherwise(F.lit(FROM_JUDGE)),
-        )
-        .withColumn("provider", named("assessment_provider", provider))
-        .withColumn("model", named("assessment_model", model))
+    source = (
+        F.when(~assessed, F.lit(FROM_FALLBACK))
+        .when(F.size("guardrail_flags") > 0, F.lit(FROM_GUARDRAIL))
+        .otherwise(F.lit(FROM_JUDGE))
+    )
+    return judged.withColumns(
+        {
+            "ranking_version": F.lit(RANKING_VERSION),
+            "llm_role_fit_score": judge_column("role_fit"),
+            "llm_evidence_score": judge_column("evidence_quality"),
+            "llm_persuasion_score": judge_column("persuasiveness"),
+            "llm_risk_score": judge_column("interview_pressure_risk"),
+            "final_overall_score": F.when(assessed, sc.round2(capped_score)).otherwise(F.col("overall_score")),
+            "final_decision_source": source,
+            "provider": named("assessment_provider", provider),
+            "model": named("assessment_model", model),
+        }
     )
 
 

@@ -9,7 +9,13 @@ from matchloom.session import durable
 
 
 def running_total(
-    rows: DataFrame, group: list[str], key: list[str], order: list[Column], value: Column, name: str
+    rows: DataFrame,
+    group: list[str],
+    key: list[str],
+    order: list[Column],
+    value: Column,
+    name: str,
+    carry: bool = False,
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the group up to and including the row.
 
@@ -18,15 +24,16 @@ def running_total(
     gets the total of the group's earlier slices added. A slice border lies inside at most one
     group, so there are fewer of these offsets than slices and they are safe to broadcast.
 
-    Only the keys and the value take that route; the wide row is joined back on (group, key).
     ``key`` names the columns that identify a row within its group, ``order`` must not tie.
+    By default only the keys and the value take that route and the wide row is joined back;
+    ``carry`` takes the whole row along, for rows that cost more to compute again than to move.
     """
-    keys = [F.col(column) for column in group]
     sort_columns = [F.col(f"_order{index}") for index in range(len(order))]
-    narrow = rows.select(
-        *group, *key, value.cast("long").alias("_value"), *[c.alias(f"_order{i}") for i, c in enumerate(order)]
-    )
-    sliced = narrow.repartitionByRange(*keys, *sort_columns)
+    helpers = [value.cast("long").alias("_value"), *[c.alias(f"_order{i}") for i, c in enumerate(order)]]
+    routed = rows.select("*" if carry else F.struct(*group, *key).alias("_keys"), *helpers)
+    if not carry:
+        routed = routed.select("_keys.*", "_value", *sort_columns)
+    sliced = routed.repartitionByRange(*group, *sort_columns)
     sliced = durable(sliced.withColumn("_slice", F.spark_partition_id()))
 
     totals = sliced.groupBy(*group, "_slice").agg(F.sum("_value").alias("_total"))
@@ -38,20 +45,18 @@ def running_total(
 
     inside = Window.partitionBy("_slice", *group).orderBy(*sort_columns).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_value").over(inside) + F.coalesce(F.col("_offset"), F.lit(0))
+    kept = rows.columns if carry else [*group, *key]
     placed = sliced.join(F.broadcast(offsets), [*group, "_slice"], "left").select(
-        *group, *key, total.cast("long").alias(name)
+        *kept, total.cast("long").alias(name)
     )
-    return rows.join(placed, [*group, *key])
-
+    return placed if carry else rows.join(placed, [*group, *key])
 
-def descending(score: Column) -> Column:
-    """Sort column for a score that ranks from high to low."""
-    return -score
 
-
-def numbered(rows: DataFrame, group: list[str], key: list[str], order: list[Column], name: str) -> DataFrame:
+def numbered(
+    rows: DataFrame, group: list[str], key: list[str], order: list[Column], name: str, carry: bool = False
+) -> DataFrame:
     """Add ``name``: the 1-based position within the group; ``order`` must not tie."""
-    return running_total(rows, group, key, order, F.lit(1), name)
+    return running_total(rows, group, key, order, F.lit(1), name, carry)
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -97,16 +97,19 @@ def risk_signals(lowered: Column) -> Column:
 
 def jd_profiles(blocks_df: DataFrame, lexicon: list[tuple[str, str]] | Column = KEYWORD_LEXICON) -> DataFrame:
     """Profiles out of numbered blocks: a row-wise projection, no shuffle."""
-    parsed = (
-        blocks_df.withColumn("title", tx.header(F.col("block"), "Title"))
-        .withColumn("company", tx.header(F.col("block"), "Company"))
-        .withColumn("responsibilities", tx.body_bullets(F.col("block")))
-        .withColumn("_lowered", F.lower(tx.spaced(F.col("responsibilities"))))
-    )
-    derived = (
-        parsed.withColumn("keywords", keywords(F.col("_lowered"), lexicon))
-        .withColumn("bonuses", bonuses(F.col("responsibilities")))
-        .withColumn("risk_signals", risk_signals(F.col("_lowered")))
+    parsed = blocks_df.withColumns(
+        {
+            "title": tx.header(F.col("block"), "Title"),
+            "company": tx.header(F.col("block"), "Company"),
+            "responsibilities": tx.body_bullets(F.col("block")),
+        }
+    ).withColumn("_lowered", F.lower(tx.spaced(F.col("responsibilities"))))
+    derived = parsed.withColumns(
+        {
+            "keywords": keywords(F.col("_lowered"), lexicon),
+            "bonuses": bonuses(F.col("responsibilities")),
+            "risk_signals": risk_signals(F.col("_lowered")),
+        }
     )
     body = F.col("responsibilities")
     return derived.select(

@@ -48,7 +48,7 @@ def priority_ranks(best: DataFrame) -> DataFrame:
     """Rank the best rows of a run from high to low; ties keep the input order."""
     key = F.col("ranking_key")
     order = [-key["final"], -key["fit"], -key["evidence"], -key["risk"], F.col("first_index")]
-    return numbered(best, ["run_id"], ["jd_id"], order, "priority_rank")
+    return numbered(best, ["run_id"], ["jd_id"], order, "priority_rank", carry=True)
 
 
 def gap_maps(jds: DataFrame, candidates: DataFrame, evaluations: DataFrame) -> DataFrame:

@@ -57,15 +57,18 @@ def evidence_columns(pairs: DataFrame) -> DataFrame:
         return ~F.contains(in_candidate, needle) & ~F.contains(F.col("jd_text"), needle)
 
     keywords, strengths, points = F.col("keywords"), F.col("emphasized_strengths"), F.col("stretch_points")
-    return (
-        pairs.withColumn("keyword_hits", F.filter(keywords, covered))
-        .withColumn("keyword_coverage", sc.ratio(F.size("keyword_hits"), F.size(keywords)))
-        .withColumn("evidence_binding", sc.ratio(F.size(F.filter(strengths, bound)), F.size(strengths)))
-        .withColumn("untraceable_claim_flags", F.filter(points, untraceable))
-        .withColumn(
-            "flag_ratio",
-            sc.ratio(F.size("untraceable_claim_flags"), F.greatest(F.lit(1), F.size(points))),
-        )
+    found = pairs.withColumns(
+        {
+            "keyword_hits": F.filter(keywords, covered),
+            "evidence_binding": sc.ratio(F.size(F.filter(strengths, bound)), F.size(strengths)),
+            "untraceable_claim_flags": F.filter(points, untraceable),
+        }
+    )
+    return found.withColumns(
+        {
+            "keyword_coverage": sc.ratio(F.size("keyword_hits"), F.size(keywords)),
+            "flag_ratio": sc.ratio(F.size("untraceable_claim_flags"), F.greatest(F.lit(1), F.size(points))),
+        }
     )
 
 
@@ -81,19 +84,19 @@ def score_columns(pairs: DataFrame) -> DataFrame:
         + (1 - binding) * F.lit(GAP_RISK_WEIGHTS["evidence"])
         + flags * F.lit(GAP_RISK_WEIGHTS["flags"])
     )
-    cost = 1 - F.col("cluster_reuse_efficiency") + F.col("rewrite_distance") * F.lit(REWRITE_DISTANCE_WEIGHT)
-    scored = (
-        pairs.withColumn("rewrite_distance", by_variant_type(REWRITE_DISTANCE))
-        .withColumn("cluster_reuse_efficiency", by_variant_type(CLUSTER_REUSE))
-        .withColumn(
-            "fit_score",
-            sc.bounded(coverage * F.lit(FIT_WEIGHTS["keywords"]) + binding * F.lit(FIT_WEIGHTS["evidence"])),
-        )
-        .withColumn("ats_score", sc.bounded(coverage))
-        .withColumn("evidence_score", sc.bounded(binding))
-        .withColumn("stretch_score", sc.bounded(F.greatest(F.lit(STRETCH_FLOOR), F.lit(STRETCH_BASE) - flags)))
-        .withColumn("gap_risk_score", sc.bounded(F.least(F.lit(GAP_RISK_CEILING), risk)))
-        .withColumn("rewrite_cost_score", sc.bounded(cost))
+    fit = coverage * F.lit(FIT_WEIGHTS["keywords"]) + binding * F.lit(FIT_WEIGHTS["evidence"])
+    distance, reuse = by_variant_type(REWRITE_DISTANCE), by_variant_type(CLUSTER_REUSE)
+    scored = pairs.withColumns(
+        {
+            "rewrite_distance": distance,
+            "cluster_reuse_efficiency": reuse,
+            "fit_score": sc.bounded(fit),
+            "ats_score": sc.bounded(coverage),
+            "evidence_score": sc.bounded(binding),
+            "stretch_score": sc.bounded(F.greatest(F.lit(STRETCH_FLOOR), F.lit(STRETCH_BASE) - flags)),
+            "gap_risk_score": sc.bounded(F.least(F.lit(GAP_RISK_CEILING), risk)),
+            "rewrite_cost_score": sc.bounded(1 - reuse + distance * F.lit(REWRITE_DISTANCE_WEIGHT)),
+        }
     )
     weight = OVERALL_WEIGHTS
     total = (

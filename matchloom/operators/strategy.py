@@ -52,37 +52,27 @@ def planned(ranked: DataFrame) -> DataFrame:
     score = ranking_score()
     assessed = F.col("assessed")
     missing = F.col("missing_evidence_areas")
-    return (
-        ranked.withColumn("recommended_variant_id", F.col("variant_id"))
-        .withColumn("apply_decision", F.when(score >= APPLY_FROM, F.lit("apply")).otherwise(F.lit("hold")))
-        .withColumn("reason_summary", reason_summary())
-        .withColumn("needs_jd_specific_variant", F.col("variant_type") == JD_SPECIFIC)
-        .withColumn(
-            "decision_drivers",
-            F.array(
-                F.concat(F.lit("Final score "), sc.two_places(score)),
-                F.concat(F.lit("Variant type: "), F.col("variant_type")),
-            ),
-        )
-        .withColumn("watchouts", tx.or_default(F.col("guardrail_flags"), tx.head(missing, 2)))
-        .withColumn(
-            "recommended_actions",
-            F.when(assessed, tx.head(F.col("rewrite_opportunities"), 2)).otherwise(tx.texts(FALLBACK_ACTION)),
-        )
-        .withColumn("catch_up_notes", tx.or_default(tx.head(missing, 2), tx.texts(NO_NOTES)))
-        .withColumn(
-            "decision_confidence",
-            sc.round2(
-                F.least(
-                    F.lit(CONFIDENCE_HIGH), F.greatest(F.lit(CONFIDENCE_LOW), score + F.lit(CONFIDENCE_LIFT))
-                )
+    confidence = F.least(F.lit(CONFIDENCE_HIGH), F.greatest(F.lit(CONFIDENCE_LOW), score + F.lit(CONFIDENCE_LIFT)))
+    drivers = F.array(
+        F.concat(F.lit("Final score "), sc.two_places(score)),
+        F.concat(F.lit("Variant type: "), F.col("variant_type")),
+    )
+    return ranked.withColumns(
+        {
+            "recommended_variant_id": F.col("variant_id"),
+            "apply_decision": F.when(score >= APPLY_FROM, F.lit("apply")).otherwise(F.lit("hold")),
+            "reason_summary": reason_summary(),
+            "needs_jd_specific_variant": F.col("variant_type") == JD_SPECIFIC,
+            "decision_drivers": drivers,
+            "watchouts": tx.or_default(F.col("guardrail_flags"), tx.head(missing, 2)),
+            "recommended_actions": F.when(assessed, tx.head(F.col("rewrite_opportunities"), 2)).otherwise(
+                tx.texts(FALLBACK_ACTION)
             ),
-        )
-        .withColumn("interview_prep_points", tx.head(F.col("interview_focus_areas"), 3))
-        .withColumn(
-            "resume_revision_tasks",
-            F.when(assessed, tx.head(F.col("must_fix_issues"), 3)).otherwise(tx.no_texts()),
-        )
+            "catch_up_notes": tx.or_default(tx.head(missing, 2), tx.texts(NO_NOTES)),
+            "decision_confidence": sc.round2(confidence),
+            "interview_prep_points": tx.head(F.col("interview_focus_areas"), 3),
+            "resume_revision_tasks": F.when(assessed, tx.head(F.col("must_fix_issues"), 3)).otherwise(tx.no_texts()),
+        }
     )
 
 
@@ -90,15 +80,10 @@ def backfilled(strategies: DataFrame) -> DataFrame:
     """Fill list columns the planner left empty; needs explanation, flag and document columns."""
     signals = tx.head(F.col("positive_signals"), 3)
     drivers = tx.or_default(signals, F.array(F.col("dimension_reasons")["overall"]))
-    return (
-        strategies.withColumn("decision_drivers", tx.or_default(F.col("decision_drivers"), drivers))
-        .withColumn(
-            "watchouts",
-            tx.or_default(F.col("watchouts"), tx.or_default(F.col("guardrail_flags"), tx.texts(NO_WATCHOUTS))),
-        )
-        .withColumn("recommended_actions", tx.or_default(F.col("recommended_actions"), tx.texts(DEFAULT_ACTION)))
-        .withColumn(
-            "interview_prep_points",
-            tx.or_default(F.col("interview_prep_points"), tx.head(F.col("interview_focus_areas"), 3)),
-        )
-    )
+    fallbacks = {
+        "decision_drivers": drivers,
+        "watchouts": tx.or_default(F.col("guardrail_flags"), tx.texts(NO_WATCHOUTS)),
+        "recommended_actions": tx.texts(DEFAULT_ACTION),
+        "interview_prep_points": tx.head(F.col("interview_focus_areas"), 3),
+    }
+    return strategies.withColumns({name: tx.or_default(F.col(name), value) for name, value in fallbacks.items()})

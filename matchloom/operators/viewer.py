@@ -61,7 +61,7 @@ def run_list(runs: DataFrame) -> DataFrame:
     """Runs with a ``position`` from the latest change to the earliest, ties by run id."""
     everywhere = runs.withColumn("_all", F.lit(0))
     order = [-F.unix_micros("last_modified"), F.col("run_id")]
-    return numbered(everywhere, ["_all"], ["run_id"], order, "position").drop("_all")
+    return numbered(everywhere, ["_all"], ["run_id"], order, "position", carry=True).drop("_all")
 
 
 def run_totals(runs: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def priority_matrix(tops: DataFrame, scorecards: DataFrame, explanations: DataFr
         strategies.select("run_id", "jd_id", "apply_decision", "priority_rank"), ["run_id", "jd_id"], "priority_rank"
     )
     joined = tops.join(cards, pair, "left").join(notes, pair, "left").join(plans, ["run_id", "jd_id"], "left")
-    placed = numbered(joined, ["run_id"], ["jd_index"], [-F.col("score"), F.col("jd_index")], "position")
+    placed = numbered(joined, ["run_id"], ["jd_index"], [-F.col("score"), F.col("jd_index")], "position", carry=True)
     return placed.withColumn("score_percent", sc.percent(F.col("score"))).withColumn(
         "signals", tx.or_default(F.coalesce("positive_signals", tx.no_texts()), F.col("top_reasons"))
     )

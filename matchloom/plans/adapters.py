@@ -19,8 +19,36 @@ LEXICON_TOKEN = 4
 PROJECT_WORDS = ("tion", "heit")
 
 
+# Declared, so that opening a table starts no job to look into its files.
+SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "benchmark": "item_id BIGINT, text STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores if the input is too small for its file splits to do that.
+
+    Row-wise text work on a table of one row group would run in one task. A large input has
+    splits enough and is left as it is, so nothing is shuffled there.
+    """
+    session = rows.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    split = int(session.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores, key) if int(str(size)) < cores * split else rows
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def lexicon(spark: SparkSession, folder: str) -> Column:
@@ -62,7 +90,7 @@ def jd_inputs(spark: SparkSession, folder: str) -> DataFrame:
     blocks = F.transform(
         F.split("text", "\n"), lambda line: F.concat(F.lit(parse.BLOCK_MARK + "\n"), as_block(line, F.col("source")))
     )
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("lang").alias("run_id"),
         F.col("doc_id").alias("input_ord"),
         F.lit("file").alias("source_type"),
@@ -73,7 +101,7 @@ def jd_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
 def jd_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """One block per document, numbered by the document itself."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         (F.col("doc_id") % run_count(spark, folder)).alias("run_id"),
         F.col("doc_id").alias("jd_index"),
         F.format_string("jd-%d", "doc_id").alias("jd_id"),

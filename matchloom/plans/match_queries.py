@@ -15,15 +15,17 @@ from matchloom.session import durable
 
 
 def made_variants(spark: SparkSession, folder: str) -> DataFrame:
-    return ad.resume_variants(
-        ad.jd_profiles(spark, folder), ad.candidates(spark, folder), ad.run_count(spark, folder)
-    )
+    return inputs(spark, folder)[2]
+
+
+def inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, candidates and variants."""
+    documents, people = ad.jd_profiles(spark, folder), ad.candidates(spark, folder)
+    return documents, people, ad.resume_variants(documents, people, ad.run_count(spark, folder))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return stages.scored_pairs(
-        ad.jd_profiles(spark, folder), ad.candidates(spark, folder), made_variants(spark, folder)
-    )
+    return stages.scored_pairs(*inputs(spark, folder))
 
 
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,7 +258,8 @@ def evaluate_counts(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def gap_map_best(spark: SparkSession, folder: str) -> DataFrame:
-    gaps = ranking.gap_maps(ad.jd_profiles(spark, folder), ad.candidates(spark, folder), scored(spark, folder))
+    documents, people, made = inputs(spark, folder)
+    gaps = ranking.gap_maps(documents, people, stages.scored_pairs(documents, people, made))
     concepts = F.get("items", F.lit(0))["catch_up_concepts"]
     return gaps.select(
         "run_id",

@@ -161,7 +161,7 @@ def jd_fixed_keywords(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     for syllable, word in (("the", "ranking"), ("tion", "metrics"), ("ou", "llm")):
         text = F.replace(text, F.lit(syllable), F.lit(word))
-    return ad.table(spark, folder, "documents").select(
+    return ad.documents(spark, folder).select(
         "doc_id", shown(parse.keywords(F.lower(text))).alias("keywords")
     )
 
@@ -175,7 +175,7 @@ def jd_fixed_keywords(spark: SparkSession, folder: str) -> DataFrame:
 def jd_bonuses(spark: SparkSession, folder: str) -> DataFrame:
     """Bonus lines; sentences that open with an article stand in for them."""
     text = F.replace(F.col("text"), F.lit("The "), F.lit("Bonus for "))
-    found = ad.table(spark, folder, "documents").select(
+    found = ad.documents(spark, folder).select(
         "doc_id", parse.bonuses(tx.bullets(ad.as_bullets(text))).alias("b")
     )
     return found.select(
@@ -203,7 +203,7 @@ RISK_TEXT = "replace(replace(text, 'erth', 'metrics'), 'onth', 'prompt')"
 def risk_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Risk signals; two syllables stand in for the words that raise them."""
     text = F.replace(F.replace("text", F.lit("erth"), F.lit("metrics")), F.lit("onth"), F.lit("prompt"))
-    found = ad.table(spark, folder, "documents").select(
+    found = ad.documents(spark, folder).select(
         "doc_id", parse.risk_signals(F.lower(text)).alias("signals")
     )
     hidden = F.filter("signals", lambda signal: F.contains(F.lower(signal), F.lit("metrics")))
@@ -237,7 +237,7 @@ def evidence_map(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered("normalize_text", f"SELECT doc_id, {sql.norm('text')} AS normalised FROM documents")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
-    return ad.table(spark, folder, "documents").select("doc_id", tx.normalised(F.col("text")).alias("normalised"))
+    return ad.documents(spark, folder).select("doc_id", tx.normalised(F.col("text")).alias("normalised"))
 
 
 PROPS_SCORE = "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50"
