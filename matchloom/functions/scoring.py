@@ -17,7 +17,8 @@ def round2(value: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    # least and greatest skip nulls, so a missing value would come out as the upper bound.
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def bounded(value: Column) -> Column:

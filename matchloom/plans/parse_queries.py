@@ -245,8 +245,9 @@ PROPS_SCORE = "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50"
 
 @registered(
     "safe_score",
-    f"""SELECT event_id, coalesce({sql.r2(f'greatest(0e0, least(1e0, {PROPS_SCORE}))')}, 0e0) AS score,
-    coalesce({sql.r2("greatest(0e0, least(1e0, TRY_CAST(event_type AS DOUBLE)))")}, 0e0) AS unreadable FROM events""",
+    f"""SELECT event_id, CASE WHEN k IS NULL THEN 0e0 ELSE {sql.r2('greatest(0e0, least(1e0, k))')} END AS score,
+    CASE WHEN t IS NULL THEN 0e0 ELSE {sql.r2('greatest(0e0, least(1e0, t))')} END AS unreadable
+    FROM (SELECT event_id, {PROPS_SCORE} AS k, TRY_CAST(event_type AS DOUBLE) AS t FROM events)""",
 )
 def safe_score(spark: SparkSession, folder: str) -> DataFrame:
     """Scores out of JSON text: in range, above it, and not a number at all."""

@@ -72,7 +72,24 @@ def _read(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
     reader = spark.read.format("binaryFile").schema(FILE_SCHEMA)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(paths)
+    return reader.load(paths).select("path", "length", "content")
+
+
+def _read_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Read files whose names no Spark source accepts; the tasks open them, the driver has names only."""
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch["path"]:
+                system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if "file:///" not in path else path)
+                with system.open_input_stream(place) as stream:
+                    data = stream.read()
+                yield pd.DataFrame({"path": [path], "length": [len(data)], "content": [data]})
+
+    names = spark.createDataFrame([(path,) for path in paths], "path STRING")
+    return names.mapInPandas(opened, "path STRING, length BIGINT, content BINARY")
 
 
 def list_files(files: DataFrame, root: Column) -> DataFrame:
@@ -130,7 +147,7 @@ def scan_source(spark: SparkSession, source: str, source_ord: int) -> DataFrame:
         hidden = _underscored(spark, source)
         files = _read(spark, [root], recursive=True)
         if hidden:
-            files = files.unionByName(_read(spark, hidden, recursive=False))
+            files = files.unionByName(_read_by_name(spark, hidden))
         listed = list_files(files, F.lit(root))
         inputs = without_sidecars(listed)
         if not inputs.select("relative").head(1):
