@@ -31,6 +31,18 @@ def build_session(master: str | None = None, cores: int = 8) -> SparkSession:
     return builder.getOrCreate()
 
 
+def split_hot_keys(spark: SparkSession) -> None:
+    """Let adaptive execution cut the join partition of a hot key into several tasks.
+
+    By default Spark keeps such a partition whole when an aggregation on the same key follows, to
+    save a shuffle. One document with a third of all variants, or one run with a third of all
+    documents, would then be one task.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def durable(rows: DataFrame) -> DataFrame:
     """Checkpoint ``rows`` in the shared folder named by ``spark.checkpoint.dir``.
 

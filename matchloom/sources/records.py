@@ -181,6 +181,11 @@ def write_json(path: str, payload: Any) -> str:
     return path
 
 
-def write_tables(rows: DataFrame, folder: str) -> None:
-    """The scale-out form of an artifact: Parquet, one partition per run."""
-    rows.write.mode("overwrite").partitionBy("run_id").parquet(folder)
+def write_table(rows: DataFrame, folder: str) -> DataFrame:
+    """The scale-out form of an artifact: one Parquet table for all runs, read back.
+
+    Rows are sorted by run inside each file, so reading one run skips most row groups. A folder
+    per run would not do: there can be millions of small runs, and one that is most of the data.
+    """
+    rows.sortWithinPartitions("run_id").write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
