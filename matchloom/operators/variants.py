@@ -85,6 +85,6 @@ def work_items(jds: DataFrame, variants: DataFrame) -> DataFrame:
 def with_variant_index(items: DataFrame) -> DataFrame:
     """Number the variants of each document from 0, in variant order."""
     ordered = numbered(
-        items, ["run_id", "jd_index"], ["variant_ord"], [F.col("variant_ord")], "variant_index"
+        items, ["run_id", "jd_index"], ["variant_ord"], [F.col("variant_ord")], "variant_index", carry=True
     )
     return ordered.withColumn("variant_index", F.col("variant_index") - 1)

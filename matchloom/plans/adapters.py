@@ -138,33 +138,36 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 def resume_variants(jds: DataFrame, people: DataFrame, runs: Column) -> DataFrame:
     """The variant made for each document and one shared with the next document of the run."""
-    made = jds.join(cand.with_match_texts(people), "run_id")
-    targets = F.array(F.col("jd_id"), F.format_string("jd-%d", F.col("jd_index") + runs))
-    specific = F.struct(
-        (F.col("jd_index") * 2).alias("variant_ord"),
-        F.concat(F.lit("variant-jd-"), "jd_id").alias("variant_id"),
-        F.lit(variants.JD_SPECIFIC).alias("variant_type"),
-        F.array("jd_id").alias("target_jd_ids"),
-        variants.jd_summary(F.col("title"), F.col("strengths"), F.col("keywords")).alias("summary"),
-        variants.emphasized_strengths(
-            F.col("keywords"), F.concat("experiences", "skills"), F.col("strengths")
-        ).alias("emphasized_strengths"),
-        variants.stretch_points(F.col("keywords"), F.col("claim_text")).alias("stretch_points"),
-    )
-    shared = F.struct(
-        (F.col("jd_index") * 2 + 1).alias("variant_ord"),
-        F.concat(F.lit("variant-cluster-"), "jd_id").alias("variant_id"),
-        F.lit(variants.CLUSTER).alias("variant_type"),
-        targets.alias("target_jd_ids"),
-        variants.cluster_summary(F.col("cluster"), F.col("strengths"), F.size(targets)).alias("summary"),
-        tx.head(F.concat("requirements", "strengths"), 2).alias("emphasized_strengths"),
-        tx.head(F.concat(tx.head(F.col("keywords"), 2), "must_have_requirements"), 3).alias("stretch_points"),
-    )
+    kinds = F.explode(F.array(F.lit(variants.JD_SPECIFIC), F.lit(variants.CLUSTER))).alias("variant_type")
+    made = jds.join(cand.with_match_texts(people), "run_id").select("*", kinds)
+    made = made.withColumn("next_jd", F.format_string("jd-%d", F.col("jd_index") + runs))
+    specific = F.col("variant_type") == variants.JD_SPECIFIC
+    keywords, strengths = F.col("keywords"), F.col("strengths")
+
+    def either(single: Column, shared: Column) -> Column:
+        return F.when(specific, single).otherwise(shared)
+
+    targets = F.array("jd_id", "next_jd")
     return made.select(
         "run_id",
+        (F.col("jd_index") * 2 + either(F.lit(0), F.lit(1))).alias("variant_ord"),
+        F.concat(either(F.lit("variant-jd-"), F.lit("variant-cluster-")), "jd_id").alias("variant_id"),
+        "variant_type",
         F.col("cluster").alias("variant_cluster"),
+        either(F.array("jd_id"), targets).alias("target_jd_ids"),
+        either(
+            variants.jd_summary(F.col("title"), strengths, keywords),
+            variants.cluster_summary(F.col("cluster"), strengths, F.size(targets)),
+        ).alias("summary"),
+        either(
+            variants.emphasized_strengths(keywords, F.concat("experiences", "skills"), strengths),
+            tx.head(F.concat("requirements", "strengths"), 2),
+        ).alias("emphasized_strengths"),
+        either(
+            variants.stretch_points(keywords, F.col("claim_text")),
+            tx.head(F.concat(tx.head(keywords, 2), "must_have_requirements"), 3),
+        ).alias("stretch_points"),
         F.col("base_resume_path").alias("source_resume_path"),
-        F.inline(F.array(specific, shared)),
     )
 
 

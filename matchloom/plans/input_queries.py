@@ -330,6 +330,7 @@ def scan_listing(spark: SparkSession, folder: str) -> DataFrame:
         F.array(*[F.lit(name) for name in ("a", "b/.hidden", "node_modules", "c/d")]), (F.col("page_id") % 4 + 1).cast("int")
     ), "page_id")
     kinds = F.array(*[F.lit(kind) for kind in (".png", ".txt", ".JPG", ".md", ".pdf", ".exe")])
+    # Which of the files exist beside each other differs from stem to stem.
     mine = F.filter(kinds, lambda kind: F.length(kind) + F.col("page_id") % 3 != 5)
     named = ad.table(spark, folder, "pages").select(F.explode(mine).alias("kind"), stems.alias("stem_path"), "html")
     return named.select(
@@ -339,9 +340,10 @@ def scan_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "scan_files",
-    """WITH f AS (SELECT page_id, kind, html, ['a', 'b/.hidden', 'node_modules', 'c/d'][page_id % 4 + 1] AS dir
+    """WITH e AS (SELECT page_id, kind, html, ['a', 'b/.hidden', 'node_modules', 'c/d'][page_id % 4 + 1] AS dir
         FROM (SELECT page_id, html, unnest(['.png', '.txt', '.JPG', '.md', '.pdf', '.exe']) AS kind FROM pages)
-        WHERE length(kind) + page_id % 3 <> 5 AND page_id % 4 IN (0, 3))
+        WHERE length(kind) + page_id % 3 <> 5),
+    f AS (SELECT * FROM e WHERE dir NOT IN ('b/.hidden', 'node_modules'))
     SELECT dir || '/file-' || page_id || kind AS relative, lower(kind) AS suffix,
         CASE WHEN kind IN ('.png', '.JPG') THEN (SELECT md5(min_by(g.kind || g.html, CASE g.kind WHEN '.txt' THEN 0 ELSE 1 END))
             FROM f g WHERE g.page_id = f.page_id AND g.kind IN ('.txt', '.md')) END AS sidecar_md5

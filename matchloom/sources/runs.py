@@ -7,8 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.config import load_config
+from matchloom.functions import naming as nm
 from matchloom.operators import viewer
 from matchloom.sources.files import FILE_SCHEMA, filesystem
+from matchloom.sources.records import read_records
+from matchloom.sources.uploads import read_upload_items
 
 RUNS_DIR_VARIABLE = "MATCHLOOM_RUNS_DIR"
 CONFIG_SCHEMA = ", ".join(
@@ -90,6 +94,58 @@ def list_runs(spark: SparkSession, folder: str) -> DataFrame:
     return viewer.run_list(listed)
 
 
+def load_run(spark: SparkSession, folder: str, run_id: str) -> dict[str, DataFrame]:
+    """Tables of one run for a reader; what a stage has not written yet is an empty table.
+
+    Beside the stored tables there are ``variants`` with display names, ``top_variants`` and
+    ``input_sources``. A run without a configuration raises.
+    """
+    run_dir = os.path.join(folder, run_id)
+    load_config(run_dir)
+    places = {
+        "candidate_profile": "analyze", "jd_profiles": "analyze", "resume_variants": "generate",
+        "scorecards": "evaluate", "gap_maps": "evaluate", "ranking_explanations": "evaluate",
+        "eval_summary": "evaluate", "application_strategies": "plan",
+    }
+    tables = {
+        name: read_records(spark, os.path.join(run_dir, stage, f"{name}.json"), name, run_id, optional_file=True)
+        for name, stage in places.items()
+    }
+    tables["variants"] = tables["resume_variants"].withColumns(
+        {
+            "variant_display_name": nm.variant_display_name(F.col("variant_id")),
+            "variant_type_display": nm.variant_type_label(F.col("variant_type")),
+        }
+    )
+    tables["top_variants"] = viewer.top_variants(
+        tables["eval_summary"], tables["scorecards"], tables["jd_profiles"], tables["gap_maps"]
+    )
+    uploaded = read_upload_items(spark, run_dir, run_id).select(
+        "run_id", F.col("upload_role").alias("role"), F.col("upload_name").alias("original_name"),
+        F.col("upload_path").alias("relative_path"), F.col("upload_size").alias("size_bytes"),
+    )
+    tables["input_sources"] = viewer.input_sources(ingested_items(spark, run_dir, run_id), uploaded)
+    return tables
+
+
+def ingested_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
+    """Input rows of a run's ingest, without their texts."""
+    names = ("role", "source_origin", "original_name", "relative_path", "source_value", "extraction_status", "extraction_error")
+    fields = ", ".join(f"{name} STRING" for name in names) + ", size_bytes BIGINT"
+    rows = spark.createDataFrame([], fields)
+    for part in ("candidate_inputs", "jd_inputs"):
+        path = os.path.join(run_dir, "ingest", f"{part}.json")
+        if os.path.isdir(path):
+            rows = rows.unionByName(spark.read.schema(fields).json(path))
+    manifest = os.path.join(run_dir, "ingest", "manifest.json")
+    if not os.path.isdir(os.path.join(run_dir, "ingest", "jd_inputs.json")) and os.path.exists(manifest):
+        item = "STRUCT<" + fields.replace(" STRING", ": STRING").replace(" BIGINT", ": BIGINT") + ">"
+        lists = spark.read.schema(f"candidate_inputs ARRAY<{item}>, jd_inputs ARRAY<{item}>").option("multiLine", "true")
+        both = F.concat(*[F.coalesce(name, F.array().cast(f"ARRAY<{item}>")) for name in ("candidate_inputs", "jd_inputs")])
+        rows = lists.json(manifest).select(F.inline(both))
+    return rows.withColumn("run_id", F.lit(run_id))
+
+
 def load_report(spark: SparkSession, folder: str, run_id: str) -> DataFrame | None:
     """Report lines of a run in order, or None when it has no report."""
     path = os.path.join(folder, run_id, "report", "summary.md")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from matchloom import cli
 from matchloom.operators import judge
 from matchloom.plans import run
+from matchloom.sources import runs
 
 # The sample inputs whose results are known.
 RESUME = """# 候选人主简历样例
@@ -124,6 +125,31 @@ def test_report(finished):
     assert text.endswith("guardrail`\n")
 
 
+def test_reader_tables(spark, finished):
+    tables = runs.load_run(spark, str(finished.parent), finished.name)
+    tops = sorted(tables["top_variants"].collect(), key=lambda row: row["jd_index"])
+    assert [(t["jd_id"], t["score"], t["gap_count"]) for t in tops] == [("jd-001", 0.79, 1), ("jd-002", 0.79, 1)]
+    assert tops[0]["variant_display_name"] == "岗位定制版本（jd-001）"
+    assert tops[0]["top_reasons"] == ["final_score=0.79", "decision_source=llm-primary+guardrail"]
+    assert {v["variant_type_display"] for v in tables["variants"].collect()} == {"岗位定制版本"}
+    inputs = {r["original_name"]: r for r in tables["input_sources"].collect()}
+    assert (inputs["resume.md"]["role"], inputs["batch.txt"]["role"]) == ("cv", "jd")
+    assert inputs["batch.txt"]["extraction_status"] == "extracted"
+    assert runs.load_report(spark, str(finished.parent), finished.name).head()["value"].startswith("# ")
+    listed = runs.list_runs(spark, str(finished.parent)).filter("run_id = 'run'").head()
+    assert (listed["draft_status"], len(listed["completed_stages"])) == ("complete", 6)
+
+
+def test_reader_of_an_unfinished_run(spark, tmp_path):
+    (tmp_path / "new" / "config").mkdir(parents=True)
+    (tmp_path / "new" / "config" / "run_config.json").write_text("{}")
+    tables = runs.load_run(spark, str(tmp_path), "new")
+    assert {name: table.count() for name, table in tables.items()} == dict.fromkeys(tables, 0)
+    assert runs.load_report(spark, str(tmp_path), "new") is None
+    with pytest.raises(FileNotFoundError):
+        runs.load_run(spark, str(tmp_path), "absent")
+
+
 def test_legacy_run_without_explanations(spark, finished, tmp_path):
     import shutil
 
