@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from pathlib import Path
 from typing import Any
@@ -19,9 +19,9 @@ from matchloom.operators.ordering import last_per_key
 from matchloom.plans import stages
 from matchloom.session import durable
 from matchloom.sources import files, uploads
-from matchloom.sources.records import SINGLE_FILE_RECORDS, read_records, write_json, write_records
+from matchloom.sources.records import read_records, write_json, write_lines, write_records
 
-MANIFEST_CHARS = 64 * 1024 * 1024
+MANIFEST_ITEMS, MANIFEST_CHARS = 20_000, 16 * 1024 * 1024
 RUN = "run"
 
 Progress = Callable[[dict[str, Any]], None]
@@ -109,12 +109,12 @@ def write_manifest(spark: SparkSession, run_dir: str, candidate_id: str, cvs: Da
     both = cvs.unionByName(jds)
     size = both.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).head()
     manifest: dict[str, Any] = {"candidate_id": candidate_id, "candidate_resume_path": first}
-    fits = size["n"] <= SINGLE_FILE_RECORDS and size["chars"] <= MANIFEST_CHARS
+    fits = size["n"] <= MANIFEST_ITEMS and size["chars"] <= MANIFEST_CHARS
 
     def listed(rows: DataFrame) -> list[dict[str, Any]]:
         ordered = rows.orderBy("input_ord").drop("run_id", "input_ord")
         texts = ordered.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-        return [json.loads(row["value"]) for row in texts.take(SINGLE_FILE_RECORDS)]
+        return [json.loads(row["value"]) for row in texts.take(MANIFEST_ITEMS)]
 
     if fits:
         manifest["candidate_resume_text"] = cand.joined_text(cvs).head()["resume_text"]
@@ -161,7 +161,7 @@ def analyze(spark: SparkSession, run_dir: str, transport: remote.Transport = rem
     write_records(documents, os.path.join(folder, "jd_profiles.json"), "jd_profiles")
     people, documents = read(spark, run_dir, "analyze", "candidate_profile"), read(spark, run_dir, "analyze", "jd_profiles")
     count = documents.count()
-    write_evidence(people, documents, count, os.path.join(folder, "evidence_map.json"))
+    write_evidence(people, documents, os.path.join(folder, "evidence_map.json"))
     return {"candidate_id": head["candidate_id"], "jd_profiles": count}
 
 
@@ -202,15 +202,18 @@ def remote_profiles(
     return merged(answered_people, people), merged(answered_documents, documents)
 
 
-def write_evidence(people: DataFrame, documents: DataFrame, count: int, path: str) -> None:
-    evidence = parse.jd_evidence(documents)
-    if count > SINGLE_FILE_RECORDS:
-        evidence.write.mode("overwrite").json(path)
-        return
+def write_evidence(people: DataFrame, documents: DataFrame, path: str) -> None:
+    """Evidence map as one object; as a folder of rows per document if it is large."""
     person = people.select("core_claims", "verified_evidence", "missing_evidence_areas").head().asDict()
-    rows = evidence.orderBy("jd_index").take(SINGLE_FILE_RECORDS)
-    jds = {r["jd_id"]: {k: r[k] for k in ("must_have", "source_snippets", "risk_signals")} for r in rows}
-    write_json(path, {"candidate": person, "jds": jds, "risks": person["missing_evidence_areas"]})
+
+    def assembled(lines: Iterator[str]) -> str:
+        jds = {row.pop("jd_id"): row for row in map(json.loads, lines)}
+        whole = {"candidate": person, "jds": jds, "risks": person["missing_evidence_areas"]}
+        return json.dumps(whole, indent=2, ensure_ascii=False)
+
+    rows = parse.jd_evidence(documents).orderBy("jd_index")
+    as_json = F.to_json(F.struct("jd_id", "must_have", "source_snippets", "risk_signals"))
+    write_lines(rows.select(as_json.alias("value")), path, assembled)
 
 
 def generate(spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json) -> dict[str, Any]:
@@ -345,13 +348,9 @@ def write_report(spark: SparkSession, run_dir: str, title: str = report.TITLE) -
     cfg.load_config(run_dir)
     person = read(spark, run_dir, "analyze", "candidate_profile").select("candidate_id").head()["candidate_id"]
     blocks = report_rows(spark, run_dir).orderBy("priority_rank")
-    head = report.header_lines(person, run_dir, title)
+    head = "\n".join(report.header_lines(person, run_dir, title))
     path = os.path.join(run_dir, "report", "summary.md")
-    taken = blocks.select("block").take(SINGLE_FILE_RECORDS + 1)
-    if len(taken) > SINGLE_FILE_RECORDS:
-        blocks.select("block").write.mode("overwrite").text(path)
-        Path(path, "_header.md").write_text("\n".join(head), encoding="utf-8")
-        return path
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    Path(path).write_text("\n".join([*head, *[row["block"] for row in taken]]), encoding="utf-8")
+    write_lines(blocks.select(F.col("block").alias("value")), path, lambda lines: "\n".join([head, *lines]))
+    if os.path.isdir(path):
+        Path(path, "header.md").write_text(head, encoding="utf-8")
     return path

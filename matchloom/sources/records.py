@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -15,8 +17,8 @@ GAP_ITEM = (
     "STRUCT<area: STRING, current_state: STRING, target_state: STRING, priority: STRING, "
     "catch_up_concepts: ARRAY<STRING>, weak_points: ARRAY<STRING>>"
 )
-# Up to this many records an artifact is one JSON array file; beyond, it is a folder of JSON lines.
-SINGLE_FILE_RECORDS = 20_000
+# Up to this size an artifact is one file; beyond, it stays the folder its executors wrote.
+SINGLE_FILE_BYTES = 64 * 1024 * 1024
 
 
 def required(names: str, kind: str = "STRING") -> dict[str, tuple[str, Any]]:
@@ -158,21 +160,46 @@ def read_records(spark: SparkSession, path: str, table: str, run_id: str, option
 
 
 def write_records(rows: DataFrame, path: str, table: str, single: bool = False) -> str:
-    """Write an artifact; ``single`` writes the first record as a JSON object.
+    """Write an artifact as a JSON array, or a folder of JSON lines if it is large.
 
-    The driver sees at most one record more than a single file may hold; a larger table is
-    written by the executors.
+    ``single`` writes the only record as a JSON object.
     """
     extra = [name for name in ORDINALS[table] if name not in RECORDS[table]]
     shaped = rows.select(*RECORDS[table], *extra)
     ordered = shaped.orderBy(*ORDINALS[table]) if ORDINALS[table] else shaped
+
+    def assembled(lines: Iterator[str]) -> str:
+        records = [json.loads(line) for line in lines]
+        return json.dumps(records[0] if single else records, indent=2, ensure_ascii=False)
+
     as_json = ordered.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    taken = as_json.take(1 if single else SINGLE_FILE_RECORDS + 1)
-    if len(taken) > SINGLE_FILE_RECORDS:
-        ordered.write.mode("overwrite").json(path)
+    return write_lines(as_json, path, assembled)
+
+
+def write_lines(rows: DataFrame, path: str, assembled: Callable[[Iterator[str]], str]) -> str:
+    """Write ordered text rows; executors write parts, small parts are put together into one file.
+
+    The rows are computed once and their size is known before the driver reads any of them.
+    """
+    parts = f"{path}.parts"
+    rows.write.mode("overwrite").text(parts)
+    files = sorted(Path(parts).glob("part-*"))
+    if os.path.isdir(path):
+        shutil.rmtree(path)
+    if sum(file.stat().st_size for file in files) > SINGLE_FILE_BYTES:
+        Path(path).unlink(missing_ok=True)
+        os.rename(parts, path)
         return path
-    records = [json.loads(row["value"]) for row in taken]
-    return write_json(path, records[0] if single else records)
+
+    def lines() -> Iterator[str]:
+        for file in files:
+            # Only newlines end a row; other break characters belong to the texts.
+            with file.open(encoding="utf-8", newline="\n") as handle:
+                yield from (line.removesuffix("\n") for line in handle)
+
+    Path(path).write_text(assembled(lines()), encoding="utf-8")
+    shutil.rmtree(parts)
+    return path
 
 
 def write_json(path: str, payload: Any) -> str:

@@ -215,7 +215,7 @@ def test_records_fill_defaults_and_name_what_is_missing(spark, tmp_path):
 
 
 def test_large_artifacts_become_a_folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(records, "SINGLE_FILE_RECORDS", 5)
+    monkeypatch.setattr(records, "SINGLE_FILE_BYTES", 100)
     rows = spark.range(12).select(
         F.lit("r").alias("run_id"), F.col("id").alias("jd_index"), F.format_string("jd-%d", "id").alias("jd_id"),
         F.lit("c").alias("candidate_id"), F.array().cast(f"ARRAY<{records.GAP_ITEM}>").alias("items"),
