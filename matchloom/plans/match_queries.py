@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.operators import explain, judge, ranking, report, rules, strategy, variants, viewer
+from matchloom.operators import explain, judge, ranking, report, strategy, variants, viewer
 from matchloom.plans import adapters as ad
 from matchloom.plans import oracle as sql
 from matchloom.plans import stages

@@ -19,6 +19,7 @@ from matchloom.operators.ordering import last_per_key
 from matchloom.plans import stages
 from matchloom.session import durable
 from matchloom.sources import files, uploads
+from matchloom.sources.paths import literal
 from matchloom.sources.records import read_records, write_json, write_lines, write_records
 
 MANIFEST_ITEMS, MANIFEST_CHARS = 20_000, 16 * 1024 * 1024
@@ -131,7 +132,7 @@ def read_inputs(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
         return read_records(spark, table, "input_documents", RUN)
     item = "STRUCT<source_type: STRING, source_value: STRING, text: STRING, content: STRING>"
     manifest = spark.read.schema(f"{name} ARRAY<{item}>").option("multiLine", "true").json(
-        artifact(run_dir, "ingest", "manifest")
+        literal(artifact(run_dir, "ingest", "manifest"))
     )
     return manifest.select(F.lit(RUN).alias("run_id"), F.posexplode(name).alias("input_ord", "item")).select(
         "run_id", F.col("input_ord").cast("long").alias("input_ord"), "item.source_type", "item.source_value",

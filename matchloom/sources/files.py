@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from matchloom.functions import naming as nm
 from matchloom.functions import text as tx
 from matchloom.operators.ordering import numbered
+from matchloom.sources.paths import as_uri, filesystem, literal
 
 # Extraction states and providers.
 EXTRACTED, OCR, VISION, SIDECAR, UNPARSEABLE = "extracted", "ocr", "vision", "sidecar", "unparseable"
@@ -49,13 +50,6 @@ class Extractors:
     missing_ocr: str = field(default="Tesseract OCR requires Pillow, pytesseract, and the Tesseract executable.")
 
 
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop file system and path object of ``path``; local paths need no scheme."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{os.path.abspath(path)}")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def _underscored(spark: SparkSession, directory: str) -> list[str]:
     """Files below a name that starts with an underscore, which a directory read leaves out."""
     system, root = filesystem(spark, directory)
@@ -72,7 +66,7 @@ def _read(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
     reader = spark.read.format("binaryFile").schema(FILE_SCHEMA)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(paths).select("path", "length", "content")
+    return reader.load([literal(path) for path in paths]).select("path", "length", "content")
 
 
 def _read_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -83,7 +77,7 @@ def _read_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
 
         for batch in batches:
             for path in batch["path"]:
-                system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if "file:///" not in path else path)
+                system, place = fs.FileSystem.from_uri(as_uri(path))
                 with system.open_input_stream(place) as stream:
                     data = stream.read()
                 yield pd.DataFrame({"path": [path], "length": [len(data)], "content": [data]})
@@ -324,7 +318,8 @@ def collect_documents(
     """Extracted documents of all sources, numbered in argument order and path order."""
     found = None
     for position, source in enumerate(sources):
-        scanned = scan_source(spark, str(source), position)
+        plain = source if "://" in source else os.path.normpath(source)
+        scanned = scan_source(spark, plain, position)
         found = scanned if found is None else found.unionByName(scanned)
     if found is None:
         raise InputExtractionError("No input source given.")

@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.sources.paths import literal
+
 TEXTS = "ARRAY<STRING>"
 GAP_ITEM = (
     "STRUCT<area: STRING, current_state: STRING, target_state: STRING, priority: STRING, "
@@ -155,7 +157,8 @@ def read_records(spark: SparkSession, path: str, table: str, run_id: str, option
         rows = spark.createDataFrame([], schema(table))
     else:
         reader = spark.read.schema(schema(table))
-        rows = reader.json(path) if os.path.isdir(path) else reader.option("multiLine", "true").json(path)
+        is_folder = os.path.isdir(path)
+        rows = (reader if is_folder else reader.option("multiLine", "true")).json(literal(path))
     return checked(rows, table).withColumn("run_id", F.lit(run_id))
 
 

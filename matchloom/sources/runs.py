@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from matchloom.config import load_config
 from matchloom.functions import naming as nm
 from matchloom.operators import viewer
-from matchloom.sources.files import FILE_SCHEMA, filesystem
+from matchloom.sources.files import FILE_SCHEMA
+from matchloom.sources.paths import absolute, filesystem, literal
 from matchloom.sources.records import read_records
 from matchloom.sources.uploads import read_upload_items
 
@@ -43,7 +44,7 @@ def artifact_listing(spark: SparkSession, folder: str) -> DataFrame:
     system, root = filesystem(spark, folder)
     base = system.resolvePath(root).toString()
     files = (
-        spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(base)
+        spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(literal(base))
         .select("path")
     )
     relative = F.regexp_replace(F.substring("path", len(base) + 1, 1 << 20), "^/+", "")
@@ -56,7 +57,7 @@ def artifact_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def _per_run(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame | None:
     system, _ = filesystem(spark, folder)
-    place = f"{os.path.abspath(folder)}/*/{pattern}" if "://" not in folder else f"{folder}/*/{pattern}"
+    place = f"{literal(absolute(folder))}/*/{pattern}"
     matches = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place))
     if not len(matches):
         return None
@@ -136,17 +137,17 @@ def ingested_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
     for part in ("candidate_inputs", "jd_inputs"):
         path = os.path.join(run_dir, "ingest", f"{part}.json")
         if os.path.isdir(path):
-            rows = rows.unionByName(spark.read.schema(fields).json(path))
+            rows = rows.unionByName(spark.read.schema(fields).json(literal(path)))
     manifest = os.path.join(run_dir, "ingest", "manifest.json")
     if not os.path.isdir(os.path.join(run_dir, "ingest", "jd_inputs.json")) and os.path.exists(manifest):
         item = "STRUCT<" + fields.replace(" STRING", ": STRING").replace(" BIGINT", ": BIGINT") + ">"
         lists = spark.read.schema(f"candidate_inputs ARRAY<{item}>, jd_inputs ARRAY<{item}>").option("multiLine", "true")
         both = F.concat(*[F.coalesce(name, F.array().cast(f"ARRAY<{item}>")) for name in ("candidate_inputs", "jd_inputs")])
-        rows = lists.json(manifest).select(F.inline(both))
+        rows = lists.json(literal(manifest)).select(F.inline(both))
     return rows.withColumn("run_id", F.lit(run_id))
 
 
 def load_report(spark: SparkSession, folder: str, run_id: str) -> DataFrame | None:
     """Report lines of a run in order, or None when it has no report."""
     path = os.path.join(folder, run_id, "report", "summary.md")
-    return spark.read.text(path) if os.path.exists(path) else None
+    return spark.read.text(literal(path)) if os.path.exists(path) else None

@@ -16,6 +16,7 @@ from matchloom.config import default_config
 from matchloom.functions import naming as nm
 from matchloom.operators.ordering import last_per_key
 from matchloom.sources.files import UNPARSEABLE
+from matchloom.sources.paths import literal
 
 # Format version, place and error texts of upload drafts.
 MANIFEST_VERSION = "v0.5.1-upload-manifest"
@@ -78,7 +79,7 @@ def read_upload_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFra
     if not os.path.exists(path):
         empty = "run_id STRING, path_key STRING, upload_role STRING, upload_name STRING, upload_path STRING, upload_size BIGINT"
         return spark.createDataFrame([], empty)
-    return upload_items(spark.read.text(path, wholetext=True).select(F.lit(run_id).alias("run_id"), "value"))
+    return upload_items(spark.read.text(literal(path), wholetext=True).select(F.lit(run_id).alias("run_id"), "value"))
 
 
 def below(path: Column, folder: str) -> Column:

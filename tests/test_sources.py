@@ -55,6 +55,13 @@ def test_sources_keep_argument_order(spark, tmp_path):
     assert [row["text"] for row in rows] == ["line\nbreak", "last"]
 
 
+def test_pattern_characters_in_paths_are_plain(spark, tmp_path):
+    folder = put(tmp_path / "in [1] {x}", **{"a b#1%20.md": "text", "_u [2].txt": "under"})
+    rows = collected(spark, [folder + "/."])
+    assert [(row["original_name"], row["text"]) for row in rows] == [("_u [2].txt", "under"), ("a b#1%20.md", "text")]
+    assert rows[1]["source_value"] == f"{folder}/a b#1%20.md"
+
+
 def test_single_image_finds_its_sidecar(spark, tmp_path):
     put(tmp_path, **{"jd.png": b"x", "jd.txt": "from text", "jd.md": "from markdown"})
     row = collected(spark, [str(tmp_path / "jd.png")], files.Extractors())[0]
