@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,5 +59,6 @@ def durable(rows: DataFrame) -> DataFrame:
             if not context.master.startswith("local"):
                 raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="matchloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return rows.checkpoint(eager=True)
