@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, pii, sql
+from . import bpe, decontaminate, line_dedup, pii, sql, toxicity
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,9 +49,27 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.without_boilerplate(pages, F.col("host"))
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> list[tuple[int, float]]:
+    """Fitted on labelled documents outside the held-out fold."""
+    known = labels.where(toxicity.remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.fit(documents.select("doc_id", "text"), known.select("doc_id", F.col("toxic").alias("label")))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    rows = toxicity.scored(documents, toxicity_model(documents, _table(spark, folder, "labels")))
+    return rows.select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_pii, op5_decontamination, op6_byte_bpe, op8_line_dedup)
+    for f in (op2_pii, op5_decontamination, op6_byte_bpe, op8_line_dedup, op9_toxicity)
 }
 ORACLES = {
     "op2_pii": sql.OP2,

@@ -12,6 +12,13 @@ import xxhash
 #: Text bytes that a task works on at once; one longer text is worked on alone.
 SLICE_BYTES = 12_000_000
 
+_UPPER = bytes(range(0x41, 0x5B))
+#: Keeps ASCII digits, lower-cased ASCII letters and all bytes beyond ASCII; the rest becomes a space.
+ALNUM_TABLE = bytes(
+    32 if b < 0x30 or 0x39 < b < 0x41 or 0x5A < b < 0x61 or 0x7A < b < 0x80 else b + 32 if b in _UPPER else b
+    for b in range(256)
+)
+
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a piece stay below ``limit`` bytes, one row at least."""
