@@ -1,22 +1,24 @@
 """Byte-level BPE: texts to token ids by a rank file, and ids back to bytes.
 
 Each pre-token (a match of the pattern) is merged by itself. Its adjacent pairs wait in a queue of
-merge ranks: one bucket per rank holds the places of the pairs in a linked list of symbols, and a
-bitmap in three levels of 64 bits tells the lowest rank that has places. Find-first-set picks that
-rank, its places are merged from left to right, and entries whose pair has changed meanwhile are
-skipped. A pre-token of n bytes takes n pushes and pops of constant cost, however long it is.
+merge ranks: one bucket per rank holds the places of the pairs in a linked list of symbols, a bitmap of
+256 bits tells which ranks of a block have a bucket, and a bitmap above it which blocks have any.
+Find-first-set on both picks the lowest rank, its places are merged from left to right, and entries
+whose pair has changed meanwhile are skipped. A pre-token of n bytes takes at most 3 n pushes and pops,
+however long it is.
 
 Defined results: a null or empty text has no ids, an array with no items; null ids decode to empty
-bytes. Equal texts get equal ids. Other columns stay as they are. A text that holds a character no
-pattern part takes does not exist: the pattern takes every character.
+bytes. Equal texts get equal ids. Other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from itertools import chain
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -26,8 +28,14 @@ from pyspark.sql import types as T
 
 from .texts import slices, utf8
 
-#: Pre-tokens up to this many characters are remembered, so many of them in a task.
-KEPT_CHARS, KEPT_WORDS = 64, 300_000
+#: Pre-tokens that a task remembers before it starts anew, and bytes of text that it works on at once.
+KEPT_WORDS, SLICE = 400_000, 4_000_000
+#: The common pattern of these rank files.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: The same pattern for texts of Latin letters, and what such a text does not have.
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+"
+BEYOND = rf"[^\x00-\x1b\x20-\x7e¡¿«»×÷{_LATIN}‐-‧]"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,44 +44,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Places by merge rank; ``pop`` gives the places of the lowest rank."""
-
-    def __init__(self) -> None:
-        self.places: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}  # rank // 64 -> bits of ranks
-        self.middle: dict[int, int] = {}  # rank // 4096 -> bits of ranks // 64
-        self.top = 0  # bits of ranks // 4096
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.places.get(rank)
-        if bucket is not None:
-            bucket.append(place)
-            return
-        self.places[rank] = [place]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[b]
-        a = b << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[a]
-        rank = a << 6 | (bits & -bits).bit_length() - 1
-        bits &= bits - 1
-        if bits:
-            self.low[a] = bits
-        else:
-            del self.low[a]
-            self.middle[b] &= ~(1 << (a & 63))
-            if not self.middle[b]:
-                del self.middle[b]
-                self.top &= self.top - 1
-        return rank, self.places.pop(rank)
+#: One bit for each place of a bitmap word and for each block of 256 ranks.
+BIT = [1 << i for i in range(1 << 12)]
 
 
 class Merger:
@@ -82,62 +54,111 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks.get(bytes([b])) for b in range(256)]
 
-    def ids(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
+    def ids(self, piece: bytes) -> list[int]:
+        """Ids of a pre-token. The queue stands in this loop: it is the inner loop of the operator."""
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
-            return (whole,)
-        n, ranks, queue = len(piece), self.ranks, RankQueue()
+            return [whole]
+        n = len(piece)
+        ahead = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # rank of the pair that starts here
+        ahead.append(None)
         end = list(range(1, n + 1))  # where the symbol that starts here ends
         before = list(range(-1, n))  # where the symbol before this one starts
-        live = bytearray(b"\1") * n
-        ahead: list[int | None] = [None] * n  # rank of the pair that starts here
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                ahead[i] = rank
-                queue.push(rank, i)
-        while (head := queue.pop()) is not None:
-            rank, places = head
-            places.sort()
-            for at in places:
-                if not live[at] or ahead[at] != rank:
-                    continue  # a neighbour was merged since the push
+        places: dict[int, list[int]] = {}  # buckets: rank -> places
+        bits: dict[int, int] = {}  # rank // 256 -> bitmap of its ranks with a bucket
+        top = 0  # bitmap of the bitmaps that are not empty
+        changed = [(rank, i) for i, rank in enumerate(ahead) if rank is not None]
+        while changed or top:
+            for rank, place in changed:
+                if rank in places:
+                    places[rank].append(place)
+                else:
+                    places[rank] = [place]
+                    block = rank >> 8
+                    if block in bits:
+                        bits[block] |= BIT[rank & 255]
+                    else:
+                        bits[block] = BIT[rank & 255]
+                        top |= BIT[block]
+            block = (top & -top).bit_length() - 1
+            word = bits[block]
+            first = word & -word
+            rank = (block << 8) + first.bit_length() - 1
+            if word == first:
+                del bits[block]
+                top ^= BIT[block]
+            else:
+                bits[block] = word ^ first
+            bucket = places.pop(rank)
+            if len(bucket) > 1:
+                bucket.sort()
+            changed = []
+            for at in bucket:
+                if ahead[at] != rank:
+                    continue  # stale: a neighbour was merged since the push
                 right = end[at]
                 stop = end[at] = end[right]
-                live[right], ahead[at] = 0, None
+                ahead[right] = ahead[at] = None
                 if stop < n:
                     before[stop] = at
-                    new = ranks.get(piece[at : end[stop]])
+                    new = ahead[at] = rank_of(piece[at : end[stop]])
                     if new is not None:
-                        ahead[at] = new
-                        queue.push(new, at)
-                left = before[at]
-                if left >= 0:
-                    new = ahead[left] = ranks.get(piece[left:stop])
+                        changed.append((new, at))
+                if at:
+                    left = before[at]
+                    new = ahead[left] = rank_of(piece[left:stop])
                     if new is not None:
-                        queue.push(new, left)
-        ids, at = [], 0
+                        changed.append((new, left))
+        ids, at, ranks = [], 0, self.ranks
         while at < n:
-            ids.append(ranks[piece[at : end[at]]])
-            at = end[at]
-        return tuple(ids)
+            stop = end[at]
+            ids.append(ranks[piece[at:stop]])
+            at = stop
+        return ids
 
 
-class _Remembered(dict):
-    """Ids by pre-token; forgets all when full."""
+class Remembered(dict):
+    """Number of each pre-token met lately, with the ids of all of them in one array."""
 
-    def __init__(self, merger: Merger) -> None:
-        self.merger = merger
+    def __init__(self, ids_of: Callable[[str], list[int]]) -> None:
+        self.ids_of = ids_of
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.ends = array("i"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.ids.extend(self.ids_of(piece))
+        self.ends.append(len(self.ids))
+        return number
+
+    def expanded(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of pre-tokens, and how many each of them has. The arrays may grow afterwards."""
+        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
+        starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        return ids[np.arange(len(shift)) + shift], sizes
+
+    def text_ids(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one run, and the n + 1 bounds of the texts in it."""
+        if len(self) > KEPT_WORDS:
+            self.forget()
+        look_up = self.__getitem__
+        numbers = [np.fromiter(map(look_up, p), np.int64, len(p)) for p in pieces]
+        values, sizes = self.expanded(np.concatenate([np.zeros(0, np.int64), *numbers]))
+        return values, np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, pieces)])]
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.merger.ids(piece.encode())
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[piece] = ids
-        return ids
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Pre-tokens of a text: the matches of ``pattern``, where white space is Unicode's."""
+    if pattern != COMMON_PATTERN:
+        return regex.compile(pattern).findall
+    every, latin, beyond = regex.compile(pattern).findall, re.compile(LATIN_PATTERN).findall, re.compile(BEYOND).search
+    return lambda text: every(text) if beyond(text) else latin(text)
 
 
 def _shared_file(spark: SparkSession, path: str) -> str:
@@ -154,30 +175,17 @@ def encoded(documents: DataFrame, ranks: str, pattern: str, text: str = "text",
     name = _shared_file(documents.sparkSession, ranks)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        known = _Remembered(Merger(read_ranks(SparkFiles.get(name))))
-        look_up = known.__getitem__
-        for batch in (piece for b in batches for piece in slices(b, text)):
-            rows = [
-                pa.array(list(chain.from_iterable(map(look_up, split(t)))), pa.int32())
-                for t in utf8(batch.column(text)).to_pylist()
-            ]
-            offsets = pa.array([0, *_running(map(len, rows))], pa.int32())
-            values = pa.concat_arrays(rows) if rows else pa.array([], pa.int32())
-            item = pa.list_(pa.field("element", pa.int32(), nullable=False))
-            column = pa.ListArray.from_arrays(offsets, values, type=item)
+        split, merger = splitter(pattern), Merger(read_ranks(SparkFiles.get(name)))
+        known = Remembered(lambda piece: merger.ids(piece.encode()))
+        item = pa.list_(pa.field("element", pa.int32(), nullable=False))
+        for batch in (piece for b in batches for piece in slices(b, text, SLICE)):
+            values, ends = known.text_ids([split(t) for t in utf8(batch.column(text)).to_pylist()])
+            column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), type=item)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, ids])
 
     return documents.mapInArrow(encode, schema)
 
 
-def _running(sizes: Iterator[int]) -> Iterator[int]:
-    total = 0
-    for size in sizes:
-        total += size
-        yield total
-
-
 def decoded(documents: DataFrame, ranks: str, ids: str = "ids", data: str = "data") -> DataFrame:
     """Documents with column ``data`` (binary): the bytes of all their ids. Unknown ids stop the job."""
     if data in documents.columns:
@@ -188,13 +196,18 @@ def decoded(documents: DataFrame, ranks: str, ids: str = "ids", data: str = "dat
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = Merger(read_ranks(SparkFiles.get(name))).tokens.__getitem__
         for batch in batches:
-            rows = [b"".join(map(token, row or ())) for row in batch.column(ids).to_pylist()]
-            column = pa.array(rows, pa.binary())
+            rows = (b"".join(map(token, _values(row))) for row in batch.column(ids))
+            column = pa.array(rows, pa.binary(), size=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, data])
 
     return documents.mapInArrow(decode, schema)
 
 
+def _values(row: pa.ListScalar) -> list[int]:
+    """Ids of one row; no other row's are made Python numbers meanwhile."""
+    return row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []
+
+
 def digests(documents: DataFrame, ids: str = "ids", data: str = "data") -> DataFrame:
     """Digest columns of encoded and decoded documents: ids in decimals joined by a space, and the bytes."""
     return documents.select(

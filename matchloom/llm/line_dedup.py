@@ -74,26 +74,26 @@ def without_boilerplate(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("page"),
         F.coalesce(site.cast("string"), F.lit("")).alias("site"),
     )
-    lines = F.split(F.col(f"page.`{text}`"), breaks, -1)
-    drop = lambda line: F.coalesce(F.array_contains(F.col("lines"), _digest(line)), F.lit(False))
-    kept = F.filter(lines, lambda line: ~drop(line))
-    short = F.when(F.col("lines").isNull() | ~F.exists(lines, drop), F.col(f"page.`{text}`")).otherwise(
-        F.array_join(kept, joint)
+    rows = whole.join(found.select("site", "lines"), "site", "left").select(
+        "page", "lines", F.when(F.col("lines").isNotNull(), F.split(F.col(f"page.`{text}`"), breaks, -1)).alias("parts")
     )
-    rows = whole.join(found.select("site", "lines"), "site", "left")
+    # A null digest (an empty line) is in no list: array_contains gives null for it.
+    dropped = lambda line: F.coalesce(F.array_contains("lines", _digest(line)), F.lit(False))
+    rows = rows.select("page", "parts", F.filter("parts", lambda line: ~dropped(line)).alias("kept"))
+    short = F.when(F.size("kept") < F.size("parts"), F.array_join("kept", joint)).otherwise(F.col(f"page.`{text}`"))
     return rows.select(*[short.alias(c) if c == text else F.col(f"page.`{c}`").alias(c) for c in names])
 
 
-def page_text(html: Column) -> Column:
-    """Text of an HTML page: a line per block element, without scripts, styles, comments and tags."""
-    text = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    text = F.regexp_replace(text, BLOCK_TAG, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    return F.btrim(F.regexp_replace(text, r"[ \t]*\n[ \t\n]*", "\n"), F.lit("\n"))
+#: HTML tags that stand inside a line; any other tag ends one.
+INLINE = (
+    "a|abbr|b|bdi|bdo|big|button|cite|code|data|del|dfn|em|font|i|img|input|ins|kbd|label|mark|q|s|samp|small|span"
+    "|strike|strong|sub|sup|time|tt|u|var|wbr"
+)
+UNSEEN = rf"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|</?(?:{INLINE})(?:[\s/][^>]*)?>"
+LINE_END = r"[ \t]*(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*"
 
 
-#: Tags that end a line.
-BLOCK_TAG = (
-    r"(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|br|hr|title|head|body|html|tr|td|th"
-    r"|table|form|pre|blockquote)\b[^>]*>"
-)
+def page_text(html: Column) -> Column:
+    """Text of an HTML page: lines as its elements end them, without scripts, styles, comments and tags."""
+    text = F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), LINE_END, "\n")
+    return F.btrim(text, F.lit("\n"))

@@ -77,9 +77,9 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-_BLOCK = (
-    r"(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|br|hr|title|head|body|html|tr|td|th"
-    r"|table|form|pre|blockquote)\b[^>]*>"
+_INLINE = (
+    "a|abbr|b|bdi|bdo|big|button|cite|code|data|del|dfn|em|font|i|img|input|ins|kbd|label|mark|q|s|samp|small|span"
+    "|strike|strong|sub|sup|time|tt|u|var|wbr"
 )
 
 
@@ -104,9 +104,9 @@ SELECT {columns}, CASE WHEN changed THEN kept ELSE text END AS text FROM base LE
 OP8 = line_dedup(
     rf"""SELECT page_id,
       nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
-      trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-        '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '{_BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'),
-        '[ \t]*\n[ \t\n]*', chr(10), 'g'), chr(10)) AS text FROM pages""",
+      trim(regexp_replace(regexp_replace(html,
+        '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|</?(?:{_INLINE})(?:[\s/][^>]*)?>', '', 'g'),
+        '[ \t]*(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*', chr(10), 'g'), chr(10)) AS text FROM pages""",
     "host",
     "page_id",
     "page_id, host",
