@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, pii, sql, toxicity
+from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, toxicity
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return near_dup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.digests(pii.with_personal_data(_table(spark, folder, "documents").select("doc_id", "text")))
@@ -69,7 +74,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_pii, op5_decontamination, op6_byte_bpe, op8_line_dedup, op9_toxicity)
+    for f in (op1_minhash_dedup, op2_pii, op5_decontamination, op6_byte_bpe, op8_line_dedup, op9_toxicity)
 }
 ORACLES = {
     "op2_pii": sql.OP2,
