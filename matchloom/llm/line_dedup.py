@@ -20,10 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 #: Share of a site's pages above which a line is boilerplate.
 RATIO = 0.1
 #: Sites with fewer pages than this have no boilerplate.
 LEAST_PAGES = 10
+#: Boilerplate digests that may go to all tasks; more are joined by a shuffle.
+SENT_LINES = 200_000
 #: What ends a line.
 BREAK = r"\r\n|\n|\r"
 
@@ -37,7 +41,7 @@ def host(url: Column) -> Column:
 def _digest(line: Column) -> Column:
     """128 bits of a line without white space at its edges; null for an empty one."""
     line = F.btrim(line, F.lit(" \t\x0b\f\x85\xa0"))
-    return F.when(line != "", F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b")))
+    return F.when(line != "", F.md5(line.cast("binary")))
 
 
 def boilerplate(
@@ -69,12 +73,14 @@ def without_boilerplate(
 ) -> DataFrame:
     """Pages with their boilerplate lines taken out; a page without any keeps its text as it was."""
     names = pages.columns
-    found = boilerplate(pages, site, F.col(text), breaks, ratio, least)
+    found = stored(boilerplate(pages, site, F.col(text), breaks, ratio, least).select("site", "lines"))
+    if (found.agg(F.sum(F.size("lines"))).head()[0] or 0) <= SENT_LINES:
+        found = F.broadcast(found)
     whole = pages.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("page"),
         F.coalesce(site.cast("string"), F.lit("")).alias("site"),
     )
-    rows = whole.join(found.select("site", "lines"), "site", "left").select(
+    rows = whole.join(found, "site", "left").select(
         "page", "lines", F.when(F.col("lines").isNotNull(), F.split(F.col(f"page.`{text}`"), breaks, -1)).alias("parts")
     )
     # A null digest (an empty line) is in no list: array_contains gives null for it.
@@ -89,8 +95,8 @@ INLINE = (
     "a|abbr|b|bdi|bdo|big|button|cite|code|data|del|dfn|em|font|i|img|input|ins|kbd|label|mark|q|s|samp|small|span"
     "|strike|strong|sub|sup|time|tt|u|var|wbr"
 )
-UNSEEN = rf"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|</?(?:{INLINE})(?:[\s/][^>]*)?>"
-LINE_END = r"[ \t]*(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*"
+UNSEEN = rf"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->|/?(?:{INLINE})(?:[\s/][^>]*)?>)"
+LINE_END = r"(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*"
 
 
 def page_text(html: Column) -> Column:

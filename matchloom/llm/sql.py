@@ -105,8 +105,8 @@ OP8 = line_dedup(
     rf"""SELECT page_id,
       nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
       trim(regexp_replace(regexp_replace(html,
-        '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|</?(?:{_INLINE})(?:[\s/][^>]*)?>', '', 'g'),
-        '[ \t]*(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*', chr(10), 'g'), chr(10)) AS text FROM pages""",
+        '(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->|/?(?:{_INLINE})(?:[\s/][^>]*)?>)', '', 'g'),
+        '(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*', chr(10), 'g'), chr(10)) AS text FROM pages""",
     "host",
     "page_id",
     "page_id, host",
