@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -62,39 +63,34 @@ class Merger:
         if whole is not None:
             return [whole]
         n = len(piece)
-        ahead = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # rank of the pair that starts here
-        ahead.append(None)
         end = list(range(1, n + 1))  # where the symbol that starts here ends
         before = list(range(-1, n))  # where the symbol before this one starts
+        ahead: list[int | None] = [None] * n  # rank of the pair that starts here
         places: dict[int, list[int]] = {}  # buckets: rank -> places
         bits: dict[int, int] = {}  # rank // 256 -> bitmap of its ranks with a bucket
         top = 0  # bitmap of the bitmaps that are not empty
-        changed = [(rank, i) for i, rank in enumerate(ahead) if rank is not None]
-        while changed or top:
-            for rank, place in changed:
+        for i in range(n - 1):
+            rank = rank_of(piece[i : i + 2])
+            if rank is not None:
+                ahead[i] = rank
                 if rank in places:
-                    places[rank].append(place)
+                    places[rank].append(i)
                 else:
-                    places[rank] = [place]
+                    places[rank] = [i]
                     block = rank >> 8
-                    if block in bits:
-                        bits[block] |= BIT[rank & 255]
-                    else:
-                        bits[block] = BIT[rank & 255]
-                        top |= BIT[block]
+                    bits[block] = bits.get(block, 0) | BIT[rank & 255]
+                    top |= BIT[block]
+        while top:
             block = (top & -top).bit_length() - 1
             word = bits[block]
             first = word & -word
             rank = (block << 8) + first.bit_length() - 1
+            bits[block] = word ^ first
             if word == first:
-                del bits[block]
                 top ^= BIT[block]
-            else:
-                bits[block] = word ^ first
             bucket = places.pop(rank)
             if len(bucket) > 1:
                 bucket.sort()
-            changed = []
             for at in bucket:
                 if ahead[at] != rank:
                     continue  # stale: a neighbour was merged since the push
@@ -103,14 +99,27 @@ class Merger:
                 ahead[right] = ahead[at] = None
                 if stop < n:
                     before[stop] = at
-                    new = ahead[at] = rank_of(piece[at : end[stop]])
+                    new = rank_of(piece[at : end[stop]])
                     if new is not None:
-                        changed.append((new, at))
+                        ahead[at] = new
+                        if new in places:
+                            places[new].append(at)
+                        else:
+                            places[new] = [at]
+                            block = new >> 8
+                            bits[block] = bits.get(block, 0) | BIT[new & 255]
+                            top |= BIT[block]
                 if at:
                     left = before[at]
                     new = ahead[left] = rank_of(piece[left:stop])
                     if new is not None:
-                        changed.append((new, left))
+                        if new in places:
+                            places[new].append(left)
+                        else:
+                            places[new] = [left]
+                            block = new >> 8
+                            bits[block] = bits.get(block, 0) | BIT[new & 255]
+                            top |= BIT[block]
         ids, at, ranks = [], 0, self.ranks
         while at < n:
             stop = end[at]
@@ -194,18 +203,39 @@ def decoded(documents: DataFrame, ranks: str, ids: str = "ids", data: str = "dat
     name = _shared_file(documents.sparkSession, ranks)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Merger(read_ranks(SparkFiles.get(name))).tokens.__getitem__
-        for batch in batches:
-            rows = (b"".join(map(token, _values(row))) for row in batch.column(ids))
-            column = pa.array(rows, pa.binary(), size=batch.num_rows)
+        tokens = Merger(read_ranks(SparkFiles.get(name))).tokens
+        table = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        known = np.array([i in tokens for i in range(len(table))])
+        sizes = np.array([len(t) for t in table], np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
+        for batch in (piece for b in batches for piece in _some_ids(b, ids)):
+            lists = batch.column(ids)
+            bounds, row_ids = _flat(lists)
+            if len(row_ids) and not (0 <= row_ids.min() and row_ids.max() < len(table) and known[row_ids].all()):
+                raise ValueError("an id is not in the rank file")
+            ends = np.cumsum(sizes[row_ids])
+            shift = np.repeat(starts[row_ids] - (ends - sizes[row_ids]), sizes[row_ids])
+            offsets = np.concatenate(([0], ends))[bounds].astype(np.int32)
+            out = flat[np.arange(len(shift)) + shift]
+            column = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, data])
 
     return documents.mapInArrow(decode, schema)
 
 
-def _values(row: pa.ListScalar) -> list[int]:
-    """Ids of one row; no other row's are made Python numbers meanwhile."""
-    return row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the rows' ids in the run of all ids, and the ids; a null row has none."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(counts))), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _some_ids(batch: pa.RecordBatch, ids: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with at most ``limit`` ids, or one row."""
+    ends, start = _flat(batch.column(ids))[0], 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def digests(documents: DataFrame, ids: str = "ids", data: str = "data") -> DataFrame:
