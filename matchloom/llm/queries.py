@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, toxicity
+from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, substring_dedup, toxicity
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,6 +46,12 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decoded(rows.select("doc_id", "ids"), RANK_FILE))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without passages that an earlier one has."""
+    rows = substring_dedup.without_repeats(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Text lines of all pages without the boilerplate of their host."""
     pages = _table(spark, folder, "pages").select(
@@ -74,10 +80,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_pii, op5_decontamination, op6_byte_bpe, op8_line_dedup, op9_toxicity)
+    for f in (op1_minhash_dedup, op2_pii, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity)
 }
 ORACLES = {
     "op2_pii": sql.OP2,
     "op5_decontamination": sql.OP5,
+    "op7_substring_dedup": sql.OP7,
     "op8_line_dedup": sql.OP8,
 }

@@ -77,6 +77,22 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP7 = r"""
+WITH docs AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''),
+  chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win FROM (
+  SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM docs WHERE len(words) >= 50)),
+owners AS (SELECT win, min(doc_id) AS least FROM starts GROUP BY win HAVING min(doc_id) <> max(doc_id)),
+covered AS (SELECT doc_id, list(DISTINCT word_no) AS gone FROM (
+  SELECT doc_id, unnest(generate_series(i, i + 49)) AS word_no
+  FROM starts JOIN owners USING (win) WHERE doc_id > least) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(
+    list_transform(list_filter(generate_series(1, len(words)), lambda k: NOT list_contains(gone, k)), lambda k: words[k]),
+    ' ') END) AS kept_sha256
+FROM docs LEFT JOIN covered USING (doc_id)
+"""
+
 _INLINE = (
     "a|abbr|b|bdi|bdo|big|button|cite|code|data|del|dfn|em|font|i|img|input|ins|kbd|label|mark|q|s|samp|small|span"
     "|strike|strong|sub|sup|time|tt|u|var|wbr"
