@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, substring_dedup, toxicity
+from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, substring_dedup, toxicity, vector_search
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,6 +27,11 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(pii.with_personal_data(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best vectors of every 50th."""
+    return vector_search.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in all documents."""
     rows = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -80,10 +85,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_pii, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity)
+    for f in (op1_minhash_dedup, op2_pii, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity)
 }
 ORACLES = {
     "op2_pii": sql.OP2,
+    "op4_exact_topk": sql.OP4,
     "op5_decontamination": sql.OP5,
     "op7_substring_dedup": sql.OP7,
     "op8_line_dedup": sql.OP8,
