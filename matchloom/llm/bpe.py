@@ -140,8 +140,11 @@ class Remembered(dict):
         self.ids, self.ends = array("i"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
+        return self.add(piece, self.ids_of(piece))
+
+    def add(self, piece: str, ids: list[int]) -> int:
         number = self[piece] = len(self)
-        self.ids.extend(self.ids_of(piece))
+        self.ids.extend(ids)
         self.ends.append(len(self.ids))
         return number
 

@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, substring_dedup, toxicity, vector_search
+from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, storage, substring_dedup, token_files, toxicity, vector_search
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
+#: Appended to each document in token files.
+END_ID = 2
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +30,13 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(pii.with_personal_data(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    path = storage.new_folder(spark)
+    token_files.write(_table(spark, folder, "documents"), path, TOKENIZER_FILE, END_ID)
+    return token_files.read(spark, path, token_files.crc32, "bigint").withColumnRenamed("value", "ids_crc32")
+
+
 def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five best vectors of every 50th."""
     return vector_search.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -85,7 +95,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_pii, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity)
+    for f in (op1_minhash_dedup, op2_pii, op3_token_files, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity)
 }
 ORACLES = {
     "op2_pii": sql.OP2,
