@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dup, pii, sql, storage, substring_dedup, token_files, toxicity, vector_search
+from . import bpe, decontaminate, line_dedup, near_dup, pii, pitman_yor, sql, storage, substring_dedup, token_files, toxicity, vector_search
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -93,9 +93,17 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of all documents."""
+    rows = pitman_yor.scored(_table(spark, folder, "documents"), toxicity.remainder(F.col("doc_id"), 10) != 0)
+    return rows.withColumn("held_out", ~F.col("trained")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_pii, op3_token_files, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity)
+    for f in (op1_minhash_dedup, op2_pii, op3_token_files, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity, op10_pitman_yor)
 }
 ORACLES = {
     "op2_pii": sql.OP2,
