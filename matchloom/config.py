@@ -5,7 +5,9 @@ from __future__ import annotations
 import copy
 import json
 import os
+import re
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 
 ROLES = ("analyzer", "generator", "judge", "planner")
@@ -98,32 +100,22 @@ def load_config(run_dir: str) -> dict[str, dict[str, Any]]:
         return normalised_config(json.load(handle))
 
 
+#: An entry of an environment file: name, then a quoted or a plain value.
+ENTRY = re.compile(r"""\s*(?:export\s+)?(?P<name>[^#=\s][^=]*?)\s*=\s*(?:(?P<mark>["'])(?P<quoted>.*)(?P=mark)|(?P<plain>.*?))\s*""")
+
+
 def env_path(run_dir: str, env_file: str) -> str:
-    """Absolute as it is, else below the working directory, else below the run, if it exists there."""
-    if os.path.isabs(env_file):
-        return env_file
-    here, in_run = os.path.join(os.getcwd(), env_file), os.path.join(run_dir, env_file)
-    return in_run if not os.path.exists(here) and os.path.exists(in_run) else here
+    """The first place that has the file: the working directory, then the run; else the first place."""
+    places = [Path(env_file)] if os.path.isabs(env_file) else [Path.cwd() / env_file, Path(run_dir) / env_file]
+    return str(next((place for place in places if place.exists()), places[0]))
 
 
 def read_env(path: str) -> dict[str, str]:
     """``KEY=value`` lines; comments, ``export`` and one pair of equal quotes are understood."""
-    values: dict[str, str] = {}
     if not os.path.exists(path):
-        return values
-    with open(path, encoding="utf-8") as handle:
-        for line in handle.read().splitlines():
-            line = line.strip()
-            if line.startswith("export "):
-                line = line.removeprefix("export ").strip()
-            name, mark, value = line.partition("=")
-            if not mark or line.startswith("#"):
-                continue
-            value = value.strip()
-            if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]:
-                value = value[1:-1]
-            values[name.strip()] = value
-    return values
+        return {}
+    entries = map(ENTRY.fullmatch, Path(path).read_text(encoding="utf-8").splitlines())
+    return {e["name"]: e["plain"] if e["mark"] is None else e["quoted"] for e in entries if e}
 
 
 def first_filled(*values: str | None) -> str:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchloom.functions import text as tx
+
+#: Spellings of a number that count; Spark's cast alone also takes those of Java, such as ``1d``.
+DIGITS = "[0-9](?:_?[0-9])*"
+NUMBER = rf"[+-]?(?:(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?|(?i:inf|infinity|nan))"
+
 
 def two_places(value: Column) -> Column:
     """``0.87``-style text. Rounds the exact binary value, half to even."""
@@ -38,7 +44,8 @@ def score_or_else(score: Column, other: Column) -> Column:
 
 def safe_score(text: Column) -> Column:
     """Score out of untrusted text: unreadable is 0, the rest is clamped to [0, 1]."""
-    number = text.try_cast("double")
+    plain = tx.strip(text)
+    number = F.when(plain.rlike(f"^{NUMBER}$"), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
     return F.coalesce(round2(clamp(number, 0.0, 1.0)), F.lit(0.0))
 
 
@@ -49,17 +56,21 @@ def safe_texts(json_text: Column) -> Column:
     are dropped.
     """
     items = F.from_json(json_text, "array<variant>")
+    # A variant forgets whether a number was written with a point; the texts of the items know.
+    written = F.from_json(json_text, "array<string>")
 
-    def spelled(item: Column) -> Column:
+    def spelled(item: Column, place: Column) -> Column:
+        number = F.get(written, place)
         kind = F.schema_of_variant(item)
         plain = F.try_variant_get(item, "$", "string")
         return (
             F.when(item.isNull() | (kind == "VOID"), F.lit("None"))
             .when(kind == "BOOLEAN", F.initcap(plain))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & number.rlike("[.eE]"), number.try_cast("double").cast("string"))
             .otherwise(plain)
         )
 
-    kept = F.filter(F.transform(items, spelled), lambda item: F.trim(item) != "")
+    kept = F.filter(F.transform(items, spelled), lambda item: ~tx.is_blank(item))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

@@ -138,7 +138,10 @@ def settle_assessments(pairs: DataFrame) -> DataFrame:
     rejected = called & ~F.col("assessed")
     return checked.withColumns(
         {
-            "error_message": F.when(rejected, F.lit(INVALID_MESSAGE)).otherwise(F.col("error_message")),
+            # An error without a message gets its type, so that all later stages tell the same reason.
+            "error_message": F.when(rejected, F.lit(INVALID_MESSAGE)).otherwise(
+                F.coalesce(F.nullif(tx.strip(F.col("error_message")), F.lit("")), F.col("error_type"))
+            ),
             "error_type": F.when(rejected, F.lit(INVALID_TYPE)).otherwise(F.col("error_type")),
         }
     )

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from matchloom.operators import candidate as cand
 from matchloom.operators import explain, judge, parse, ranking, report, strategy, variants
 from matchloom.plans import stages
-from matchloom.session import split_hot_keys
 from matchloom.sources.records import write_table
 
 
@@ -24,7 +23,6 @@ def run_batch(resumes: DataFrame, jd_inputs: DataFrame, folder: str) -> dict[str
     ``resumes`` has one row per run (run_id, candidate_id, base_resume_path, resume_text),
     ``jd_inputs`` any number (run_id, input_ord, source_type, source_value, content).
     """
-    split_hot_keys(resumes.sparkSession)
     tables: dict[str, DataFrame] = {}
 
     def stored(name: str, rows: DataFrame) -> DataFrame:

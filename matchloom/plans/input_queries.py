@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.config import Endpoint
 from matchloom.functions import language as lang
 from matchloom.functions import naming as nm
 from matchloom.functions import scoring as sc
 from matchloom.functions import text as tx
-from matchloom.operators import remote, viewer
+from matchloom.operators import viewer
 from matchloom.plans import adapters as ad
 from matchloom.plans import oracle as sql
 from matchloom.plans.registry import registered
@@ -45,76 +41,63 @@ def sql_identifier(x: str) -> str:
 
 @registered(
     "identifier_like",
-    f"""SELECT page_id, {sql_identifier('url')} AS url_like, {sql_identifier('html[1:5]')} AS short_like,
-    {sql_identifier('html')} AS html_like FROM pages""",
+    f"""SELECT doc_id, {sql_identifier('lang')} AS short_like, {sql_identifier('source')} AS name_like,
+    {sql_identifier('text')} AS text_like FROM documents""",
 )
 def identifier_like(spark: SparkSession, folder: str) -> DataFrame:
-    return ad.table(spark, folder, "pages").select(
-        "page_id",
-        lang.identifier_like(F.col("url")).alias("url_like"),
-        lang.identifier_like(F.substring("html", 1, 5)).alias("short_like"),
-        lang.identifier_like(F.col("html")).alias("html_like"),
+    return ad.documents(spark, folder).select(
+        "doc_id",
+        lang.identifier_like(F.col("lang")).alias("short_like"),
+        lang.identifier_like(F.col("source")).alias("name_like"),
+        lang.identifier_like(F.col("text")).alias("text_like"),
     )
 
 
-@registered("json_language_check")
-def json_language_check(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested JSON replies, checked as a whole and below one key. The walk over unknown shapes is Python."""
-    text = F.translate("text", VOWELS, GLYPHS)
-    nested = F.struct(F.array("role", "text").alias("parts"), text.alias("note"))
-    replies = ad.table(spark, folder, "conversations").select(
-        "conv_id", "turn", F.to_json(F.struct(text.alias("reason"), nested.alias("detail"))).alias("reply")
+def sql_natural(x: str) -> str:
+    dominant = (
+        f"(len(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}]')) > 0 AND len(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}]'))"
+        f" >= 0.45e0 * (len(regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}]')) + len(regexp_extract_all({x}, '[A-Za-z]'))))"
     )
+    return f"(NOT {sql_identifier(x)})", f"({sql_identifier(x)} OR {dominant})"
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = batch.pop("reply").map(remote.json_object)
-            yield batch.assign(
-                whole=parsed.map(remote.values_chinese),
-                reason=parsed.map(lambda payload: remote.values_chinese(payload, frozenset({"reason"}))),
-            )
-
-    return replies.mapInPandas(check, "conv_id BIGINT, turn BIGINT, whole BOOLEAN, reason BOOLEAN")
-
-
-@registered("judge_remote_fake")
-def judge_remote_fake(spark: SparkSession, folder: str) -> DataFrame:
-    """Remote completions per conversation turn over a stand-in transport that answers, errs or babbles."""
-
-    def transport(url: str, payload: dict, headers: dict, timeout: int) -> dict:
-        prompt = payload["messages"][-1]["content"]
-        if len(prompt) > 1000:
-            raise TimeoutError("prompt too long")
-        score = len(prompt) / 1000
-        reason = "理由充分" if score < 0.5 else "reasons in English only"
-        content = f'```json\n{{"role_fit": {score}, "decision_rationale": "{reason}"}}\n```'
-        return {"choices": [{"message": {"content": content}}]}
-
-    turns = ad.table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    endpoint = Endpoint("openai-compatible", "stand-in", "http://invalid", "none")
-    replies = remote.completed(
-        turns, ["conv_id", "turn"], F.col("text"), endpoint, True, frozenset({"decision_rationale"}), transport
-    )
-    score = F.try_variant_get(F.try_parse_json("reply"), "$.role_fit", "double")
-    return replies.select("conv_id", "turn", sc.round2(score).alias("role_fit"), "error_type")
 
+NATURAL, GOOD = sql_natural("leaf")
 
-FENCED = "'```json' || chr(10) || props || chr(10) || '```'"
+
+@registered(
+    "json_language_check",
+    f"""SELECT conv_id, turn, bool_or({NATURAL}) AND bool_and({GOOD}) AS whole,
+    bool_and({GOOD}) FILTER (WHERE place = 1) AS reason
+    FROM (SELECT conv_id, turn, unnest([t, role, text, t]) AS leaf, unnest([1, 2, 3, 4]) AS place
+          FROM (SELECT *, translate(text, '{VOWELS}', '{GLYPHS}') AS t FROM conversations)) GROUP BY conv_id, turn""",
+)
+def json_language_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested JSON replies, checked as a whole and below one key."""
+    text = F.translate("text", VOWELS, GLYPHS)
+    nested = F.struct(F.array("role", "text").alias("parts"), text.alias("note"))
+    reply = F.to_json(F.struct(text.alias("reason"), nested.alias("detail")))
+    replies = ad.table(spark, folder, "conversations").select("conv_id", "turn", reply.alias("reply"))
+    return replies.select(
+        "conv_id",
+        "turn",
+        lang.texts_chinese(lang.json_texts(F.col("reply")), True).alias("whole"),
+        lang.texts_chinese(F.array(F.get_json_object("reply", "$.reason")), False).alias("reason"),
+    )
 
 
 @registered(
     "json_payload",
-    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, false AS bare_is_object FROM events""",
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value > 10 AS is_object FROM events""",
 )
 def json_payload(spark: SparkSession, folder: str) -> DataFrame:
     """JSON objects out of code fences; a bare number is JSON but no object."""
     fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    inner = tx.strip(F.regexp_replace(F.btrim(tx.strip(fenced), F.lit("`")), "^json", ""))
-    bare = F.schema_of_variant(F.try_parse_json(F.get_json_object("props", "$.k")))
+    either = F.when(F.col("value") > 10, fenced).otherwise(F.get_json_object("props", "$.k"))
+    kind = F.schema_of_variant(F.try_parse_json(lang.unfenced(either)))
     return ad.table(spark, folder, "events").select(
         "event_id",
-        F.try_variant_get(F.try_parse_json(inner), "$.k", "bigint").alias("k"),
-        F.startswith(bare, F.lit("OBJECT")).alias("bare_is_object"),
+        F.try_variant_get(F.try_parse_json(lang.unfenced(fenced)), "$.k", "bigint").alias("k"),
+        F.startswith(kind, F.lit("OBJECT")).alias("is_object"),
     )
 
 
@@ -132,12 +115,13 @@ def run_slug(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered(
     "next_command",
-    """SELECT page_id, 'python -m matchloom run --run-dir ./runs/run-' || page_id || ' --candidate-id cand-' || page_id
-    || ' --cv ./runs/run-' || page_id || '/input_files/cv --jd ./runs/run-' || page_id || '/input_files/jd' AS command
-    FROM pages""",
+    f"""SELECT page_id, 'python -m matchloom run --run-dir ./runs/' || run || ' --candidate-id cand-' || page_id
+    || ' --cv ./runs/' || run || '/input_files/cv --jd ./runs/' || run || '/input_files/jd' AS command
+    FROM (SELECT page_id, {SLUG} AS run FROM pages)""",
 )
 def next_command(spark: SparkSession, folder: str) -> DataFrame:
-    run, person = F.format_string("run-%d", "page_id"), F.format_string("cand-%d", "page_id")
+    slug = F.substring(F.btrim(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", "-"), F.lit("-")), 1, 48)
+    run, person = slug, F.format_string("cand-%d", "page_id")
     return ad.table(spark, folder, "pages").select("page_id", nm.next_command(run, person).alias("command"))
 
 
@@ -174,7 +158,7 @@ def upload_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as scanned inputs; those of one source could not be read."""
+    """Documents as scanned inputs; the reader reported those of one source as unreadable."""
     unread = F.col("source") == "src3"
     return ad.documents(spark, folder).select(
         F.col("lang").alias("run_id"),
@@ -185,7 +169,7 @@ def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.format_string("doc-%d.md", "doc_id").alias("original_name"),
         F.col("n_chars").alias("size_bytes"),
         F.lit("text/markdown").alias("media_type"),
-        F.when(unread, F.lit("")).otherwise(F.col("text")).alias("text"),
+        F.col("text"),
         F.when(unread, F.lit(files.UNPARSEABLE)).otherwise(F.lit(files.EXTRACTED)).alias("extraction_status"),
         F.lit(files.LOCAL_TEXT).alias("extraction_provider"),
         F.when(unread, F.lit("unreadable")).otherwise(F.lit("")).alias("extraction_error"),
@@ -240,17 +224,17 @@ def manifest_warnings(spark: SparkSession, folder: str) -> DataFrame:
     'extracted' AS extraction_status, CASE WHEN n_chars <= 0 THEN '--' WHEN n_chars < 1024 THEN n_chars || ' B'
         ELSE (CAST(floor(n_chars * 10 / 1024e0 + 0.5e0) AS BIGINT) // 10) || '.'
              || (CAST(floor(n_chars * 10 / 1024e0 + 0.5e0) AS BIGINT) % 10) || ' KB' END AS shown_size
-    FROM documents d WHERE lang <> 'en'
+    FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)
     UNION ALL
     SELECT l.doc_id, 'upload', 'label-' || l.doc_id || '.md', quality * 3000::BIGINT, 'draft',
     CASE WHEN quality = 0 THEN '--' ELSE '2.9 KB' END
-    FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE lang = 'en'""",
+    FROM labels l""",
 )
 def input_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Inputs per run (the language): all but one run are ingested, that one shows its upload draft."""
-    documents = ad.table(spark, folder, "documents")
-    ingested = documents.filter(F.col("lang") != "en").select(
-        F.col("lang").alias("run_id"),
+    """Inputs of runs: unlabelled documents are ingested ones, labelled ones stand in upload drafts."""
+    documents, labels = ad.table(spark, folder, "documents"), ad.table(spark, folder, "labels")
+    ingested = documents.join(labels.select("doc_id"), "doc_id", "left_anti").select(
+        F.concat(F.lit("run-"), "lang").alias("run_id"),
         F.lit(None).cast("string").alias("role"),
         F.lit(None).cast("string").alias("source_origin"),
         F.lit(None).cast("string").alias("original_name"),
@@ -260,8 +244,8 @@ def input_sources(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("extracted").alias("extraction_status"),
         F.lit(None).cast("string").alias("extraction_error"),
     )
-    drafts = ad.table(spark, folder, "labels").join(documents.select("doc_id", "lang"), "doc_id").select(
-        F.col("lang").alias("run_id"),
+    drafts = labels.join(documents.select("doc_id", "lang"), "doc_id").select(
+        F.concat(F.lit("draft-"), "lang").alias("run_id"),
         F.lit("cv").alias("role"),
         F.format_string("label-%d.md", "doc_id").alias("original_name"),
         F.format_string("input_files/cv/label-%d.md", "doc_id").alias("relative_path"),
@@ -311,16 +295,17 @@ def media_types(spark: SparkSession, folder: str) -> DataFrame:
     "pdf_literals",
     r"""SELECT conv_id, turn, array_to_string(list_transform(
         regexp_extract_all(regexp_replace('BT (' || replace(replace(replace(text, chr(92), ''), '(', ''), ')', '')
-            || ') Tj (second \\ part)  Tj (lost) TJ ET', '[^\x00-\x7f]', '?', 'g'), '\(([^()]*)\)\s*Tj', 1),
+            || ')' || chr(160) || 'Tj (second \\ part)  Tj (lost) TJ ET', '[^\x{0}-\x{ff}]', '?', 'g'),
+            '\(([^()]*)\)[\s\x0b\x1c-\x1f\x{85}\x{a0}]*Tj', 1),
         lambda s: replace(s, '\\', '\')), chr(10)) AS literals FROM conversations""",
 )
 def pdf_literals(spark: SparkSession, folder: str) -> DataFrame:
-    """Literal scan over made-up content streams of the turns."""
+    """Literal scan over content streams made of whole turns, with Latin-1 letters and a no-break space."""
     plain = F.regexp_replace("text", r"[\\()]", "")
-    stream = F.concat(F.lit("BT ("), plain, F.lit(") Tj (second \\\\ part)  Tj (lost) TJ ET"))
-    ascii_only = F.regexp_replace(stream, r"[^\x00-\x7f]", "?")
+    stream = F.concat(F.lit("BT ("), plain, F.lit(")\u00a0Tj (second \\\\ part)  Tj (lost) TJ ET"))
+    latin_only = F.regexp_replace(stream, r"[^\x00-\xff]", "?")
     return ad.table(spark, folder, "conversations").select(
-        "conv_id", "turn", files.pdf_literals(F.encode(ascii_only, "ISO-8859-1")).alias("literals")
+        "conv_id", "turn", files.pdf_literals(F.encode(latin_only, "ISO-8859-1")).alias("literals")
     )
 
 

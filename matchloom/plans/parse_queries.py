@@ -246,7 +246,8 @@ PROPS_SCORE = "TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50"
 @registered(
     "safe_score",
     f"""SELECT event_id, CASE WHEN k IS NULL THEN 0e0 ELSE {sql.r2('greatest(0e0, least(1e0, k))')} END AS score,
-    CASE WHEN t IS NULL THEN 0e0 ELSE {sql.r2('greatest(0e0, least(1e0, t))')} END AS unreadable
+    CASE WHEN t IS NULL THEN 0e0 ELSE {sql.r2('greatest(0e0, least(1e0, t))')} END AS unreadable,
+    CASE WHEN k IS NULL THEN 0e0 ELSE {sql.r2('greatest(0e0, least(1e0, k))')} END AS padded, 0e0 AS suffixed
     FROM (SELECT event_id, {PROPS_SCORE} AS k, TRY_CAST(event_type AS DOUBLE) AS t FROM events)""",
 )
 def safe_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,19 +257,22 @@ def safe_score(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         sc.safe_score(raw.cast("string")).alias("score"),
         sc.safe_score(F.col("event_type")).alias("unreadable"),
+        sc.safe_score(F.concat(F.lit("\t"), raw.cast("string"), F.lit("\u3000"))).alias("padded"),
+        sc.safe_score(F.concat(raw.cast("string"), F.lit("d"))).alias("suffixed"),
     )
 
 
 @registered(
     "safe_list",
-    """SELECT event_id, array_to_string(list_filter([CAST(json_extract_string(props, '$.k') AS VARCHAR), event_type,
-        CASE WHEN value > 10 THEN 'True' ELSE 'False' END, 'None'], lambda x: trim(x) <> ''), ' | ') AS items,
+    """SELECT event_id, array_to_string(list_filter([json_extract_string(props, '$.k'), json_extract_string(props, '$.k') || '.0', event_type,
+        CASE WHEN value > 10 THEN 'True' ELSE 'False' END, 'None'], lambda x: x IS NOT NULL), ' | ') AS items,
     0::BIGINT AS not_a_list FROM events""",
 )
 def safe_list(spark: SparkSession, folder: str) -> DataFrame:
     """Lists out of JSON text with numbers, texts, blanks, booleans and nulls in them."""
     payload = F.concat(
-        F.lit("["), F.get_json_object("props", "$.k"), F.lit(', "'), "event_type", F.lit('", " ", '),
+        F.lit("["), F.get_json_object("props", "$.k"), F.lit(", "), F.get_json_object("props", "$.k"),
+        F.lit('.0, "'), "event_type", F.lit('", " ", "\\t", "\u3000", '),
         F.when(F.col("value") > 10, "true").otherwise("false"), F.lit(", null]"),
     )
     return ad.table(spark, folder, "events").select(

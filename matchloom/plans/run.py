@@ -176,12 +176,8 @@ def remote_profiles(
 ) -> tuple[DataFrame, DataFrame]:
     """Profiles from the remote analyzer, and the built-in ones for runs it failed for.
 
-    One request carries a whole run, so its documents are put into one text, under the same
-    bound as the resume.
+    One request carries a whole run, so its documents are put into one text, as the resume is.
     """
-    size = inputs.agg(F.sum(F.length("text")).alias("chars")).head()["chars"]
-    if size is not None and size > MANIFEST_CHARS:
-        return people, documents
     item = F.struct("source_type", "source_value", F.col("text").alias("content"))
     sorted_items = F.array_sort(F.collect_list(F.struct("input_ord", item.alias("item"))))
     as_json = inputs.groupBy("run_id").agg(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from matchloom.operators import candidate as cand
 from matchloom.operators import explain, judge, ranking, rules, strategy, variants
 from matchloom.operators.ordering import last_per_key
-from matchloom.session import split_hot_keys
 
 PAIR = ["run_id", "jd_id", "variant_id"]
 
@@ -70,7 +69,6 @@ def scored_pairs(jds: DataFrame, candidates: DataFrame, variants_df: DataFrame)
     Texts are normalised on the side they belong to, before the joins. The pair join is an
     equi-join on (run_id, jd_id); the candidate is a lookup on run_id.
     """
-    split_hot_keys(jds.sparkSession)
     items = variants.work_items(rules.with_jd_norms(jds), rules.with_variant_norms(variants_df))
     pairs = items.join(cand.with_match_texts(candidates), "run_id")
     return rules.rule_evaluations(pairs)

@@ -19,6 +19,7 @@ def build_session(master: str | None = None, cores: int = 8) -> SparkSession:
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -38,7 +39,8 @@ def split_hot_keys(spark: SparkSession) -> None:
 
     By default Spark keeps such a partition whole when an aggregation on the same key follows, to
     save a shuffle. One document with a third of all variants, or one run with a third of all
-    documents, would then be one task.
+    documents, would then be one task. ``build_session`` sets the same; a caller with a session of
+    its own calls this once, operators never change settings.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -21,7 +21,7 @@ EXTRACTED, OCR, VISION, SIDECAR, UNPARSEABLE = "extracted", "ocr", "vision", "si
 LOCAL_TEXT, LOCAL_PDF, LOCAL_OCR = "local_text", "local_pdf", "local_ocr"
 DISABLED = "disabled"
 SIDECAR_SUFFIXES = (".txt", ".md")
-PDF_LITERAL = r"\(([^()]*)\)\s*Tj"
+PDF_LITERAL = rf"\(([^()]*)\){tx.SPACE}*Tj"
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 IMAGE_REPLY = T.StructType(

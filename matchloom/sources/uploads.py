@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchloom.config import default_config
 from matchloom.functions import naming as nm
+from matchloom.functions import text as tx
 from matchloom.operators.ordering import last_per_key
 from matchloom.sources.files import UNPARSEABLE
 from matchloom.sources.paths import literal
@@ -61,7 +62,7 @@ def upload_items(manifests: DataFrame) -> DataFrame:
     def text(name: str) -> Column:
         return F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit(""))
 
-    stored = F.trim(nm.slashed(text("storedRelativePath")))
+    stored = tx.strip(nm.slashed(text("storedRelativePath")))
     items = exploded.filter(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT"))).select(
         "run_id",
         nm.manifest_path(stored).alias("path_key"),
