@@ -18,6 +18,7 @@ an empty folder that reads as no documents. A single document of more tokens tha
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import zlib
@@ -67,14 +68,15 @@ class Encoder:
         self.split = splitter(COMMON_PATTERN)
         self.known, self.tokenize = Remembered(self.piece), self.tokenizer.model.tokenize
         # Byte-level tokenizers write a byte as a character: printable ones as they are, others from 256 on.
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.character = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        printable = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+        others = iter(range(256, 512))
+        self.characters = "".join(chr(b if b in printable else next(others)) for b in range(256))
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def piece(self, text: str) -> list[int]:
-        written = text.encode().decode("latin-1").translate(self.character)
+        written = codecs.charmap_decode(text.encode(), "strict", self.characters)[0]
         return [token.id for token in self.tokenize(written)]
 
     def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +116,15 @@ def compress(tokens: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarra
         chosen = np.sort(ordered[edges[chosen]])
         a, b = (chosen >> key[1]).astype(seq.dtype), (chosen & key[0]((1 << int(key[1])) - 1)).astype(seq.dtype)
         first = base + len(left)
-        # Only places whose symbols begin and end some chosen pair are looked up.
-        begins, ends = np.zeros((2, first), bool)
-        begins[a], ends[b] = True, True
-        at = np.flatnonzero(begins[seq[:-1]] & ends[seq[1:]])
-        which = np.minimum(np.searchsorted(chosen, pairs[at]), take - 1)
-        same = chosen[which] == pairs[at]
-        at, which = at[same], which[same]
+        # A table by left and right symbol tells each place's chosen pair; row and column 0 have none.
+        row, column = np.zeros((2, first), np.int32)
+        lefts, rights = np.unique(a), np.unique(b)
+        row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+        table = np.full((len(lefts) + 1, len(rights) + 1), -1, np.int16)
+        table[row[a], column[b]] = np.arange(take)
+        which = table.reshape(-1)[row[seq[:-1]] * table.shape[1] + column[seq[1:]]]
+        at = np.flatnonzero(which >= 0)
+        which = which[at].astype(np.int64)
         # In a run of overlapping matches every other one counts, from the left.
         new_run = np.r_[True, np.diff(at) != 1] if len(at) else np.zeros(0, bool)
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
