@@ -136,6 +136,15 @@ class Letters:
         return np.bincount(owner, self.logs[self.index[contexts], letters], len(words))
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers of 32 bits byte plane by byte plane: the high planes compress to nothing."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def _tokenized(documents: DataFrame) -> DataFrame:
     """Slices of documents: their words as numbers of the slice's vocabulary, and its training counts."""
 
@@ -146,7 +155,7 @@ def _tokenized(documents: DataFrame) -> DataFrame:
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(ids[train[text_of(bounds)]], minlength=len(vocabulary))
             words = pa.concat_arrays([vocabulary, pa.array([""])])  # the end of a text is the empty word
-            values = [part, batch.column("doc_id"), train, np.diff(bounds), ids.astype("<u4").tobytes(), words, [*counts.tolist(), int(train.sum())]]
+            values = [part, batch.column("doc_id"), train, np.diff(bounds), packed(ids), words, [*counts.tolist(), int(train.sum())]]
             kinds = [pa.int64(), None, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), None, pa.list_(pa.int64())]
             whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             columns = [
@@ -249,40 +258,37 @@ def scored(documents: DataFrame, train: Column, doc_id: str = "doc_id", text: st
             )
 
     model = counts.mapInArrow(predicted, "word string, c bigint, p double")
-    found = words.join(model, "word").groupBy("part").agg(F.collect_list(F.struct("place", "c", "p")).alias("found"))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                vocabulary = batch.column("words")[i].values
-                c, p = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary))
-                met = batch.column("found")[i].values
-                if met is not None:
-                    place = met.field("place").to_numpy()
-                    c[place], p[place] = met.field("c").to_numpy(), met.field("p").to_numpy()
-                p[c == 0] = unknown
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), "<u4").astype(np.int64)
-                sizes = batch.column("sizes")[i].values.to_numpy()
-                ids = np.insert(ids, np.cumsum(sizes), len(vocabulary) - 1)
-                owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-                base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-                log_p = np.log10(np.maximum(p, np.finfo(float).tiny))
-                add = lambda values: np.bincount(owner, values[ids], len(sizes))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_ids")[i].values,
-                        batch.column("train")[i].values,
-                        pa.array(sizes + 1),
-                        pa.array(add((c > 0).astype(float)).astype(np.int64)),
-                        pa.array(np.full(len(sizes), total)),
-                        pa.array(add(base)),
-                        pa.array(add(log_p)),
-                    ],
-                    ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    # A new name for the part: both sides of the last step come from the same table.
+    found = words.join(model, "word").select(F.col("part").alias("of_part"), "place", "c", "p")
+
+    def summed(texts: pa.Table, met: pa.Table) -> pa.Table:
+        """Scores of the texts of one part, whose words' counts and probabilities are ``met``."""
+        row = texts.slice(0, 1).to_pydict()
+        c = np.zeros(row["n_words"][0], np.int64)
+        p = np.full(len(c), unknown)
+        place = met.column("place").to_numpy()
+        c[place], p[place] = met.column("c").to_numpy(), met.column("p").to_numpy()
+        sizes = np.array(row["sizes"][0], np.int64)
+        ids = np.insert(unpacked(row["ids"][0]), np.cumsum(sizes), len(c) - 1)
+        owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+        log_p = np.log10(np.maximum(p, np.finfo(float).tiny))
+        add = lambda values: np.bincount(owner, values[ids], len(sizes))
+        return pa.table(
+            {
+                "doc_id": texts.column("doc_ids").combine_chunks().flatten(),
+                "trained": pa.array(row["train"][0], pa.bool_()),
+                "n_tokens": sizes + 1,
+                "n_known": add((c > 0).astype(float)).astype(np.int64),
+                "train_tokens": np.full(len(sizes), total),
+                "base_score": add(base),
+                "score": add(log_p),
+            }
+        )
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return parts.select("part", "doc_ids", "train", "sizes", "ids", "words").join(found, "part", "left").drop("part").mapInArrow(
+    texts = parts.select("part", "doc_ids", "train", "sizes", "ids", F.size("words").alias("n_words"))
+    return texts.groupBy("part").cogroup(found.groupBy("of_part")).applyInArrow(
         summed,
         f"doc_id {kind}, trained boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
