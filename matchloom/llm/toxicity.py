@@ -10,8 +10,9 @@ The model is fitted on at most ``SAMPLE_ROWS`` labelled documents, those of the
 them ``EPOCHS`` times in the order of that hash. Every document is scored over its whole text.
 
 Defined results: a null or empty text has the bias as its only feature and gets a score like any other.
-Labels that are null, or whose document is missing, are not learned from; without any labelled document
-the score is 0.5 for all. Of several labels of one id the largest counts. Equal texts get equal scores.
+Labels that are null, or whose document is missing, are not learned from; a model without any
+weight (no labelled document) gives all texts the score 0: nothing is known to be toxic. Of several labels of one id the largest counts. Equal texts get equal
+scores. Other columns stay; one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 STEM = 5
 #: From this score on a text is predicted as toxic.
 THRESHOLD = 0.3
+#: Bytes of text that a task makes features of at once.
+SLICE = 4_000_000
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +62,7 @@ def _feature_rows(labelled: DataFrame) -> DataFrame:
     """Feature places of each labelled text, as bytes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for b in batches for piece in slices(b)):
+        for batch in (piece for b in batches for piece in slices(b, "text", SLICE)):
             rows, places = features(batch.column("text"))
             keys = np.unique(rows << BITS | places)
             cuts = np.searchsorted(keys >> BITS, np.arange(1, batch.num_rows))
@@ -102,7 +105,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         .limit(sample_rows)
     )
     # At most sample_rows small rows: the bound of this broadcast.
-    rows = _feature_rows(documents.join(F.broadcast(chosen), "doc_id"))
+    rows = _feature_rows(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [
@@ -119,8 +122,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 def scored(documents: DataFrame, model: list[tuple[int, float]], text: str = "text", score: str = "score") -> DataFrame:
     """Documents with column ``score``, 0 to 1, of their whole texts."""
-    if score in documents.columns:
-        raise ValueError(f"the documents have a column {score}; give another name for the score")
+    documents = documents.drop(score)
     schema = T.StructType([*documents.schema.fields, T.StructField(score, T.DoubleType())])
     model = sorted(model)
     places, weights = np.array([p for p, _ in model], np.int64), np.array([w for _, w in model])
@@ -130,13 +132,13 @@ def scored(documents: DataFrame, model: list[tuple[int, float]], text: str = "te
         places, weights = (np.frombuffer(b, t) for b, t in zip(shared.value, (np.int64, np.float64), strict=True))
         known = np.zeros(1 << BITS, bool)
         known[places] = True
-        for batch in (piece for b in batches for piece in slices(b, text)):
+        for batch in (piece for b in batches for piece in slices(b, text, SLICE)):
             rows, at = features(batch.column(text))
             kept = known[at]
             keys = np.unique(rows[kept] << BITS | at[kept])
             values = weights[np.searchsorted(places, keys & (1 << BITS) - 1)] if len(keys) else np.zeros(0)
             total = np.bincount(keys >> BITS, values, batch.num_rows)
-            column = pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))))
+            column = pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))) * bool(len(places)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, score])
 
     return documents.mapInArrow(score_rows, schema)
