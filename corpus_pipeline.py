@@ -14,21 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import bpe, decontaminate, line_dedup, near_dup, queries, toxicity
-from matchloom.llm.storage import stored
+from matchloom.llm.storage import stored, unused_name
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold; the model learns from those with a label."""
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = toxicity.scored(docs, model, score="toxicity_score")
-    return rows.where(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+    score = unused_name(docs, "toxicity")
+    return toxicity.scored(docs, model, score=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents of their source carry."""
-    whole = docs.withColumn("whole_text", F.col("text"))
-    rows = line_dedup.without_boilerplate(whole, F.col("source"))
-    changed = ~F.col("text").eqNullSafe(F.col("whole_text"))
+    before = unused_name(docs, "text_before")
+    rows = line_dedup.without_boilerplate(docs.withColumn(before, F.col("text")), F.col("source"))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     n_chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", n_chars).select(*docs.columns)
 

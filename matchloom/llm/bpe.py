@@ -8,7 +8,8 @@ whose pair has changed meanwhile are skipped. A pre-token of n bytes takes at mo
 however long it is.
 
 Defined results: a null or empty text has no ids, an array with no items; null ids decode to empty
-bytes. Equal texts get equal ids. Other columns stay as they are.
+bytes. Equal texts get equal ids. Other columns stay as they are; one named as the result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -181,8 +182,7 @@ def _shared_file(spark: SparkSession, path: str) -> str:
 
 def encoded(documents: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Documents with column ``ids`` (array of int) made of their whole texts."""
-    if ids in documents.columns:
-        raise ValueError(f"the documents have a column {ids}; give another name for the ids")
+    documents = documents.drop(ids)
     schema = T.StructType([*documents.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
     name = _shared_file(documents.sparkSession, ranks)
 
@@ -200,8 +200,7 @@ def encoded(documents: DataFrame, ranks: str, pattern: str, text: str = "text",
 
 def decoded(documents: DataFrame, ranks: str, ids: str = "ids", data: str = "data") -> DataFrame:
     """Documents with column ``data`` (binary): the bytes of all their ids. Unknown ids stop the job."""
-    if data in documents.columns:
-        raise ValueError(f"the documents have a column {data}; give another name for the bytes")
+    documents = documents.drop(data)
     schema = T.StructType([*documents.schema.fields, T.StructField(data, T.BinaryType())])
     name = _shared_file(documents.sparkSession, ranks)
 

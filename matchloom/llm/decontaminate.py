@@ -10,6 +10,7 @@ same stage. Hashes only propose a window; a hit is confirmed word by word.
 Defined results: a null text, or one without words, has no words and no hits. Items without words
 or with a null text have no windows; an item with a null id marks words but is not named. Repeated
 documents are judged each by itself, repeated items are named once. An empty benchmark hits nothing.
+Other columns stay as they are; one named as the hits is replaced by them.
 """
 
 from __future__ import annotations
@@ -25,18 +26,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import SLICE_BYTES, slices, split_words, text_of, translated, utf8
+from .storage import unused_name
+from .texts import ALNUM_TABLE, SLICE_BYTES, slices, split_words, text_of, translated, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast.
 PART_BYTES = 8_000_000
-#: A word in a text, as a pattern over characters.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LETTERS = bytes(range(0x41, 0x5B))
-_TABLE = bytes(
-    32 if b < 0x30 or 0x39 < b < 0x41 or 0x5A < b < 0x61 or 0x7A < b < 0x80 else b + 32 if b in _LETTERS else b
-    for b in range(256)
-)
+#: A word in a text as it is, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOUND = "array<struct<start:bigint,end:bigint,item:string>>"
 
 
@@ -44,7 +41,7 @@ class WindowSet:
     """The windows of some items: word numbers, and sorted hashes that point at them."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
-        texts = translated(utf8(pa.array([t for _, t in items], pa.string())), _TABLE)
+        texts = translated(utf8(pa.array([t for _, t in items], pa.string())), ALNUM_TABLE)
         bounds, self.words, self.vocabulary = split_words(texts, lower=False)
         self.words = self.words.astype(np.int64)
         self.names = [i for i, _ in items]
@@ -109,7 +106,7 @@ def _scanned(rows: DataFrame, text: str, found: str, windows: WindowSet) -> Data
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(shared.value)
         for batch in (piece for b in batches for piece in slices(b, text, SLICE_BYTES)):
-            bounds, ids, vocabulary = split_words(translated(utf8(batch.column(text)), _TABLE), lower=False)
+            bounds, ids, vocabulary = split_words(translated(utf8(batch.column(text)), ALNUM_TABLE), lower=False)
             numbers = pc.fill_null(pc.index_in(vocabulary, value_set=known.vocabulary), -1)
             words = numbers.to_numpy(zero_copy_only=False).astype(np.int64)[ids] if len(ids) else np.zeros(0, np.int64)
             start, end, item = known.hits(words, bounds)
@@ -137,31 +134,22 @@ def with_hits(
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Documents with column ``found``: every occurrence of a window, as words start to end and item id."""
-    if found in documents.columns:
-        raise ValueError(f"the documents have a column {found}; give another name for the hits")
-    rows = documents.withColumn(found, F.lit(None).cast(_FOUND))
+    rows = documents.drop(found).withColumn(found, F.lit(None).cast(_FOUND))
     for windows in _parts(benchmark, item_id, item_text, window, part_bytes):
         rows = _scanned(rows, text, found, windows)
     return rows
 
 
-def _unused(documents: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in documents.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def clean_documents(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
     """Documents without any hit, with the columns they came with."""
-    found = _unused(documents, "found")
+    found = unused_name(documents, "found")
     rows = with_hits(documents, benchmark, text, found=found, **options)
     return rows.where(F.col(found).isNull()).drop(found)
 
 
 def clean_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
     """All documents, their texts without the characters from the first to the last word of each hit."""
-    found = _unused(documents, "found")
+    found = unused_name(documents, "found")
     rows = with_hits(documents, benchmark, text, found=found, **options)
     word = re.compile(WORD)
 
@@ -193,7 +181,7 @@ def contamination(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in slices(b)):
-            bounds, _, _ = split_words(translated(utf8(batch.column("text")), _TABLE), lower=False)
+            bounds, _, _ = split_words(translated(utf8(batch.column("text")), ALNUM_TABLE), lower=False)
             n_words, found = np.diff(bounds), batch.column("found")
             n_hit, items = np.zeros(len(n_words), np.int64), [[]] * len(n_words)
             hit_rows = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))

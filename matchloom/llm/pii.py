@@ -11,7 +11,8 @@ pieces give the places. Patterns use possessive quantifiers and start at the beg
 which finds the same leftmost matches in time linear in the text, without deep recursion.
 
 Defined results: a null or empty text has no spans. Places count code points, the end is exclusive.
-Kinds may overlap each other. Equal texts get equal spans, other columns stay as they are.
+Kinds may overlap each other. Equal texts get equal spans; other columns stay as they are,
+one named as the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import unused_name
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
 LEAST_SCORE = 0.5
@@ -126,8 +129,7 @@ def _places(text: Column, kind: str) -> Column:
 
 def with_personal_data(documents: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Documents with column ``spans``: kind, start, end, found text and score, by kind and then start."""
-    if spans in documents.columns:
-        raise ValueError(f"the documents have a column {spans}; give another name for the spans")
+    documents = documents.drop(spans)
     # The mark is a private character; where a text has it, another one of the same length stands in.
     clean = F.coalesce(F.translate(F.col(text).cast("string"), _MARK, _OTHER), F.lit(""))
     return documents.withColumn(spans, F.concat(*[_places(clean, kind) for kind in KINDS]))
@@ -135,9 +137,7 @@ def with_personal_data(documents: DataFrame, text: str = "text", spans: str = "s
 
 def redacted(documents: DataFrame, text: str = "text", least_score: float = 0.0) -> DataFrame:
     """Documents whose spans of at least ``least_score`` are replaced by ``[KIND]``, overlaps by the first."""
-    spans = "spans"
-    while spans in documents.columns:
-        spans += "_"
+    spans = unused_name(documents, "spans")
     rows = with_personal_data(documents, text, spans)
     chosen = F.filter(spans, lambda s: s["score"] >= least_score)
     order: Callable[[Column], Column] = lambda s: F.struct(

@@ -235,23 +235,23 @@ def scored(documents: DataFrame, train: Column, doc_id: str = "doc_id", text: st
     total, distinct = int(total or 0), int(distinct)
 
     whole = WORD_STRENGTH + total
-    samples: list[tuple[np.ndarray, np.ndarray, float, int]] = []
+    samples: list[tuple[np.ndarray, np.ndarray, float, int, float]] = []
     unknown = 0.0  # probability of all words together that training texts do not have
     letters, tables, _ = _sweep(counts, None, 0.0, 0)
     for turn in range(1, BURN_IN + SAMPLES + 1):
         now, (letters, tables_now, mass) = (letters, tables), _sweep(counts, letters, tables, turn)
         if turn > BURN_IN:
-            samples.append((now[0].index, now[0].logs, now[1], turn))
-            unknown += (WORD_STRENGTH + WORD_DISCOUNT * now[1]) / whole * max(1.0 - mass, 0.0) / SAMPLES
+            samples.append((now[0].index, now[0].logs, now[1], turn, tables_now))
+            unknown += (WORD_STRENGTH + WORD_DISCOUNT * tables_now) / whole * max(1.0 - mass, 0.0) / SAMPLES
         tables = tables_now
     shared = documents.sparkSession.sparkContext.broadcast(samples)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = np.zeros(batch.num_rows)
-            for index, logs, tables, turn in shared.value:
-                seated, by_letters = _word_tables(batch, _letters((index, logs)), tables, turn)
-                new = (WORD_STRENGTH + WORD_DISCOUNT * tables) * np.exp(by_letters)
+            for index, logs, before, turn, after in shared.value:
+                seated, by_letters = _word_tables(batch, _letters((index, logs)), before, turn)
+                new = (WORD_STRENGTH + WORD_DISCOUNT * after) * np.exp(by_letters)
                 sums += (batch.column("c").to_numpy() - WORD_DISCOUNT * seated + new) / whole
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("c"), pa.array(sums / len(shared.value))], ["word", "c", "p"]

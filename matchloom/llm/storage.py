@@ -41,6 +41,14 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
 
 
+def unused_name(rows: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it a name that no column of ``rows`` has in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(rows: DataFrame, *by: str) -> DataFrame:
     """Write ``rows`` once and read them back: lineage ends here, columns stay prunable."""
     spark, schema = rows.sparkSession, rows.schema
