@@ -42,6 +42,8 @@ WORD_DISCOUNT, WORD_STRENGTH = 0.6, 100.0
 LETTER_DISCOUNT, LETTER_STRENGTH = (0.5, 0.5, 0.5), (1.0, 1.0, 1.0)
 #: The end of a word as a letter, and the number of letters.
 STOP, LETTERS = 256, 257
+#: Text of a part, in bytes: the words of one part meet their counts in one task.
+PART_BYTES = 12_000_000
 #: Keys of sums that are not of letters: all tables, and the known words' probability.
 TABLES, MASS = -1, -2
 #: Customers seated one by one; beyond that steps grow by an eighth of what is seated.
@@ -150,7 +152,7 @@ def _tokenized(documents: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        for batch in (piece for b in batches for piece in slices(b)):
+        for batch in (piece for b in batches for piece in slices(b, "text", PART_BYTES)):
             bounds, ids, vocabulary = split_words(utf8(batch.column("text")))
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(ids[train[text_of(bounds)]], minlength=len(vocabulary))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that a task works on at once; one longer text is worked on alone.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 
 _UPPER = bytes(range(0x41, 0x5B))
 #: Keeps ASCII digits, lower-cased ASCII letters and all bytes beyond ASCII; the rest becomes a space.

@@ -23,6 +23,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class Encoder:
         )
         self.special = [t["content"] for t in known.get("added_tokens") or []]
         self.split = splitter(COMMON_PATTERN)
-        self.known, self.tokenize = Remembered(self.piece), self.tokenizer.model.tokenize
+        self.known, self.tokenize = Remembered(self.pieces), self.tokenizer.model.tokenize
         # Byte-level tokenizers write a byte as a character: printable ones as they are, others from 256 on.
         printable = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
         others = iter(range(256, 512))
@@ -75,9 +76,10 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def piece(self, text: str) -> list[int]:
-        written = codecs.charmap_decode(text.encode(), "strict", self.characters)[0]
-        return [token.id for token in self.tokenize(written)]
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        write, tokenize, characters = codecs.charmap_decode, self.tokenize, self.characters
+        rows = [[token.id for token in tokenize(write(t.encode(), "strict", characters)[0])] for t in texts]
+        return np.array(list(chain.from_iterable(rows)), np.int32), np.fromiter(map(len, rows), np.int64, len(rows))
 
     def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one run, and the texts' bounds in it."""
@@ -85,7 +87,7 @@ class Encoder:
         if not all(plain):
             rows = [self.ids(t, p) for t, p in zip(texts, plain, strict=True)]
             return np.concatenate([np.zeros(0, np.int32), *rows]), np.cumsum([0, *map(len, rows)])
-        return self.known.text_ids([self.split(t) for t in texts])
+        return self.known.text_ids(texts, self.split)
 
     def ids(self, text: str, plain: bool) -> np.ndarray:
         return self.runs([text])[0] if plain else np.array(self.whole(text), np.int32)

@@ -38,7 +38,7 @@ STEM = 5
 #: From this score on a text is predicted as toxic.
 THRESHOLD = 0.3
 #: Bytes of text that a task makes features of at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
