@@ -101,11 +101,13 @@ def ingest(
         tables[role] = uploads.manifest_items(documents, uploaded, role, run_dir)
     for role, name in (("cv", "candidate_inputs"), ("jd", "jd_inputs")):
         tables[role].drop("run_id").write.mode("overwrite").json(artifact(run_dir, "ingest", name))
+    warnings = uploads.input_warnings(tables["cv"]).unionByName(uploads.input_warnings(tables["jd"]))
+    warnings.drop("run_id").write.mode("overwrite").json(artifact(run_dir, "ingest", "input_warnings"))
     return write_manifest(spark, run_dir, candidate_id, tables["cv"], tables["jd"])
 
 
 def write_manifest(spark: SparkSession, run_dir: str, candidate_id: str, cvs: DataFrame, jds: DataFrame) -> str:
-    """Manifest of the run; the texts are in it only as long as they are few and short."""
+    """Manifest of the run. It repeats inputs and warnings, which have tables of their own, if they are few and short."""
     first = cvs.agg(F.min_by("source_value", "input_ord").alias("path")).head()["path"]
     both = cvs.unionByName(jds)
     size = both.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).head()
@@ -199,18 +201,38 @@ def remote_profiles(
     return merged(answered_people, people), merged(answered_documents, documents)
 
 
+def evidence_rows(people: DataFrame, documents: DataFrame) -> DataFrame:
+    """Evidence map as ordered rows of JSON: the candidate, the risks, then one row per document."""
+    part = lambda name: F.lit(name).alias("part")
+    person = people.select(
+        F.lit(-2).cast("long").alias("place"),
+        F.to_json(F.struct(part("candidate"), "core_claims", "verified_evidence", "missing_evidence_areas")).alias("value"),
+    )
+    risks = people.select(
+        F.lit(-1).cast("long").alias("place"),
+        F.to_json(F.struct(part("risks"), F.col("missing_evidence_areas").alias("risks"))).alias("value"),
+    )
+    jds = parse.jd_evidence(documents).select(
+        F.col("jd_index").cast("long").alias("place"),
+        F.to_json(F.struct(part("jd"), "jd_id", "must_have", "source_snippets", "risk_signals")).alias("value"),
+    )
+    return person.unionByName(risks).unionByName(jds)
+
+
 def write_evidence(people: DataFrame, documents: DataFrame, path: str) -> None:
-    """Evidence map as one object; as a folder of rows per document if it is large."""
-    person = people.select("core_claims", "verified_evidence", "missing_evidence_areas").head().asDict()
+    """Evidence map as one object; as a folder of its rows, all of them, if it is large."""
 
     def assembled(lines: Iterator[str]) -> str:
-        jds = {row.pop("jd_id"): row for row in map(json.loads, lines)}
-        whole = {"candidate": person, "jds": jds, "risks": person["missing_evidence_areas"]}
+        whole: dict[str, Any] = {"candidate": {}, "jds": {}, "risks": []}
+        for row in map(json.loads, lines):
+            part = row.pop("part")
+            if part == "jd":
+                whole["jds"][row.pop("jd_id")] = row
+            else:
+                whole[part] = row if part == "candidate" else row["risks"]
         return json.dumps(whole, indent=2, ensure_ascii=False)
 
-    rows = parse.jd_evidence(documents).orderBy("jd_index")
-    as_json = F.to_json(F.struct("jd_id", "must_have", "source_snippets", "risk_signals"))
-    write_lines(rows.select(as_json.alias("value")), path, assembled)
+    write_lines(evidence_rows(people, documents).orderBy("place").select("value"), path, assembled)
 
 
 def generate(spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json) -> dict[str, Any]:
@@ -344,10 +366,9 @@ def report_rows(spark: SparkSession, run_dir: str) -> DataFrame:
 def write_report(spark: SparkSession, run_dir: str, title: str = report.TITLE) -> str:
     cfg.load_config(run_dir)
     person = read(spark, run_dir, "analyze", "candidate_profile").select("candidate_id").head()["candidate_id"]
-    blocks = report_rows(spark, run_dir).orderBy("priority_rank")
     head = "\n".join(report.header_lines(person, run_dir, title))
+    blocks = report_rows(spark, run_dir).select(F.col("priority_rank").cast("long").alias("rank"), "block")
+    header = spark.range(1).select(F.lit(0).cast("long").alias("rank"), F.lit(head).alias("block"))
+    rows = header.unionByName(blocks).orderBy("rank").select(F.to_json(F.struct("rank", "block")).alias("value"))
     path = os.path.join(run_dir, "report", "summary.md")
-    write_lines(blocks.select(F.col("block").alias("value")), path, lambda lines: "\n".join([head, *lines]))
-    if os.path.isdir(path):
-        Path(path, "header.md").write_text(head, encoding="utf-8")
-    return path
+    return write_lines(rows, path, lambda lines: "\n".join(json.loads(line)["block"] for line in lines))

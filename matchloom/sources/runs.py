@@ -150,4 +150,13 @@ def ingested_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
 def load_report(spark: SparkSession, folder: str, run_id: str) -> DataFrame | None:
     """Report lines of a run in order, or None when it has no report."""
     path = os.path.join(folder, run_id, "report", "summary.md")
-    return spark.read.text(literal(path)) if os.path.exists(path) else None
+    if not os.path.exists(path):
+        return None
+    if not os.path.isdir(path):
+        return spark.read.text(literal(path))
+    blocks = spark.read.schema("rank BIGINT, block STRING").json(literal(path))
+    # A newline at the very end closes the last line and begins none.
+    last = F.col("rank") == blocks.agg(F.max("rank")).scalar()
+    text = F.when(last, F.regexp_replace("block", r"\n\z", "")).otherwise(F.col("block"))
+    lines = blocks.select("rank", F.posexplode(F.split(text, "\n")).alias("line", "value"))
+    return lines.orderBy("rank", "line").select("value")
