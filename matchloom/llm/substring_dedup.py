@@ -146,13 +146,23 @@ def _windows(marked: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.cumsum(near) > 0)
             owner = text_of(bounds)[starts]
             a, b = window_hashes(hashes, starts)
+            # A window that a document repeats is one row with all its starts.
+            order = np.lexsort((starts, b, a, owner))
+            a, b, owner, starts = a[order], b[order], owner[order], starts[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new)
+            places = pa.array((starts - bounds[owner]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(a)].astype(np.int32)), places)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner)), pa.array((starts - bounds[owner]).astype(np.int32)), pa.array(a), pa.array(b)],
-                ["doc_id", "start", "a", "b"],
+                [batch.column("doc_id").take(pa.array(owner[first])), lists, pa.array(a[first]), pa.array(b[first])],
+                ["doc_id", "starts", "a", "b"],
             )
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.select("doc_id", "text", "places").mapInArrow(located, f"doc_id {kind}, start int, a bigint, b bigint")
+    return marked.select("doc_id", "text", "places").mapInArrow(
+        located, f"doc_id {kind}, starts array<int>, a bigint, b bigint"
+    )
 
 
 def _as_ranges(starts: DataFrame) -> DataFrame:
@@ -162,13 +172,13 @@ def _as_ranges(starts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for row in batch.column("starts"):
-                at = np.unique(row.values.to_numpy())
+                at = np.unique(row.values.flatten().to_numpy())
                 cut = np.flatnonzero(np.diff(at) > WINDOW) + 1
                 rows.append([{"start": int(p[0]), "end": int(p[-1]) + WINDOW} for p in np.split(at, cut)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "ranges"])
 
-    rows = starts.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    rows = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
     return rows.mapInArrow(joined, f"doc_id {starts.schema['doc_id'].dataType.simpleString()}, ranges {_RANGES}")
 
 
@@ -193,7 +203,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     windows = stored(_windows(documents.join(_sent(marks, size), "doc_id")))
     owners = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     found = windows.join(owners.where("least <> most"), ["a", "b"]).where(F.col("doc_id") > F.col("least"))
-    return copies.unionByName(_as_ranges(found.select("doc_id", "start")))
+    return copies.unionByName(_as_ranges(found.select("doc_id", "starts")))
 
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
