@@ -12,6 +12,7 @@ from matchloom.plans import stages
 from matchloom.plans.parse_queries import shown
 from matchloom.plans.registry import registered
 from matchloom.session import durable
+from matchloom.sources.records import checked
 
 
 def made_variants(spark: SparkSession, folder: str) -> DataFrame:
@@ -490,3 +491,44 @@ def report_summary(spark: SparkSession, folder: str) -> DataFrame:
     return viewer.report_summary(tops, stages.strategies(rows), explain.explanation_rows(rows), gaps).select(
         "run_id", *[shown(column).alias(column) for column in ("recommendations", "evidence", "interview_prep")]
     )
+
+
+@registered(
+    "rejoined",
+    sql.query(
+        """SELECT jd_id, variant_id, assessed, final_overall_score,
+        CASE WHEN NOT assessed THEN split_part(failure, ': ', 1) END AS error_type,
+        CASE WHEN NOT assessed THEN split_part(failure, ': ', 2) END AS error_message FROM final"""
+    ),
+)
+def rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Scorecards put together again with their documents, variants, assessments, failures and explanations."""
+    documents, people, made = inputs(spark, folder)
+    rows = durable(stages.settled(ad.with_judge(stages.scored_pairs(documents, people, made), ad.table(spark, folder, "labels"))))
+    cards = rows.select(*stages.PAIR, "jd_index", "variant_ord", "final_overall_score")
+    whole = stages.rejoined(cards, documents, people, made, stages.assessments(rows), judge.failure_rows(rows), rows)
+    return whole.select("jd_id", "variant_id", "assessed", "final_overall_score", "error_type", "error_message")
+
+
+@registered(
+    "record_defaults",
+    """SELECT event_id, 'jd-' || user_id AS jd_id, 'variant-' || event_id AS variant_id, event_type AS stage,
+    CASE WHEN event_type = 'error' THEN props ELSE '' END AS raw_output_excerpt FROM events""",
+)
+def record_defaults(spark: SparkSession, folder: str) -> DataFrame:
+    """Failure records out of events: required fields are there, a missing optional one takes its default."""
+    rows = ad.table(spark, folder, "events").select(
+        F.format_string("jd-%d", "user_id").alias("jd_id"),
+        F.format_string("variant-%d", "event_id").alias("variant_id"),
+        F.col("event_type").alias("stage"),
+        F.lit("built-in").alias("provider"),
+        F.lit("none").alias("model"),
+        F.col("event_type").alias("error_type"),
+        F.col("props").alias("error_message"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("raw_output_excerpt"),
+        F.col("user_id").alias("jd_index"),
+        F.col("event_id").alias("variant_ord"),
+    )
+    return checked(rows, "llm_failures").select(
+        F.col("variant_ord").alias("event_id"), "jd_id", "variant_id", "stage", "raw_output_excerpt"
+    )
