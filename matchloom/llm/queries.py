@@ -106,6 +106,7 @@ QUERIES = {
     for f in (op1_minhash_dedup, op2_pii, op3_token_files, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity, op10_pitman_yor)
 }
 ORACLES = {
+    "op1_minhash_dedup": sql.OP1,
     "op2_pii": sql.OP2,
     "op4_exact_topk": sql.OP4,
     "op5_decontamination": sql.OP5,

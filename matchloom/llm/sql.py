@@ -87,6 +87,25 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+OP1 = """
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+  'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda w: w <> '') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (
+  SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * c >= 75 * (s.n + t.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS node, doc_id AS label FROM docs
+  UNION SELECT b.y, r.label FROM reached r JOIN both_ways b ON b.x = r.node),
+labels AS (SELECT node AS doc_id, min(label) AS component_id FROM reached GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM labels LEFT JOIN sizes USING (doc_id)
+"""
+
 OP7 = r"""
 WITH docs AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''),
   chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '') AS words FROM documents),
