@@ -28,8 +28,8 @@ ERROR_TEXTS = {
     "missing_jd": "At least one JD file is required.",
     "empty_file": "File {name} is empty.",
     "file_too_large": "File {name} exceeds the 10MB limit.",
-    "unsupported_file_type": "Unsupported file type: {name}.",
-    "unsafe_filename": "Uploaded filenames must not contain paths.",
+    "unsupported_file_type": "Unsupported file type: {extension}",
+    "unsafe_filename": "Uploaded filename is invalid.",
     "run_exists": "Run already exists.",
     "write_failed": "Failed to create draft run.",
 }
@@ -40,7 +40,8 @@ class DraftError(Exception):
     """A draft that cannot be created, with a stable ``code``."""
 
     def __init__(self, code: str, name: str = "") -> None:
-        super().__init__(ERROR_TEXTS[code].format(name=name))
+        extension = os.path.splitext(name)[1].lower() or "none"
+        super().__init__(ERROR_TEXTS[code].format(name=name, extension=extension))
         self.code = code
 
 
