@@ -29,6 +29,8 @@ BASE_KINDS = KINDS[:4]
 LEAST_SCORE = 0.5
 #: Characters before a span in which context words count.
 CONTEXT = 40
+#: Pieces of a text between marks that are worked on at once; an even number.
+CHUNK = 256
 _MARK, _OTHER = "\ue000", "\ue001"
 #: Score of a confirmed span, what a context word adds, and the words.
 SCORES = {
@@ -98,32 +100,70 @@ def _confirmed(kind: str, found: Column, before: Column, after: Column) -> Colum
     return F.lit(True)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _places(text: Column, kind: str) -> Column:
-    """Array of (kind, start, end, found, score) of the confirmed spans of one kind."""
+    """Array of (kind, start, end, found, score) of the confirmed spans of one kind.
+
+    Pieces of the text stand in turn outside and inside of matches. They are worked on in chunks, so that
+    the cost of appending spans does not grow with the square of their number.
+    """
     base, more, words = SCORES[kind]
-    pieces = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_MARK}$0{_MARK}"), _MARK, -1)
+    marked = F.split(F.regexp_replace(text, PATTERNS[kind], f"{_MARK}$0{_MARK}"), _MARK, -1)
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,found:string,score:double>>")
+    last = lambda text: F.right(text, F.lit(CONTEXT))
 
     def step(state: Column, piece: Column) -> Column:
-        start, end = state["at"], state["at"] + F.char_length(piece)
-        reach = F.greatest(start - CONTEXT, F.lit(0))
-        before = F.substring(text, reach + 1, start - reach)
-        after = F.substring(text, end + 1, F.lit(1))
+        """A match waits for the piece behind it, which tells the character after it."""
+        start, match, before = state["at"], state["match"], state["before"]
+        end = start + F.char_length(match)
         near = F.lower(before).rlike(f"(?:^|[^a-z])(?:{words})")
         score = F.lit(base) + F.when(near, F.lit(more)).otherwise(F.lit(0.0))
-        good = _confirmed(kind, piece, before, after)
+        good = _confirmed(kind, match, before, F.left(piece, F.lit(1)))
         if kind not in BASE_KINDS:
             good = good & (score >= LEAST_SCORE)
         span = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), piece.alias("found"), score.alias("score")
+            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), match.alias("found"), score.alias("score")
+        )
+        waits = F.struct(
+            start.alias("at"), before.alias("before"), piece.alias("match"), F.lit(False).alias("inside"), state["spans"].alias("spans")
+        )
+        goes_on = F.struct(
+            (end + F.char_length(piece)).alias("at"),
+            last(F.concat(before, match, piece)).alias("before"),
+            F.lit("").alias("match"),
+            F.lit(True).alias("inside"),
+            F.when((match != "") & good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
+        )
+        return F.when(state["inside"], waits).otherwise(goes_on)
+
+    def chunk(pieces: Column, starts: Column, i: Column) -> Column:
+        # Every other piece is a match of a character at least, so these many hold the context.
+        from_ = F.greatest(i * CHUNK - 2 * CONTEXT, F.lit(0))
+        before = last(F.array_join(F.slice(pieces, from_ + 1, i * CHUNK - from_), ""))
+        state = F.struct(
+            F.get(starts, i).alias("at"), before.alias("before"), F.lit("").alias("match"), F.lit(False).alias("inside"), empty.alias("spans")
+        )
+        return F.aggregate(F.slice(pieces, i * CHUNK + 1, F.lit(CHUNK + 1)), state, step, lambda state: state["spans"])
+
+    def spans(pieces: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 2) / CHUNK).cast("int"))
+        size = lambda i: F.aggregate(
+            F.slice(pieces, i * CHUNK + 1, F.lit(CHUNK)), F.lit(0), lambda total, piece: total + F.char_length(piece)
+        )
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        add = lambda state, n: F.struct(
+            (state["at"] + n).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")
         )
-        spans = F.when(state["inside"] & good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), spans.alias("spans"))
+        starts = F.aggregate(F.transform(chunks, size), none, add, lambda state: state["starts"])
+        found = _bound(starts, lambda at: F.flatten(F.transform(chunks, lambda i: chunk(pieces, at, i))))
+        # A text of one piece has no match: most texts end here.
+        return F.when(F.size(pieces) > 1, found).otherwise(empty)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("spans"))
-    found = F.aggregate(pieces, start, step, lambda state: state["spans"])
-    # A text of one piece has no match: most texts end here.
-    found = F.when(F.size(pieces) > 1, found).otherwise(empty)
+    found = _bound(marked, spans)
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), found).otherwise(empty) if kind in _NEEDS else found
 
 
