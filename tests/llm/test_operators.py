@@ -415,6 +415,33 @@ def test_language_model_counts_and_probabilities(spark, odd, empty):
     assert pitman_yor.scored(empty, F.lit(True)).count() == 0
 
 
+def test_language_model_scores_word_order(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 300)
+    rng = random.Random(17)
+    follows = {w: rng.sample("abcdefgh", 2) for w in "abcdefgh"}
+
+    def walk():
+        out = [rng.choice("abcdefgh")]
+        while len(out) < 30:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    texts, held = [walk() for _ in range(120)], [walk() for _ in range(20)]
+    turned = [rng.sample(w, len(w)) for w in held]
+    probe = [[a, b] for a in "abcdefgh" for b in [*"abcdefgh", "neverseenword"]] + [[a] for a in "abcdefgh"]
+    rows = frame(spark, [" ".join(w) for w in texts + held + turned + probe])
+    found = [r.score for r in pitman_yor.scored(rows, F.col("doc_id") < 120).orderBy("doc_id").collect()]
+    held_scores, turned_scores, of_probe = found[120:140], found[140:160], found[160:]
+    # Two words may follow each: about log10(2) a token, and much less in another order.
+    assert np.mean(held_scores) / 30 > -0.45 and all(a > b + 5 for a, b in zip(held_scores, turned_scores))
+    # What follows a word, known or not, and the end sum to one.
+    single = dict(zip("abcdefgh", of_probe[-8:]))
+    p_end = 1 - sum(10 ** (s - single["a"]) for s in of_probe[:9])
+    for i, a in enumerate("abcdefgh"):
+        assert sum(10 ** (s - single[a]) for s in of_probe[9 * i : 9 * i + 9]) == pytest.approx(1 - p_end, abs=1e-5)
+    assert 0.02 < p_end < 0.6
+
+
 def test_seating_has_a_table_for_each_dish():
     customers = np.array([1, 2, 50, 10_000])
     tables = pitman_yor.seat(customers, np.full(4, 0.5), 0.5, np.arange(4).astype(np.uint64), 1)
