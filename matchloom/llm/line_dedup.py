@@ -12,7 +12,8 @@ shuffle. A site's boilerplate lines are fewer than its mean number of lines a pa
 Defined results: a null text stays null and has no lines; an empty text stays empty. Pages with a null
 site are a site of their own. A line that a page repeats counts once for it. A site of fewer than
 ``least_pages`` pages has no boilerplate, since a share of one or two pages says nothing. A page of
-boilerplate only becomes an empty text. Repeated pages are pages. Other columns stay as they are.
+boilerplate only becomes an empty text, or with ``keep_whole`` stays as it was. Repeated pages are pages, unless
+``counted`` has other rows to count lines in. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -70,10 +71,16 @@ def without_boilerplate(
     joint: str = "\n",
     ratio: float = RATIO,
     least: int = LEAST_PAGES,
+    counted: DataFrame | None = None,
+    keep_whole: bool = False,
 ) -> DataFrame:
-    """Pages with their boilerplate lines taken out; a page without any keeps its text as it was."""
+    """Pages with their boilerplate lines taken out; a page without any keeps its text as it was.
+
+    ``counted`` are the pages whose lines are counted, all by default.
+    """
     names = pages.columns
-    found = stored(boilerplate(pages, site, F.col(text), breaks, ratio, least).select("site", "lines"))
+    counted = pages if counted is None else counted
+    found = stored(boilerplate(counted, site, F.col(text), breaks, ratio, least).select("site", "lines"))
     if (found.agg(F.sum(F.size("lines"))).head()[0] or 0) <= SENT_LINES:
         found = F.broadcast(found)
     whole = pages.select(
@@ -86,7 +93,10 @@ def without_boilerplate(
     # A null digest (an empty line) is in no list: array_contains gives null for it.
     dropped = lambda line: F.coalesce(F.array_contains("lines", _digest(line)), F.lit(False))
     rows = rows.select("page", "parts", F.filter("parts", lambda line: ~dropped(line)).alias("kept"))
-    short = F.when(F.size("kept") < F.size("parts"), F.array_join("kept", joint)).otherwise(F.col(f"page.`{text}`"))
+    shorter = F.size("kept") < F.size("parts")
+    if keep_whole:
+        shorter &= F.exists("kept", lambda line: _digest(line).isNotNull())
+    short = F.when(shorter, F.array_join("kept", joint)).otherwise(F.col(f"page.`{text}`"))
     return rows.select(*[short.alias(c) if c == text else F.col(f"page.`{c}`").alias(c) for c in names])
 
 

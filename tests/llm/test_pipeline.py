@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 pytest.importorskip("matchloom.llm")
@@ -57,3 +59,18 @@ def test_stages_take_empty_tables_and_nulls(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert ids(corpus_pipeline.run(spark, SF)) == ids(stages["byte_bpe"])
+
+
+def test_copies_do_not_lose_their_lines_as_boilerplate(spark):
+    rng = random.Random(1)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    exact, near = [line() for _ in range(3)], [line() for _ in range(4)]
+    texts = [["menu", *exact]] * 20 + [["menu", *near[:3], near[3] + f" v{i}"] for i in range(20)]
+    texts += [["menu", line(), line()] for _ in range(18)] + [["menu"]] * 2
+    rows = [(i, "\n".join(t), "en", "src", 1) for i, t in enumerate(texts)]  # two groups of a third each
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.drop_boilerplate(spark, docs, SF).cache()
+    assert {r.doc_id: r.text for r in kept.collect()} == {
+        i: "menu" if t == ["menu"] else "\n".join(t[1:]) for i, t in enumerate(texts)
+    }
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, kept, SF)) == {0, 20, *range(40, 59)}
