@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import unused_name
+from .storage import stored, unused_name
 from .texts import ALNUM_TABLE, SLICE_BYTES, slices, split_words, text_of, translated, utf8
 
 WINDOW = 10
@@ -91,6 +91,7 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, window: int, part_byte
     items = benchmark.where(F.col(text).isNotNull()).select(
         F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")
     )
+    items = stored(items.distinct())  # repeated rows would all fall into one part
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     count = max(1, -(-2 * total // part_bytes)) if total > part_bytes else 1
     for part in range(count):

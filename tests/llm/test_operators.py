@@ -311,6 +311,13 @@ def test_decontamination_equals_plain_search(spark, odd, empty, part_bytes):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_repeated_benchmark_rows_count_once(spark):
+    items = [(1, "one two three four")] * 100 + [(2, "five six"), (3, "five six"), (None, "seven")] * 2
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    parts = list(decontaminate._parts(bench, "item_id", "text", 10, 1000))
+    assert len(parts) == 1 and sorted(map(str, parts[0].names)) == ["1", "2", "3", "None"]
+
+
 # -- substrings
 
 
