@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dup, pii, pitman_yor, sql, storage, substring_dedup, token_files, toxicity, vector_search
+from . import (
+    bpe, decontaminate, fill_middle, line_dedup, near_dup, pii, pitman_yor, sql, storage, substring_dedup, token_files, toxicity,
+    url_rules, vector_codes, vector_search,
+)
 
 #: Where the vocabulary files are; a caller may name others.
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -14,6 +17,18 @@ PATTERN = public_tokenizers.PATTERN
 TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 #: Appended to each document in token files.
 END_ID = 2
+#: Host rules of the url filter, as (verdict, host and path).
+HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: Patterns of the url filter: advertising, betting, junk shops, adult pages, and pages without prose of their own.
+URL_PATTERNS = [
+    "||ads-track.", "||ads.", "||adserver.", "||doubleclick.", "||tracking.", "/adserver/", "/banner/ads/", "/pixel.gif",
+    "||free-bets.", "||casino-win.", "||casino.", "||poker.", "||betting.", "/sports-betting/",
+    "||cheap-pills.", "||pharmacy-online.", "||spam-farm.", "||link-farm.", "/buy-now/*/checkout^",
+    "||adult-x.", "||xxx.", "||porn.", "/adult/videos/",
+    "/login^", "/signin^", "/cart^", "/checkout^", "/wp-login.php", "^replytocom=", "^sessionid=", "^phpsessid=",
+    "/search^*^q=", "/calendar/*/month/", "/print^|", "/feed/rss^",
+    "@@||free-bets.*/help/responsible-gaming^", "@@||casino.*/history/", "@@/login/help^",
+]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -101,9 +116,41 @@ def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors as product codes, with their errors and those of their label."""
+    rows = _table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    kept, width = vector_codes.integer_vectors(rows, "embedding")
+    books = vector_codes.train(kept, "vec_id", "embedding", width)
+    coded = storage.stored(vector_codes.encoded(kept, "embedding", books))
+    # Written first, so that its size decides how the join is done, and a label of many rows moves none of them.
+    sums = storage.stored(coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id",
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.sha2(F.lit(vector_codes.books_text(books)).cast("binary"), 256).alias("codebooks_sha256"),
+    )
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return url_rules.judged(_table(spark, folder, "pages").select("page_id", "url"), "url", HOST_RULES, URL_PATTERNS).drop("url")
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents stored as frames, transformed and restored."""
+    store = storage.stored(fill_middle.framed(_table(spark, folder, "documents").select("doc_id", "text")))
+    return fill_middle.digests(fill_middle.transformed(store, "doc_id", seed=1))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_pii, op3_token_files, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup, op8_line_dedup, op9_toxicity, op10_pitman_yor)
+    for f in (
+        op1_minhash_dedup, op2_pii, op3_token_files, op4_exact_topk, op5_decontamination, op6_byte_bpe, op7_substring_dedup,
+        op8_line_dedup, op9_toxicity, op10_pitman_yor, op11_vector_codes, op12_url_filter, op13_fill_middle,
+    )
 }
 ORACLES = {
     "op1_minhash_dedup": sql.OP1,
@@ -112,4 +159,7 @@ ORACLES = {
     "op5_decontamination": sql.OP5,
     "op7_substring_dedup": sql.OP7,
     "op8_line_dedup": sql.OP8,
+    "op11_vector_codes": sql.vector_codes(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS),
+    "op12_url_filter": sql.url_filter(HOST_RULES, [url_rules.pattern(text) for text in URL_PATTERNS]),
+    "op13_fill_middle": sql.OP13,
 }

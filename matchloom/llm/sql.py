@@ -156,3 +156,79 @@ OP8 = line_dedup(
     "page_id",
     "page_id, host",
 )
+
+
+def vector_codes(parts: int, entries: int, rounds: int) -> str:
+    """SQL of the product codes: a table of codebooks and one of assignments for each round."""
+    steps = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, part, v[part * size + 1:(part + 1) * size] AS p
+  FROM (SELECT vec_id, v, len(v) // {parts} AS size, unnest(range({parts})) AS part FROM kept)),
+book0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, p FROM cut
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries})"""
+    for i in range(rounds + 1):
+        steps += f""",
+near{i} AS MATERIALIZED (SELECT c.vec_id, c.part, any_value(c.p) AS p, min(struct_pack(far := list_inner_product(c.p, c.p)
+    - 2 * list_inner_product(c.p, b.p) + list_inner_product(b.p, b.p), entry := b.entry)) AS best
+  FROM cut c JOIN book{i} b USING (part) GROUP BY c.vec_id, c.part)"""
+        if i < rounds:
+            steps += f""",
+mean{i} AS (SELECT part, entry, list(x ORDER BY place) AS p FROM (
+  SELECT part, entry, place, floor(sum(x) / count(*)) AS x FROM (
+    SELECT part, best.entry AS entry, unnest(p) AS x, unnest(range(len(p))) AS place FROM near{i}) GROUP BY ALL)
+  GROUP BY part, entry),
+book{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.p, b.p) AS p FROM book{i} b LEFT JOIN mean{i} m USING (part, entry))"""
+    return f"""{steps},
+codes AS (SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.far)::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, place))
+   FROM (SELECT part, entry, unnest(p) AS x, unnest(range(len(p))) AS place FROM book{rounds})) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def url_filter(host_rules: list[tuple[str, str]], patterns: list) -> str:
+    """SQL of the url filter: every pattern runs on every url."""
+    fits = lambda p: f"regexp_matches(low, {_quoted(p.regex.replace(chr(92) + 'A', '^').replace(chr(92) + 'Z', '$'))}, 's')"
+    any_of = lambda some: " OR ".join(fits(p) for p in some) or "false"
+    rows = ", ".join(f"({_quoted(v)}, {_quoted(t.partition('/')[0])}, {_quoted(t[t.index('/'):])}, {_quoted(t)})" for v, t in host_rules)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    at = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
+    return f"""
+WITH rules(verdict, host, path, rule) AS (VALUES {rows}),
+urls AS (SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
+  translate(regexp_extract(coalesce(url, ''), '{at}', 1), '{upper}', '{lower}') AS host,
+  regexp_extract(coalesce(url, ''), '{at}', 2) AS path FROM pages),
+fits AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(r.verdict, length(rule)) AS verdict
+  FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE
+  WHEN ({any_of(p for p in patterns if not p.exception)}) AND NOT ({any_of(p for p in patterns if p.exception)})
+  THEN 'block' ELSE 'allow' END) AS verdict
+FROM urls LEFT JOIN fits USING (page_id)
+"""
+
+
+OP13 = """
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+  list_transform(range(4), lambda i: ('0x' || sha256('1:' || doc_id)[8 * i + 1:8 * i + 8])::BIGINT) AS h FROM documents),
+cut AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90
+    THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM base),
+made AS (SELECT *, CASE form WHEN 'plain' THEN t
+  WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+  ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END AS made FROM cut),
+pieces AS (SELECT *, CASE form WHEN 'psm' THEN string_split(made[4:], '<S>') WHEN 'spm' THEN string_split(made[4:], '<P>') END AS x,
+  string_split(made, '<M>')[2] AS middle FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(made) AS output_sha256, sha256(CASE form WHEN 'plain' THEN made
+    WHEN 'psm' THEN x[1] || middle || string_split(x[2], '<M>')[1]
+    ELSE string_split(x[2], '<M>')[1] || middle || x[1] END) AS restored_sha256
+FROM pieces
+"""
