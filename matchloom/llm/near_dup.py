@@ -40,6 +40,8 @@ SHINGLE = 5
 SYMBOLS, SYMBOL_BITS, CHUNK = 48, 16, 4
 #: Links need PART[0] * intersection >= PART[1] * union.
 PART = (100, 75)
+#: Text bytes whose sets a task holds at once.
+SET_BYTES = 1_000_000
 #: Pairs across components under one key that are compared as rows; more are compared in blocks of classes.
 ROW_PAIRS, BLOCK = 500, 256
 _rng = np.random.RandomState(75)
@@ -101,7 +103,7 @@ def _described(documents: DataFrame) -> DataFrame:
     """Per document: set size, 128 bits of the set, and the signature."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for b in batches for piece in slices(b)):
+        for batch in (piece for b in batches for piece in slices(b, "text", SET_BYTES)):
             bounds, values = shingle_sets(batch.column("text"))
             sizes = np.diff(bounds)
             rows = np.flatnonzero(sizes)
@@ -109,11 +111,12 @@ def _described(documents: DataFrame) -> DataFrame:
             for i in rows:
                 digest = xxhash.xxh3_128_intdigest(values[bounds[i] : bounds[i + 1]].tobytes())
                 a[i], b[i] = np.array([digest & 2**64 - 1, digest >> 64], np.uint64).view(np.int64)
-            packed: list[bytes | None] = [None] * len(sizes)
-            for i, row in zip(rows, signatures(bounds, values), strict=True):
-                packed[i] = row.tobytes()
+            signs = signatures(bounds, values)
+            # An empty set has an empty signature.
+            ends = np.concatenate(([0], np.cumsum((sizes > 0) * signs.itemsize * SYMBOLS))).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(signs)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), pa.array(packed, pa.binary())],
+                [batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(a), pa.array(b), packed],
                 ["doc_id", "n_shingles", "a", "b", "signature"],
             )
 
@@ -147,7 +150,7 @@ def _sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Full sets of the classes: the sorted shingles of the document that names the class."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for b in batches for piece in slices(b)):
+        for batch in (piece for b in batches for piece in slices(b, "text", SET_BYTES)):
             bounds, values = shingle_sets(batch.column("text"))
             sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["class", "shingles"])
