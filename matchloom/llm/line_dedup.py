@@ -10,8 +10,8 @@ shuffle. A site's boilerplate lines are fewer than its mean number of lines a pa
 ``ratio``, so the list that joins its pages is bounded by the length of pages, not by their number.
 
 Defined results: a null text stays null and has no lines; an empty text stays empty. Pages with a null
-site are a site of their own. A line that a page repeats counts once for it. A site of fewer than
-``least_pages`` pages has no boilerplate, since a share of one or two pages says nothing. A page of
+site are a site of their own. A line that a page repeats counts once for it. The share alone decides, on
+small sites as on large ones; only a line that a single page has is never boilerplate. A page of
 boilerplate only becomes an empty text, or with ``keep_whole`` stays as it was. Repeated pages are pages, unless
 ``counted`` has other rows to count lines in. Other columns stay as they are.
 """
@@ -25,8 +25,6 @@ from .storage import stored
 
 #: Share of a site's pages above which a line is boilerplate.
 RATIO = 0.1
-#: Sites with fewer pages than this have no boilerplate.
-LEAST_PAGES = 10
 #: Boilerplate digests that may go to all tasks; more are joined by a shuffle.
 SENT_LINES = 200_000
 #: What ends a line.
@@ -45,9 +43,7 @@ def _digest(line: Column) -> Column:
     return F.when(line != "", F.md5(line.cast("binary")))
 
 
-def boilerplate(
-    pages: DataFrame, site: Column, text: Column, breaks: str = BREAK, ratio: float = RATIO, least: int = LEAST_PAGES
-) -> DataFrame:
+def boilerplate(pages: DataFrame, site: Column, text: Column, breaks: str = BREAK, ratio: float = RATIO) -> DataFrame:
     """Per site with boilerplate: its number of pages and its boilerplate line digests."""
     rows = pages.select(F.coalesce(site.cast("string"), F.lit("")).alias("site"), text.alias("text"))
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
@@ -56,7 +52,7 @@ def boilerplate(
     ).where(F.col("line").isNotNull())
     counts = lines.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return (
-        counts.join(totals.where(F.col("n_pages") >= least), "site")
+        counts.join(totals, "site")
         .where(F.col("n") > ratio * F.col("n_pages"))
         .groupBy("site")
         .agg(F.first("n_pages").alias("n_pages"), F.collect_list("line").alias("lines"))
@@ -70,7 +66,6 @@ def without_boilerplate(
     breaks: str = BREAK,
     joint: str = "\n",
     ratio: float = RATIO,
-    least: int = LEAST_PAGES,
     counted: DataFrame | None = None,
     keep_whole: bool = False,
 ) -> DataFrame:
@@ -80,7 +75,7 @@ def without_boilerplate(
     """
     names = pages.columns
     counted = pages if counted is None else counted
-    found = stored(boilerplate(counted, site, F.col(text), breaks, ratio, least).select("site", "lines"))
+    found = stored(boilerplate(counted, site, F.col(text), breaks, ratio).select("site", "lines"))
     if (found.agg(F.sum(F.size("lines"))).head()[0] or 0) <= SENT_LINES:
         found = F.broadcast(found)
     whole = pages.select(
@@ -105,8 +100,13 @@ INLINE = (
     "a|abbr|b|bdi|bdo|big|button|cite|code|data|del|dfn|em|font|i|img|input|ins|kbd|label|mark|q|s|samp|small|span"
     "|strike|strong|sub|sup|time|tt|u|var|wbr"
 )
-UNSEEN = rf"(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->|/?(?:{INLINE})(?:[\s/][^>]*)?>)"
-LINE_END = r"(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*"
+# What is opened and never closed goes to the page's end, and no tag reaches past the next "<": each pattern
+# reads a page once. Possessive repeats keep long runs of tags or line breaks off the stack.
+UNSEEN = (
+    r"(?is)<(?:script.*?(?:</script>|\z)|style.*?(?:</style>|\z)|!--.*?(?:-->|\z)"
+    rf"|/?(?:{INLINE})(?:[\s/][^<>]*+)?>)"
+)
+LINE_END = r"(?:\n|<[^<>]*+>)(?:[ \t\n]++|<[^<>]*+>)*+"
 
 
 def page_text(html: Column) -> Column:

@@ -128,7 +128,7 @@ _INLINE = (
 )
 
 
-def line_dedup(source: str, site: str, key: str, columns: str, ratio: float = 0.1, least: int = 10) -> str:
+def line_dedup(source: str, site: str, key: str, columns: str, ratio: float = 0.1) -> str:
     """SQL of the line dedup: ``source`` has ``key``, ``text``, a site expression and other ``columns``."""
     return f"""
 WITH base AS (SELECT *, coalesce({site}, '') AS site_key FROM ({source})),
@@ -137,7 +137,7 @@ lines AS (SELECT {key}, site_key, unnest(parts) AS line, unnest(generate_series(
 trimmed AS (SELECT *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(133) || chr(160)) AS short FROM lines),
 totals AS (SELECT site_key, count(*) AS pages FROM base GROUP BY site_key),
 boiler AS (SELECT site_key, short FROM (SELECT DISTINCT {key}, site_key, short FROM trimmed WHERE short <> '')
-  JOIN totals USING (site_key) WHERE pages >= {least}
+  JOIN totals USING (site_key)
   GROUP BY site_key, short, pages HAVING count(*) > 1 AND count(*) > {ratio}::DOUBLE * pages),
 marked AS (SELECT t.*, b.short IS NOT NULL AS drop_it FROM trimmed t LEFT JOIN boiler b USING (site_key, short)),
 short_texts AS (SELECT {key}, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT drop_it), '') AS kept,
@@ -150,8 +150,8 @@ OP8 = line_dedup(
     rf"""SELECT page_id,
       nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
       trim(regexp_replace(regexp_replace(html,
-        '(?is)<(?:script.*?</script>|style.*?</style>|!--.*?-->|/?(?:{_INLINE})(?:[\s/][^>]*)?>)', '', 'g'),
-        '(?:\n|<[^>]*>)(?:[ \t\n]|<[^>]*>)*', chr(10), 'g'), chr(10)) AS text FROM pages""",
+        '(?is)<(?:script.*?(?:</script>|\z)|style.*?(?:</style>|\z)|!--.*?(?:-->|\z)|/?(?:{_INLINE})(?:[\s/][^<>]*)?>)', '', 'g'),
+        '(?:\n|<[^<>]*>)(?:[ \t\n]|<[^<>]*>)*', chr(10), 'g'), chr(10)) AS text FROM pages""",
     "host",
     "page_id",
     "page_id, host",
