@@ -15,7 +15,8 @@ with a smaller id. Windows are judged on the input.
 4. The least id of each window hash confirms which windows recur; their starts make ranges of words.
 
 Defined results: a null or empty text has no words. Documents of fewer than ``WINDOW`` words lose none.
-Rows of one id are never compared with each other; a row without an id is not compared at all.
+Rows of one id are never compared with each other, and each loses words by its own text; a row without
+an id is not compared at all.
 Repeated windows inside a document are no reason to remove words. The kept text is the kept words joined
 by one space. Two different windows pass for the same with a probability of 2 ** -128.
 """
@@ -84,7 +85,7 @@ def window_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _described(documents: DataFrame) -> DataFrame:
-    """Per document: number of words, 128 bits of the word sequence, and its phrases."""
+    """Per document: its text's key, number of words, 128 bits of the word sequence, and its phrases."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in slices(b)):
@@ -99,18 +100,19 @@ def _described(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(np.diff(bounds)),
                     pa.array(a),
                     pa.array(b),
                     pa.ListArray.from_arrays(cuts, pa.array(grams)),
                     pa.ListArray.from_arrays(cuts, pa.array(places.astype(np.int32))),
                 ],
-                ["doc_id", "n_words", "a", "b", "phrases", "places"],
+                ["doc_id", "text_key", "n_words", "a", "b", "phrases", "places"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.mapInArrow(
-        made, f"doc_id {kind}, n_words bigint, a bigint, b bigint, phrases array<bigint>, places array<int>"
+        made, f"doc_id {kind}, text_key string, n_words bigint, a bigint, b bigint, phrases array<bigint>, places array<int>"
     )
 
 
@@ -120,7 +122,7 @@ def _sent(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _windows(marked: DataFrame) -> DataFrame:
-    """Windows around every occurrence of a shard's phrases: doc_id, start and two hashes."""
+    """Windows around every occurrence of a shard's phrases: doc_id and text (ta, tb), starts and two hashes."""
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in slices(b, "text", SHARD_BYTES)):
@@ -155,13 +157,18 @@ def _windows(marked: DataFrame) -> DataFrame:
             places = pa.array((starts - bounds[owner]).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(a)].astype(np.int32)), places)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner[first])), lists, pa.array(a[first]), pa.array(b[first])],
-                ["doc_id", "starts", "a", "b"],
+                [
+                    *(batch.column(c).take(pa.array(owner[first])) for c in ("doc_id", "ta", "tb")),
+                    lists,
+                    pa.array(a[first]),
+                    pa.array(b[first]),
+                ],
+                ["doc_id", "ta", "tb", "starts", "a", "b"],
             )
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    return marked.select("doc_id", "text", "places").mapInArrow(
-        located, f"doc_id {kind}, starts array<int>, a bigint, b bigint"
+    return marked.select("doc_id", "ta", "tb", "text", "places").mapInArrow(
+        located, f"doc_id {kind}, ta bigint, tb bigint, starts array<int>, a bigint, b bigint"
     )
 
 
@@ -176,43 +183,50 @@ def _as_ranges(starts: DataFrame) -> DataFrame:
                 cut = np.flatnonzero(np.diff(at) > WINDOW) + 1
                 rows.append([{"start": int(p[0]), "end": int(p[-1]) + WINDOW} for p in np.split(at, cut)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "ranges"])
+            names = ["doc_id", "ta", "tb"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, kind)], [*names, "ranges"])
 
-    rows = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    return rows.mapInArrow(joined, f"doc_id {starts.schema['doc_id'].dataType.simpleString()}, ranges {_RANGES}")
+    rows = starts.groupBy("doc_id", "ta", "tb").agg(F.collect_list("starts").alias("starts"))
+    kind = starts.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(joined, f"doc_id {kind}, ta bigint, tb bigint, ranges {_RANGES}")
 
 
 def repeated_ranges(documents: DataFrame) -> DataFrame:
-    """Of documents (doc_id, text) that lose words: doc_id and the ranges of words."""
+    """Of documents (doc_id, text, text_key) that lose words: doc_id, text_key and the ranges of words."""
     described = stored(_described(documents))
     long = described.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
     first = long.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
     copies = long.join(first, ["a", "b"]).where(F.col("doc_id") > F.col("first"))
-    copies = copies.select(
-        "doc_id", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("ranges")
-    )
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("ranges")
+    copies = copies.select("doc_id", F.col("a").alias("ta"), F.col("b").alias("tb"), whole)
     # One document of each sequence: its phrases.
+    name = F.struct("doc_id", "text_key", F.col("a").alias("ta"), F.col("b").alias("tb"), "phrases", "places")
+    firsts = long.groupBy("a", "b").agg(F.min_by(name, F.struct("doc_id", "text_key")).alias("d"))
     pairs = F.explode(F.arrays_zip("phrases", "places")).alias("pair")
-    firsts = long.groupBy("a", "b").agg(F.min_by(F.struct("doc_id", "phrases", "places"), "doc_id").alias("d"))
-    single = firsts.select("d.*").select("doc_id", pairs).select("doc_id", "pair.phrases", "pair.places")
-    single = stored(single.withColumnRenamed("phrases", "phrase").withColumnRenamed("places", "place"))
+    single = firsts.select("d.*").select("doc_id", "text_key", "ta", "tb", pairs)
+    single = stored(single.select("doc_id", "text_key", "ta", "tb", F.col("pair.phrases").alias("phrase"), F.col("pair.places").alias("place")))
     recurring = single.groupBy("phrase").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     recurring = recurring.where("least <> most").select("phrase")
-    marks = stored(single.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
-    size = marks.agg(F.sum(F.size("places") * 4 + 40))
-    windows = stored(_windows(documents.join(_sent(marks, size), "doc_id")))
+    marks = single.join(recurring, "phrase").groupBy("doc_id", "text_key", "ta", "tb").agg(F.collect_set("place").alias("places"))
+    marks = stored(marks)
+    size = marks.agg(F.sum(F.size("places") * 4 + 100))
+    windows = stored(_windows(documents.join(_sent(marks, size), ["doc_id", "text_key"])))
     owners = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     found = windows.join(owners.where("least <> most"), ["a", "b"]).where(F.col("doc_id") > F.col("least"))
-    return copies.unionByName(_as_ranges(found.select("doc_id", "starts")))
+    ranges = copies.unionByName(_as_ranges(found.select("doc_id", "ta", "tb", "starts")))
+    # Texts of one id and the same words lose the same, whatever their white space.
+    texts = long.select("doc_id", "text_key", F.col("a").alias("ta"), F.col("b").alias("tb")).distinct()
+    return ranges.join(texts, ["doc_id", "ta", "tb"]).select("doc_id", "text_key", "ranges")
 
 
 def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_removed and kept_text, the words that stay."""
-    documents = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    value = F.col(text).cast("string")
+    key = F.md5(F.coalesce(value, F.lit("")).cast("binary"))
+    documents = documents.select(F.col(doc_id).alias("doc_id"), value.alias("text"), key.alias("text_key"))
     ranges = stored(repeated_ranges(documents))
-    # Rows of one id share their ranges only if their words agree: one row of ranges for each id.
-    ranges = ranges.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    size = ranges.agg(F.sum(F.size("ranges") * 24 + 40))
+    ranges = ranges.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    size = ranges.agg(F.sum(F.size("ranges") * 24 + 80))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for b in batches for piece in slices(b)):
@@ -231,6 +245,6 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             columns = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    rows = documents.join(_sent(ranges, size), "doc_id", "left")
+    rows = documents.join(_sent(ranges, size), ["doc_id", "text_key"], "left").drop("text_key")
     kind = documents.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")

@@ -51,7 +51,9 @@ def prose(seed, n, size=40):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return frame(spark, ODD_TEXTS).union(frame(spark, [None]).withColumn("doc_id", F.lit(None).cast("bigint"))).cache()
+    rows = frame(spark, ODD_TEXTS).union(frame(spark, [None]).withColumn("doc_id", F.lit(None).cast("bigint"))).cache()
+    yield rows
+    rows.unpersist()
 
 
 @pytest.fixture(scope="module")
@@ -347,6 +349,11 @@ def test_substring_dedup_equals_plain_search(spark, odd, empty):
     assert [tuple(r) for r in found] == kept_words(list(enumerate(texts)))
     rows = substring_dedup.without_repeats(odd.union(odd)).where("n_removed > 0").collect()
     assert rows == []  # rows of one id are not compared
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(1, p), (2, f"lead {p}"), (2, q), (3, q), (3, q.replace(" ", "  ")), (3, f"{q} {p}"), (None, p)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = Counter((r.doc_id, r.n_words, r.kept_text) for r in substring_dedup.without_repeats(table).collect())
+    assert found == Counter([(1, 60, p), (2, 61, "lead"), (2, 60, q), (3, 60, ""), (3, 60, ""), (3, 120, ""), (None, 60, p)])
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
@@ -360,14 +367,16 @@ def test_line_dedup_equals_plain_count(spark, odd, empty):
         site = rng.choice(["a", "a", "a", "b", "c", None])
         lines = [rng.choice(["menu", " menu\t", "footer", "", "x"] + [f"line {rng.randrange(60)}"] * 4) for _ in range(rng.randrange(6))]
         rows.append((i, site, None if i % 50 == 0 else rng.choice(["\n", "\r\n"]).join(lines)))
-    rows += [(900 + i, "tiny", "same\nsame") for i in range(3)]
+    rows += [(900 + i, f"tiny{i // 3}", f"same\nsame\nown {i}" if i % 3 else "else") for i in range(9)]  # hosts of three pages
+    rows += [(950, "alone", "one page\nsame"), (951, "pair", "same\none"), (952, "pair", "same\ntwo")]
     table = spark.createDataFrame(rows, "page_id int, site string, text string")
     found = {r.page_id: r.text for r in line_dedup.without_boilerplate(table, F.col("site")).collect()}
     pages, carried = Counter(r[1] for r in rows), Counter()
     cut = lambda t: re.split(r"\r\n|\n|\r", t)
     for _, site, text in rows:
         carried.update({(site, x.strip()) for x in (cut(text) if text is not None else []) if x.strip()})
-    bad = {k for k, n in carried.items() if pages[k[0]] >= 10 and n > 1 and n > 0.1 * pages[k[0]]}
+    bad = {k for k, n in carried.items() if n > 1 and n > 0.1 * pages[k[0]]}
+    assert ("tiny0", "same") in bad and ("pair", "same") in bad and not any(site == "alone" for site, _ in bad)
     for i, site, text in rows:
         lines = [] if text is None else cut(text)
         kept = [x for x in lines if (site, x.strip()) not in bad]
@@ -377,6 +386,21 @@ def test_line_dedup_equals_plain_count(spark, odd, empty):
     assert line_dedup.without_boilerplate(empty, F.col("source")).count() == 0
 
 
+def test_page_text_of_long_runs(spark):
+    n = 100_000
+    pages = {
+        "breaks": "a" + "\n" * n + "b", "tags": "a" + "<p>" * n + "b", "mixed": "a" + "<br> \n\t</p>" * n + "b", "open": "a" + "<" * n + "b",
+        "never closed": "a" + "<p " * n + "b", "inline": "a" + "<b>" * n + "</b>" * n + "c", "inline open": "a" + "<b " * n,
+        "scripts": "a" + "<script>x" * n + "</script>b", "script open": "a<p>" + "<script" * n, "comments": "a" + "<!--" * n,
+    }
+    rows = spark.createDataFrame(list(pages.items()), "name string, html string")
+    found = {r.name: r.text for r in rows.select("name", line_dedup.page_text(F.col("html")).alias("text")).collect()}
+    assert found == {
+        "breaks": "a\nb", "tags": "a\nb", "mixed": "a\nb", "open": pages["open"], "never closed": pages["never closed"], "inline": "ac",
+        "inline open": pages["inline open"], "scripts": "ab", "script open": "a", "comments": "a",
+    }
+
+
 # -- toxicity
 
 

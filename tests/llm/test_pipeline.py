@@ -23,7 +23,9 @@ def stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF).cache()
         out[name] = docs
-    return out
+    yield out
+    for rows in out.values():  # other tests read the same tables, and their plans would show these
+        rows.unpersist()
 
 
 def ids(rows):
@@ -74,3 +76,4 @@ def test_copies_do_not_lose_their_lines_as_boilerplate(spark):
         i: "menu" if t == ["menu"] else "\n".join(t[1:]) for i, t in enumerate(texts)
     }
     assert ids(corpus_pipeline.drop_near_duplicates(spark, kept, SF)) == {0, 20, *range(40, 59)}
+    kept.unpersist()
