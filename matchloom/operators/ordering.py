@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from matchloom.session import durable
 
+#: Positions that may go to all tasks: keys and a number each, some 100 bytes.
+SENT_ROWS = 1_000_000
+
 
 def running_total(
     rows: DataFrame,
@@ -25,7 +28,8 @@ def running_total(
     group, so there are fewer of these offsets than slices and they are safe to broadcast.
 
     ``key`` names the columns that identify a row within its group, ``order`` must not tie.
-    By default only the keys and the value take that route and the wide row is joined back;
+    By default only the keys and the value take that route, and their positions come to the wide
+    rows: up to ``SENT_ROWS`` of them are sent to all tasks, so that no text moves, more are joined.
     ``carry`` takes the whole row along, for rows that cost more to compute again than to move.
     """
     sort_columns = [F.col(f"_order{index}") for index in range(len(order))]
@@ -49,7 +53,10 @@ def running_total(
     placed = sliced.join(F.broadcast(offsets), [*group, "_slice"], "left").select(
         *kept, total.cast("long").alias(name)
     )
-    return placed if carry else rows.join(placed, [*group, *key])
+    if carry:
+        return placed
+    few = sliced.count() <= SENT_ROWS  # row counts of a stage table's files
+    return rows.join(F.broadcast(placed) if few else placed, [*group, *key])
 
 
 def numbered(

@@ -310,7 +310,10 @@ def pdf_literals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """A file listing out of page ids: images, their sidecars, hidden and skipped folders, odd suffixes."""
+    """A file listing out of page ids: images, their sidecars, hidden and skipped folders, odd suffixes.
+
+    As in a real scan, rows are names; a digest stands for what a file holds.
+    """
     stems = F.format_string("/inputs/%s/file-%d", F.element_at(
         F.array(*[F.lit(name) for name in ("a", "b/.hidden", "node_modules", "c/d")]), (F.col("page_id") % 4 + 1).cast("int")
     ), "page_id")
@@ -318,9 +321,7 @@ def scan_listing(spark: SparkSession, folder: str) -> DataFrame:
     # Which of the files exist beside each other differs from stem to stem.
     mine = F.filter(kinds, lambda kind: F.length(kind) + F.col("page_id") % 3 != 5)
     named = ad.table(spark, folder, "pages").select(F.explode(mine).alias("kind"), stems.alias("stem_path"), "html")
-    return named.select(
-        F.concat("stem_path", "kind").alias("path"), F.encode(F.concat("kind", "html"), "UTF-8").alias("content")
-    )
+    return named.select(F.concat("stem_path", "kind").alias("path"), F.md5(F.encode(F.concat("kind", "html"), "UTF-8")).alias("digest"))
 
 
 @registered(
@@ -338,7 +339,7 @@ def scan_listing(spark: SparkSession, folder: str) -> DataFrame:
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     listed = files.list_files(scan_listing(spark, folder), F.lit("/inputs"))
     inputs = files.with_sidecars(files.without_sidecars(listed), listed)
-    return inputs.select("relative", "suffix", F.md5("sidecar").alias("sidecar_md5"))
+    return inputs.select("relative", "suffix", F.col("sidecar.digest").alias("sidecar_md5"))
 
 
 @registered(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, cores: int = 8) -> SparkSession:
@@ -47,20 +50,35 @@ def split_hot_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session may fall back to a temporary one."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
+        if "folder" not in _OWN:
+            _OWN["folder"] = tempfile.mkdtemp(prefix="matchloom-stages-")
+            atexit.register(shutil.rmtree, _OWN["folder"], ignore_errors=True)
+        folder = _OWN["folder"]
+    return folder.rstrip("/")
+
+
 def durable(rows: DataFrame) -> DataFrame:
-    """Checkpoint ``rows`` in the shared folder named by ``spark.checkpoint.dir``.
+    """Write ``rows`` as a stage table in the shared folder and read them back.
 
     A lost executor then rereads files instead of recomputing, so values that depend on the
-    physical layout (a partition number) stay as they were. Only a local session may fall back
-    to a temporary folder.
+    physical layout (a partition number) stay as they were. The table is deleted when the program ends;
+    its size is known to the plans that read it, so small ones are joined without a shuffle.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get(CHECKPOINT_SETTING, None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="matchloom-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return rows.checkpoint(eager=True)
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a stage table through Spark's file system; a stopped session leaves it to the folder's owner."""
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

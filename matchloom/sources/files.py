@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 from matchloom.functions import naming as nm
 from matchloom.functions import text as tx
 from matchloom.operators.ordering import numbered
-from matchloom.sources.paths import as_uri, filesystem, literal
+from matchloom.sources import listing
+from matchloom.sources.paths import filesystem
 
 # Extraction states and providers.
 EXTRACTED, OCR, VISION, SIDECAR, UNPARSEABLE = "extracted", "ocr", "vision", "sidecar", "unparseable"
@@ -23,7 +25,10 @@ DISABLED = "disabled"
 SIDECAR_SUFFIXES = (".txt", ".md")
 PDF_LITERAL = rf"\(([^()]*)\){tx.SPACE}*Tj"
 
-FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+#: Columns that ``list_files`` adds to a listing.
+LISTED = ("relative", "raw_suffix", "stem", "suffix")
+#: Bytes of files that one task opens, and what a file counts beside its bytes.
+TASK_BYTES, FILE_COST = 128 * 1024 * 1024, 64 * 1024
 IMAGE_REPLY = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("ocr_text", "ocr_error", "vision_text", "vision_error")]
 )
@@ -50,42 +55,6 @@ class Extractors:
     missing_ocr: str = field(default="Tesseract OCR requires Pillow, pytesseract, and the Tesseract executable.")
 
 
-def _underscored(spark: SparkSession, directory: str) -> list[str]:
-    """Files below a name that starts with an underscore, which a directory read leaves out."""
-    system, root = filesystem(spark, directory)
-    prefix = len(system.resolvePath(root).toString())
-    found, entries = [], system.listFiles(root, True)
-    while entries.hasNext():
-        path = entries.next().getPath().toString()
-        if "/_" in path[prefix:]:
-            found.append(path)
-    return found
-
-
-def _read(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").schema(FILE_SCHEMA)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load([literal(path) for path in paths]).select("path", "length", "content")
-
-
-def _read_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Read files whose names no Spark source accepts; the tasks open them, the driver has names only."""
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            for path in batch["path"]:
-                system, place = fs.FileSystem.from_uri(as_uri(path))
-                with system.open_input_stream(place) as stream:
-                    data = stream.read()
-                yield pd.DataFrame({"path": [path], "length": [len(data)], "content": [data]})
-
-    names = spark.createDataFrame([(path,) for path in paths], "path STRING")
-    return names.mapInPandas(opened, "path STRING, length BIGINT, content BINARY")
-
-
 def list_files(files: DataFrame, root: Column) -> DataFrame:
     """Add relative path, suffix and stem to listed files and drop skipped directories."""
     relative = F.regexp_replace(F.substring(F.col("path"), F.length(root) + 1, F.length("path")), "^/+", "")
@@ -118,11 +87,10 @@ def without_sidecars(listed: DataFrame) -> DataFrame:
 
 
 def with_sidecars(inputs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Add the bytes of an image's ``.txt``, else ``.md`` file; null without one."""
+    """Add ``sidecar``: what is listed of an image's ``.txt``, else ``.md`` file; null without one."""
     texts = listed.filter(F.col("raw_suffix").isin(*SIDECAR_SUFFIXES))
-    chosen = texts.groupBy("stem").agg(
-        F.max_by("content", F.col("raw_suffix") == SIDECAR_SUFFIXES[0]).alias("_sidecar")
-    )
+    known = F.struct(*[c for c in listed.columns if c not in LISTED])
+    chosen = texts.groupBy("stem").agg(F.max_by(known, F.col("raw_suffix") == SIDECAR_SUFFIXES[0]).alias("_sidecar"))
     is_image = F.col("suffix").isin(*nm.IMAGE_MEDIA)
     return (
         inputs.join(chosen, "stem", "left")
@@ -132,17 +100,16 @@ def with_sidecars(inputs: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def scan_source(spark: SparkSession, source: str, source_ord: int) -> DataFrame:
-    """Files of one source argument; a missing or unsupported source raises."""
+    """Names of the files of one source argument; a missing or unsupported source raises.
+
+    Nothing is opened here: side-cars are found by name, and ``open_files`` reads the bytes later.
+    """
     system, target = filesystem(spark, source)
     if not system.exists(target):
         raise InputExtractionError(f"Input source `{source}` does not exist.")
     root = system.resolvePath(target).toString()
     if system.getFileStatus(target).isDirectory():
-        hidden = _underscored(spark, source)
-        files = _read(spark, [root], recursive=True)
-        if hidden:
-            files = files.unionByName(_read_by_name(spark, hidden))
-        listed = list_files(files, F.lit(root))
+        listed = list_files(listing.names_below(spark, root), F.lit(root))
         inputs = without_sidecars(listed)
         if not inputs.select("relative").head(1):
             raise InputExtractionError(f"Input directory `{source}` does not contain supported input files.")
@@ -153,8 +120,9 @@ def scan_source(spark: SparkSession, source: str, source_ord: int) -> DataFrame:
             raise InputExtractionError(f"Unsupported input type `{extension}` for `{source}`.")
         folder, stem = os.path.split(root)[0], os.path.splitext(root)[0]
         beside = [stem + suffix for suffix in SIDECAR_SUFFIXES if extension.lower() in nm.IMAGE_MEDIA]
-        present = [path for path in beside if system.exists(spark._jvm.org.apache.hadoop.fs.Path(path))]
-        listed = list_files(_read(spark, [root, *present], recursive=False), F.lit(folder))
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        present = [(path, system.getFileStatus(place(path)).getLen()) for path in [root, *beside] if system.exists(place(path))]
+        listed = list_files(spark.createDataFrame(present, "path STRING, length BIGINT"), F.lit(folder))
         inputs = listed.filter(F.col("path") == root)
         value = F.lit(source)
     resolved = F.regexp_replace("path", "^file:/+", "/")
@@ -165,11 +133,24 @@ def scan_source(spark: SparkSession, source: str, source_ord: int) -> DataFrame:
         resolved.alias("resolved_path"),
         "suffix",
         F.col("length").alias("size_bytes"),
-        "content",
-        "sidecar",
+        "path",
+        F.col("sidecar.path").alias("sidecar_path"),
     )
 
 
+def open_files(spark: SparkSession, names: DataFrame, sources: list[str]) -> DataFrame:
+    """Add ``content`` and ``sidecar`` to named files, in tasks of about ``TASK_BYTES`` each."""
+    size = names.agg(F.sum(F.col("size_bytes") + FILE_COST)).head()[0] or 0
+    spread = names.repartition(int(size // TASK_BYTES) + 1, "resolved_path")
+    contents = {"content": "path", "sidecar": "sidecar_path"}
+    roots = [filesystem(spark, source) for source in sources]
+    roots = [system.resolvePath(place).toString() for system, place in roots]
+    if all(map(listing.opens_in_tasks, roots)):
+        return listing.opened(spread, contents).drop("path", "sidecar_path")
+    found = listing.hadoop_files(spark, sorted({os.path.split(root)[0] for root in roots}), recursive=True)
+    return listing.opened_through_hadoop(spread, contents, found).drop("path", "sidecar_path")
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 text with line breaks as newlines; bytes that are no UTF-8 stop the job."""
     return F.regexp_replace(F.decode(content, "UTF-8"), r"\r\n?", "\n")
@@ -316,20 +297,16 @@ def collect_documents(
     spark: SparkSession, sources: list[str], run_id: str, extractors: Extractors | None = None
 ) -> DataFrame:
     """Extracted documents of all sources, numbered in argument order and path order."""
-    found = None
-    for position, source in enumerate(sources):
-        plain = source if "://" in source else os.path.normpath(source)
-        scanned = scan_source(spark, plain, position)
-        found = scanned if found is None else found.unionByName(scanned)
-    if found is None:
+    plain = [source if "://" in source else os.path.normpath(source) for source in sources]
+    if not plain:
         raise InputExtractionError("No input source given.")
-    named = found.withColumn("run_id", F.lit(run_id))
-    keys = named.select("run_id", "source_ord", "resolved_path", "parts")
+    scanned = [scan_source(spark, source, position) for position, source in enumerate(plain)]
+    named = reduce(DataFrame.unionByName, scanned).withColumn("run_id", F.lit(run_id))
+    # Names alone are put in order; the bytes are opened behind that.
     placed = numbered(
-        keys, ["run_id"], ["source_ord", "resolved_path"], [F.col("source_ord"), F.col("parts")], "input_ord"
-    ).drop("parts")
-    ordered = named.join(placed, ["run_id", "source_ord", "resolved_path"])
-    return extract(ordered, extractors)
+        named, ["run_id"], ["source_ord", "resolved_path"], [F.col("source_ord"), F.col("parts")], "input_ord", carry=True
+    )
+    return extract(open_files(spark, placed, plain), extractors)
 
 
 def require_text(documents: DataFrame, role: str) -> None:

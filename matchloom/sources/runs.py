@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.config import load_config
 from matchloom.functions import naming as nm
 from matchloom.operators import viewer
-from matchloom.sources.files import FILE_SCHEMA
+from matchloom.sources import listing
 from matchloom.sources.paths import absolute, filesystem, literal
 from matchloom.sources.records import read_records
 from matchloom.sources.uploads import read_upload_items
@@ -40,13 +40,10 @@ def run_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def artifact_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Artifacts of all runs (run_id, artifact); file contents are not read."""
+    """Artifacts of all runs (run_id, artifact), listed by tasks; file contents are not read."""
     system, root = filesystem(spark, folder)
     base = system.resolvePath(root).toString()
-    files = (
-        spark.read.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(literal(base))
-        .select("path")
-    )
+    files = listing.names_below(spark, base, every=True)
     relative = F.regexp_replace(F.substring("path", len(base) + 1, 1 << 20), "^/+", "")
     return files.select(
         F.regexp_extract(relative, "^([^/]+)/", 1).alias("run_id"),
