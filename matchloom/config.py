@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
+from matchloom.sources.paths import exists, read_text, write_text
+
 ROLES = ("analyzer", "generator", "judge", "planner")
 CONFIG_PATH = "config/run_config.json"
 REMOTE_PROVIDERS = ("openai", "openai-compatible")
@@ -86,18 +88,14 @@ def write_config(
     if ocr_languages:
         config["input_extraction"]["ocr_languages"] = ocr_languages
     path = os.path.join(run_dir, CONFIG_PATH)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as handle:
-        json.dump(config, handle, indent=2, ensure_ascii=False)
-    return path
+    return write_text(path, json.dumps(config, indent=2, ensure_ascii=False))
 
 
 def load_config(run_dir: str) -> dict[str, dict[str, Any]]:
     path = os.path.join(run_dir, CONFIG_PATH)
-    if not os.path.exists(path):
+    if not exists(path):
         raise FileNotFoundError(f"Missing `run_config.json` in `{os.path.dirname(path)}`. Run `ingest --run-dir {run_dir}` first.")
-    with open(path, encoding="utf-8") as handle:
-        return normalised_config(json.load(handle))
+    return normalised_config(json.loads(read_text(path)))
 
 
 #: An entry of an environment file: name, then a quoted or a plain value.

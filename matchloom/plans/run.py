@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import replace
-from pathlib import Path
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,21 @@ from pyspark.sql import functions as F
 
 from matchloom import config as cfg
 from matchloom.operators import candidate as cand
-from matchloom.operators import explain, judge, parse, ranking, remote, report, strategy, variants
+from matchloom.operators import evidence_map, explain, judge, parse, ranking, remote, replies, report, strategy, variants
 from matchloom.operators.ordering import last_per_key
 from matchloom.plans import stages
 from matchloom.session import durable
 from matchloom.sources import files, uploads
-from matchloom.sources.paths import literal
-from matchloom.sources.records import read_records, write_json, write_lines, write_records
+from matchloom.sources.artifacts import FILE, FOLDER, write_artifact
+from matchloom.sources.paths import absolute, kind, literal
+from matchloom.sources.records import read_records, write_json, write_records
 
-MANIFEST_ITEMS, MANIFEST_CHARS = 20_000, 16 * 1024 * 1024
 RUN = "run"
+KEEP_NULLS = {"ignoreNullFields": "false"}
 
 Progress = Callable[[dict[str, Any]], None]
+#: How a run keeps its artifacts by default: a file each, as other tools expect them.
+FORM = FILE
 
 
 def artifact(run_dir: str, stage: str, name: str) -> str:
@@ -86,6 +90,7 @@ def ingest(
     ocr_languages: str | None = None,
     extractors: files.Extractors | None = None,
     transport: remote.Transport = remote.post_json,
+    form: str = FORM,
 ) -> str:
     cfg.write_config(run_dir, config_path, vision_fallback, ocr_languages)
     settings = cfg.extraction_settings(cfg.load_config(run_dir), run_dir, vision_fallback, ocr_languages)
@@ -100,41 +105,78 @@ def ingest(
         files.require_text(documents, label)
         tables[role] = uploads.manifest_items(documents, uploaded, role, run_dir)
     for role, name in (("cv", "candidate_inputs"), ("jd", "jd_inputs")):
-        tables[role].drop("run_id").write.mode("overwrite").json(artifact(run_dir, "ingest", name))
-    warnings = uploads.input_warnings(tables["cv"]).unionByName(uploads.input_warnings(tables["jd"]))
-    warnings.drop("run_id").write.mode("overwrite").json(artifact(run_dir, "ingest", "input_warnings"))
-    return write_manifest(spark, run_dir, candidate_id, tables["cv"], tables["jd"])
+        tables[role] = durable(tables[role])
+        write_artifact(tables[role].drop("run_id"), F.to_json(F.struct("*"), KEEP_NULLS), ["input_ord"], artifact(run_dir, "ingest", name))
+    warnings = [uploads.input_warnings(tables[role]) for role in ("cv", "jd")]
+    # Candidate inputs come first, as in the manifest.
+    placed = reduce(DataFrame.unionByName, [rows.withColumn("_list", F.lit(i)) for i, rows in enumerate(warnings)])
+    order = ["_list", "input_ord"]
+    value = F.to_json(F.struct(*[c for c in placed.columns if c not in ("_list", "run_id")]), KEEP_NULLS)
+    write_artifact(placed, value, order, artifact(run_dir, "ingest", "input_warnings"))
+    return write_manifest(run_dir, candidate_id, tables["cv"], tables["jd"], warnings, form)
+
+
+def listed(name: str, lists: list[DataFrame], step: int, last: bool) -> DataFrame:
+    """Pieces of a JSON list (step, part, place, piece) of the rows of several tables, one after the other."""
+    spark = lists[0].sparkSession
+    edge = lambda part, piece: spark.range(1).select(
+        F.lit(step).alias("step"), F.lit(part).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(piece).alias("piece")
+    )
+    out = edge(-1, f"{json.dumps(name)}: [").unionByName(edge(len(lists), "]" if last else "],\n"))
+    # Every item ends with a comma but the last one of all.
+    ends = [rows.agg(F.max("input_ord")).head()[0] for rows in lists]
+    final = max((i for i, end in enumerate(ends) if end is not None), default=None)
+    for i, rows in enumerate(lists):
+        text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("run_id", "input_ord")]), KEEP_NULLS)
+        comma = F.lit(",\n") if i != final else F.when(F.col("input_ord") == ends[i], F.lit("\n")).otherwise(F.lit(",\n"))
+        out = out.unionByName(
+            rows.select(F.lit(step).alias("step"), F.lit(i).alias("part"), F.col("input_ord").alias("place"), F.concat(text, comma).alias("piece"))
+        )
+    return out
 
 
-def write_manifest(spark: SparkSession, run_dir: str, candidate_id: str, cvs: DataFrame, jds: DataFrame) -> str:
-    """Manifest of the run. It repeats inputs and warnings, which have tables of their own, if they are few and short."""
-    first = cvs.agg(F.min_by("source_value", "input_ord").alias("path")).head()["path"]
-    both = cvs.unionByName(jds)
-    size = both.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).head()
-    manifest: dict[str, Any] = {"candidate_id": candidate_id, "candidate_resume_path": first}
-    fits = size["n"] <= MANIFEST_ITEMS and size["chars"] <= MANIFEST_CHARS
+def resume_pieces(cvs: DataFrame, step: int) -> DataFrame:
+    """Pieces of the candidate text as one JSON string."""
+    spark, quoted = cvs.sparkSession, F.to_json(F.array("piece"))
+    inside = F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+    texts = cand.text_pieces(cvs).select(
+        F.lit(step).alias("step"), F.lit(0).alias("part"), F.col("input_ord").alias("place"),
+        F.concat(F.when(F.col("start_char") > 0, F.lit("\\n\\n")).otherwise(F.lit("")), inside).alias("piece"),
+    )
+    edge = lambda part, piece: spark.range(1).select(
+        F.lit(step).alias("step"), F.lit(part).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(piece).alias("piece")
+    )
+    return texts.unionByName(edge(-1, '"candidate_resume_text": "')).unionByName(edge(1, '",\n'))
 
-    def listed(rows: DataFrame) -> list[dict[str, Any]]:
-        ordered = rows.orderBy("input_ord").drop("run_id", "input_ord")
-        texts = ordered.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-        return [json.loads(row["value"]) for row in texts.take(MANIFEST_ITEMS)]
 
-    if fits:
-        manifest["candidate_resume_text"] = cand.joined_text(cvs).head()["resume_text"]
-        manifest["candidate_inputs"] = listed(cvs)
-        manifest["jd_inputs"] = listed(jds.withColumn("content", F.col("text")))
-        manifest["input_warnings"] = listed(uploads.input_warnings(cvs)) + listed(uploads.input_warnings(jds))
-    return write_json(artifact(run_dir, "ingest", "manifest"), manifest)
+def write_manifest(
+    run_dir: str, candidate_id: str, cvs: DataFrame, jds: DataFrame, warnings: list[DataFrame], form: str = FORM
+) -> str:
+    """Manifest of the run. As a file for other tools it repeats inputs, texts and warnings, however many; of a
+    run in folders these have their tables only."""
+    first = cvs.agg(F.min_by("source_value", "input_ord").alias("path")).head()["path"]
+    head = {"candidate_id": candidate_id, "candidate_resume_path": first}
+    path = artifact(run_dir, "ingest", "manifest")
+    if form == FOLDER:
+        return write_json(path, head)
+    pieces = (
+        resume_pieces(cvs, 0)
+        .unionByName(listed("candidate_inputs", [cvs], 1, False))
+        .unionByName(listed("jd_inputs", [jds.withColumn("content", F.col("text"))], 2, False))
+        .unionByName(listed("input_warnings", warnings, 3, True))
+    )
+    opening = json.dumps(head, ensure_ascii=False).removesuffix("}") + ",\n"
+    return write_artifact(pieces, F.col("piece"), ["step", "part", "place"], path, FILE, opening, "", "}\n")
 
 
 def read_inputs(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
     """Ingested inputs, from their table or, for runs of other tools, from the manifest itself."""
     table = artifact(run_dir, "ingest", name)
-    if os.path.isdir(table):
+    if kind(table) == FOLDER:
         return read_records(spark, table, "input_documents", RUN)
     item = "STRUCT<source_type: STRING, source_value: STRING, text: STRING, content: STRING>"
     manifest = spark.read.schema(f"{name} ARRAY<{item}>").option("multiLine", "true").json(
-        literal(artifact(run_dir, "ingest", "manifest"))
+        literal(absolute(artifact(run_dir, "ingest", "manifest")))
     )
     return manifest.select(F.lit(RUN).alias("run_id"), F.posexplode(name).alias("input_ord", "item")).select(
         "run_id", F.col("input_ord").cast("long").alias("input_ord"), "item.source_type", "item.source_value",
@@ -142,10 +184,17 @@ def read_inputs(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
     )
 
 
-def analyze(spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json) -> dict[str, Any]:
+def reply_log(run_dir: str, stage: str) -> str:
+    """Where a stage logs remote replies; the same stage, run again, asks for what is missing there."""
+    return os.path.join(run_dir, stage, "replies")
+
+
+def analyze(
+    spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json, form: str = FORM
+) -> dict[str, Any]:
     settings = cfg.load_config(run_dir)
     endpoint = cfg.endpoint(settings, "analyzer", "analyze", run_dir)
-    head = json.loads(Path(artifact(run_dir, "ingest", "manifest")).read_text(encoding="utf-8"))
+    head = manifest_head(spark, run_dir)
     cvs, inputs = read_inputs(spark, run_dir, "candidate_inputs"), read_inputs(spark, run_dir, "jd_inputs")
     resumes = cand.joined_text(cvs).select(
         "run_id",
@@ -156,18 +205,28 @@ def analyze(spark: SparkSession, run_dir: str, transport: remote.Transport = rem
     blocks = parse.number_blocks(
         inputs.select("run_id", "input_ord", "source_type", "source_value", F.col("text").alias("content"))
     )
-    people, documents = cand.candidate_profiles(resumes), parse.jd_profiles(blocks)
+    people, documents, evidence = cand.candidate_profiles(resumes), parse.jd_profiles(blocks), None
     if endpoint is not None:
-        people, documents = remote_profiles(resumes, inputs, people, documents, endpoint, transport)
-    folder = os.path.join(run_dir, "analyze")
-    write_records(people, os.path.join(folder, "candidate_profile.json"), "candidate_profile", single=True)
-    write_records(documents, os.path.join(folder, "jd_profiles.json"), "jd_profiles")
+        log = reply_log(run_dir, "analyze")
+        people, documents, evidence = remote_profiles(resumes, inputs, people, documents, endpoint, transport, log)
+    write_records(people, artifact(run_dir, "analyze", "candidate_profile"), "candidate_profile", single=True, form=form)
+    write_records(documents, artifact(run_dir, "analyze", "jd_profiles"), "jd_profiles", form=form)
     people, documents = read(spark, run_dir, "analyze", "candidate_profile"), read(spark, run_dir, "analyze", "jd_profiles")
     count = documents.count()
-    write_evidence(people, documents, os.path.join(folder, "evidence_map.json"))
+    rows = evidence_map.made(people, documents) if evidence is None else evidence(people, documents)
+    write_evidence(rows, artifact(run_dir, "analyze", "evidence_map"), form)
     return {"candidate_id": head["candidate_id"], "jd_profiles": count}
 
 
+def manifest_head(spark: SparkSession, run_dir: str) -> dict[str, str]:
+    """Candidate and first path of the manifest; its lists are not read."""
+    path = artifact(run_dir, "ingest", "manifest")
+    if kind(path) is None:
+        raise FileNotFoundError(path)
+    fields = "candidate_id STRING, candidate_resume_path STRING"
+    return spark.read.schema(fields).option("multiLine", "true").json(literal(absolute(path))).head().asDict()
+
+
 def remote_profiles(
     resumes: DataFrame,
     inputs: DataFrame,
@@ -175,8 +234,11 @@ def remote_profiles(
     documents: DataFrame,
     endpoint: cfg.Endpoint,
     transport: remote.Transport,
-) -> tuple[DataFrame, DataFrame]:
-    """Profiles from the remote analyzer, and the built-in ones for runs it failed for.
+    log: str | None = None,
+) -> tuple[DataFrame, DataFrame, Callable[[DataFrame, DataFrame], DataFrame]]:
+    """Profiles and evidence from the remote analyzer, and the built-in ones for runs it failed for.
+
+    The evidence is a function of the final profiles, from which the built-in map is made.
 
     One request carries a whole run, so its documents are put into one text, as the resume is.
     """
@@ -185,9 +247,9 @@ def remote_profiles(
     as_json = inputs.groupBy("run_id").agg(
         F.to_json(F.transform(sorted_items, lambda entry: entry["item"])).alias("jd_json")
     )
-    replies = remote.ask_analyzer(resumes, as_json, endpoint, transport)
-    answered_people = remote.analyzed_candidates(replies, resumes)
-    answered_documents = remote.analyzed_jds(replies)
+    answers = durable(remote.ask_analyzer(resumes, as_json, endpoint, transport, log))
+    answered_people = remote.analyzed_candidates(answers, resumes)
+    answered_documents = remote.analyzed_jds(answers)
     good = (
         answered_people.filter(F.size("experiences") > 0)
         .select("run_id")
@@ -198,44 +260,36 @@ def remote_profiles(
         kept = answered.join(good, "run_id", "left_semi")
         return kept.unionByName(built_in.join(good, "run_id", "left_anti"))
 
-    return merged(answered_people, people), merged(answered_documents, documents)
+    def evidence(final_people: DataFrame, final_documents: DataFrame) -> DataFrame:
+        whole = F.to_json(F.try_variant_get(F.try_parse_json("reply"), "$.evidence_map", "variant"))
+        return merged(evidence_map.parsed(answers.select("run_id", whole.alias("value"))), evidence_map.made(final_people, final_documents))
 
+    return merged(answered_people, people), merged(answered_documents, documents), evidence
 
-def evidence_rows(people: DataFrame, documents: DataFrame) -> DataFrame:
-    """Evidence map as ordered rows of JSON: the candidate, the risks, then one row per document."""
-    part = lambda name: F.lit(name).alias("part")
-    person = people.select(
-        F.lit(-2).cast("long").alias("place"),
-        F.to_json(F.struct(part("candidate"), "core_claims", "verified_evidence", "missing_evidence_areas")).alias("value"),
-    )
-    risks = people.select(
-        F.lit(-1).cast("long").alias("place"),
-        F.to_json(F.struct(part("risks"), F.col("missing_evidence_areas").alias("risks"))).alias("value"),
-    )
-    jds = parse.jd_evidence(documents).select(
-        F.col("jd_index").cast("long").alias("place"),
-        F.to_json(F.struct(part("jd"), "jd_id", "must_have", "source_snippets", "risk_signals")).alias("value"),
-    )
-    return person.unionByName(risks).unionByName(jds)
 
+def write_evidence(rows: DataFrame, path: str, form: str = FORM) -> str:
+    """Evidence map as one JSON object, or as a folder of its rows."""
+    if form == FOLDER:
+        return write_artifact(rows, F.to_json(F.struct("place", "part", "name", "value")), ["place"], path)
+    return write_artifact(evidence_map.pieces(rows), F.col("piece"), ["step", "place"], path, FILE, "{\n", "", "}\n")
 
-def write_evidence(people: DataFrame, documents: DataFrame, path: str) -> None:
-    """Evidence map as one object; as a folder of its rows, all of them, if it is large."""
 
-    def assembled(lines: Iterator[str]) -> str:
-        whole: dict[str, Any] = {"candidate": {}, "jds": {}, "risks": []}
-        for row in map(json.loads, lines):
-            part = row.pop("part")
-            if part == "jd":
-                whole["jds"][row.pop("jd_id")] = row
-            else:
-                whole[part] = row if part == "candidate" else row["risks"]
-        return json.dumps(whole, indent=2, ensure_ascii=False)
+def read_evidence(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Rows of the stored evidence map, in either form; a run without one has none."""
+    path = artifact(run_dir, "analyze", "evidence_map")
+    found = kind(path)
+    if found is None:
+        return evidence_map.empty(spark)
+    if found == FOLDER:
+        rows = spark.read.schema("place BIGINT, part STRING, name STRING, value STRING").json(literal(absolute(path)))
+        return rows.select(F.lit(RUN).alias("run_id"), "*")
+    text = spark.read.text(literal(absolute(path)), wholetext=True)
+    return evidence_map.parsed(text.select(F.lit(RUN).alias("run_id"), "value"))
 
-    write_lines(evidence_rows(people, documents).orderBy("place").select("value"), path, assembled)
 
-
-def generate(spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json) -> dict[str, Any]:
+def generate(
+    spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json, form: str = FORM
+) -> dict[str, Any]:
     endpoint = cfg.endpoint(cfg.load_config(run_dir), "generator", "generate", run_dir)
     people = cand.with_match_texts(read(spark, run_dir, "analyze", "candidate_profile"))
     documents = read(spark, run_dir, "analyze", "jd_profiles")
@@ -243,9 +297,9 @@ def generate(spark: SparkSession, run_dir: str, transport: remote.Transport = re
     if endpoint is not None:
         told = documents.select("run_id", F.col("jd_index").alias("variant_ord"), "title", "company", "keywords")
         asked = made.join(told, ["run_id", "variant_ord"]).join(people.select("run_id", "strengths"), "run_id")
-        made = remote.remote_summaries(asked, endpoint, transport)
+        made = remote.remote_summaries(asked, endpoint, transport, reply_log(run_dir, "generate"))
     path = artifact(run_dir, "generate", "resume_variants")
-    write_records(made.withColumnRenamed("variant_cluster", "cluster"), path, "resume_variants")
+    write_records(made.withColumnRenamed("variant_cluster", "cluster"), path, "resume_variants", form=form)
     return {"variants": read(spark, run_dir, "generate", "resume_variants").count()}
 
 
@@ -260,24 +314,33 @@ def evaluate(
     progress: Progress | None = None,
     transport: remote.Transport = remote.post_json,
     assess: Callable[[DataFrame], DataFrame] | None = None,
+    form: str = FORM,
 ) -> dict[str, Any]:
-    """Score, judge and explain all pairs. ``assess`` may replace the judge with own columns."""
+    """Score, judge and explain all pairs. ``assess`` may replace the judge with own columns.
+
+    ``progress`` is told while the work runs: after every group of remote calls, or after every batch of
+    pairs, with the pairs done so far, the last of them, its outcome and the time that the group took.
+    """
     endpoint = cfg.endpoint(cfg.load_config(run_dir), "judge", "evaluate", run_dir)
     people = read(spark, run_dir, "analyze", "candidate_profile")
     documents = read(spark, run_dir, "analyze", "jd_profiles")
     pairs = judge.with_review(stages.scored_pairs(documents, people, variants_of(spark, run_dir)))
     provider, model = judge.DETERMINISTIC, judge.HEURISTIC_MODEL
-    if assess is not None:
-        judged = assess(pairs)
-    elif endpoint is None:
-        judged = judge.with_assessment(pairs)
+    asks = assess is None and endpoint is not None
+    log = reply_log(run_dir, "evaluate")
+    notes = os.path.join(log, remote.ASSESSED) if asks else replies.new_log(spark)
+    if progress is None:
+        watch = contextlib.nullcontext()
     else:
-        provider, model = endpoint.provider, endpoint.model
-        evidence = parse.jd_evidence(documents).select(
-            "run_id", "jd_id", F.to_json(F.struct("must_have", "source_snippets", "risk_signals")).alias("evidence_json")
-        )
-        judged = remote.remote_assessments(pairs, evidence.dropDuplicates(["run_id", "jd_id"]), endpoint, transport)
-    rows = durable(stages.settled(judged, provider, model))
+        watch = replies.Watch(notes, task_total(spark, run_dir), progress)
+    with watch:
+        if asks:
+            provider, model = endpoint.provider, endpoint.model
+            judged = remote.remote_assessments(pairs, read_evidence(spark, run_dir), endpoint, transport, log)
+        else:
+            judged = judge.with_assessment(pairs) if assess is None else assess(pairs)
+        rows = stages.settled(judged, provider, model)
+        rows = durable(rows if progress is None or asks else replies.noted(rows, notes))
     gaps = ranking.gap_maps(documents, people, rows)
     tables = {
         "scorecards": rows,
@@ -288,36 +351,19 @@ def evaluate(
         "eval_summary": ranking.eval_summary(rows),
     }
     for name, table in tables.items():
-        write_records(table, artifact(run_dir, "evaluate", name), name)
+        write_records(table, artifact(run_dir, "evaluate", name), name, form=form)
     counts = rows.agg(F.count("*").alias("n"), F.count_if("assessed").alias("ok")).head()
-    if progress is not None:
-        report_progress(rows, counts["n"], progress)
     return {"scorecards": counts["n"], "ok": counts["ok"], "gap_maps": documents.count()}
 
 
-def report_progress(rows: DataFrame, total: int, progress: Progress) -> None:
-    """Tell ``progress`` about every pair in order; one partition at a time passes the driver."""
-    status = F.when(F.col("assessed"), F.lit("ok")).otherwise(F.lit("fallback")).alias("status")
-    ordered = rows.select("jd_index", "variant_ord", "jd_id", "variant_id", status).orderBy("jd_index", "variant_ord")
-    for done, row in enumerate(ordered.toLocalIterator(), start=1):
-        progress(
-            {
-                "completed": done,
-                "total": total,
-                "jd_id": row["jd_id"],
-                "variant_id": row["variant_id"],
-                "status": row["status"],
-                "duration_ms": 0,
-            }
-        )
-
-
 def explanations_of(spark: SparkSession, run_dir: str, cards: DataFrame) -> DataFrame:
     stored = read(spark, run_dir, "evaluate", "ranking_explanations", optional_file=True)
     return explain.complete_explanations(stored, cards, read(spark, run_dir, "evaluate", "gap_maps"))
 
 
-def plan(spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json) -> dict[str, Any]:
+def plan(
+    spark: SparkSession, run_dir: str, transport: remote.Transport = remote.post_json, form: str = FORM
+) -> dict[str, Any]:
     endpoint = cfg.endpoint(cfg.load_config(run_dir), "planner", "plan", run_dir)
     cards = read(spark, run_dir, "evaluate", "scorecards")
     rows = stages.rejoined(
@@ -325,15 +371,17 @@ def plan(spark: SparkSession, run_dir: str, transport: remote.Transport = remote
         read(spark, run_dir, "analyze", "jd_profiles"),
         read(spark, run_dir, "analyze", "candidate_profile"),
         variants_of(spark, run_dir),
-        read(spark, run_dir, "evaluate", "llm_assessments", optional_file=True),
+        assessed := read(spark, run_dir, "evaluate", "llm_assessments", optional_file=True),
         read(spark, run_dir, "evaluate", "llm_failures", optional_file=True),
         explanations_of(spark, run_dir, cards),
     )
     planned = strategy.planned(stages.ranked_best(rows))
     if endpoint is not None:
-        planned = remote.remote_strategies(planned, endpoint, transport)
+        whole = stages.whole_assessments(assessed)
+        asked = planned.join(whole, stages.PAIR, "left")
+        planned = remote.remote_strategies(asked, endpoint, transport, reply_log(run_dir, "plan"))
     path = artifact(run_dir, "plan", "application_strategies")
-    write_records(strategy.backfilled(planned), path, "application_strategies")
+    write_records(strategy.backfilled(planned), path, "application_strategies", form=form)
     return {"strategies": read(spark, run_dir, "plan", "application_strategies").count()}
 
 
@@ -363,12 +411,11 @@ def report_rows(spark: SparkSession, run_dir: str) -> DataFrame:
     return report.report_blocks(joined)
 
 
-def write_report(spark: SparkSession, run_dir: str, title: str = report.TITLE) -> str:
+def write_report(spark: SparkSession, run_dir: str, title: str = report.TITLE, form: str = FORM) -> str:
     cfg.load_config(run_dir)
     person = read(spark, run_dir, "analyze", "candidate_profile").select("candidate_id").head()["candidate_id"]
     head = "\n".join(report.header_lines(person, run_dir, title))
     blocks = report_rows(spark, run_dir).select(F.col("priority_rank").cast("long").alias("rank"), "block")
     header = spark.range(1).select(F.lit(0).cast("long").alias("rank"), F.lit(head).alias("block"))
-    rows = header.unionByName(blocks).orderBy("rank").select(F.to_json(F.struct("rank", "block")).alias("value"))
-    path = os.path.join(run_dir, "report", "summary.md")
-    return write_lines(rows, path, lambda lines: "\n".join(json.loads(line)["block"] for line in lines))
+    value = F.to_json(F.struct("rank", "block")) if form == FOLDER else F.col("block")
+    return write_artifact(header.unionByName(blocks), value, ["rank"], os.path.join(run_dir, "report", "summary.md"), form)

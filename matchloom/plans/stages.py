@@ -102,6 +102,14 @@ def assessments(evaluations: DataFrame) -> DataFrame:
     )
 
 
+def whole_assessments(stored: DataFrame) -> DataFrame:
+    """What a remote planner is told of an assessment, beside what planning itself reads; of repeated keys the last."""
+    named = stored.withColumnsRenamed({"provider": "assessment_provider", "model": "assessment_model"})
+    kept = [c for c in judge.ASSESSMENT_COLUMNS if c not in ("decision_rationale", "rewrite_opportunities", "must_fix_issues")]
+    place = F.struct("jd_index", "variant_ord").alias("_at")
+    return last_per_key(named.select(*PAIR, *kept, place), PAIR, "_at").drop("_at")
+
+
 def ranked_best(evaluations: DataFrame) -> DataFrame:
     """Best row per document with its rank in the run."""
     return ranking.priority_ranks(ranking.best_per_jd(evaluations, PLAN_COLUMNS))

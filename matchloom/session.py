@@ -72,13 +72,13 @@ def durable(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a stage table through Spark's file system; a stopped session leaves it to the folder's owner."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system; a stopped session leaves it to the folder's owner."""
     with contextlib.suppress(Exception):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -29,3 +29,42 @@ def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(absolute(path))
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def opened_system(path: str):
+    """The file system of ``path`` as drivers and tasks open it without a JVM, and the place on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(as_uri(absolute(path)))
+
+
+def kind(path: str) -> str | None:
+    """``file`` or ``folder``, or None where there is nothing."""
+    from pyarrow import fs
+
+    system, place = opened_system(path)
+    return {fs.FileType.File: "file", fs.FileType.Directory: "folder"}.get(system.get_file_info(place).type)
+
+
+def exists(path: str) -> bool:
+    return kind(path) is not None
+
+
+def is_folder(path: str) -> bool:
+    return kind(path) == "folder"
+
+
+def read_text(path: str) -> str:
+    """A small file, such as a configuration; FileNotFoundError where there is none."""
+    system, place = opened_system(path)
+    with system.open_input_stream(place) as stream:
+        return stream.read().decode("utf-8")
+
+
+def write_text(path: str, text: str) -> str:
+    """Write a small file, with the folders above it."""
+    system, place = opened_system(path)
+    system.create_dir(place.rpartition("/")[0] or "/", recursive=True)
+    with system.open_output_stream(place) as stream:
+        stream.write(text.encode("utf-8"))
+    return path

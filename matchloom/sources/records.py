@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.sources.paths import literal
+from matchloom.sources.artifacts import FILE, FOLDER, pretty, write_artifact
+from matchloom.sources.paths import absolute, kind, literal, write_text
 
 TEXTS = "ARRAY<STRING>"
 GAP_ITEM = (
     "STRUCT<area: STRING, current_state: STRING, target_state: STRING, priority: STRING, "
     "catch_up_concepts: ARRAY<STRING>, weak_points: ARRAY<STRING>>"
 )
-# Up to this size an artifact is one file; beyond, it stays the folder its executors wrote.
-SINGLE_FILE_BYTES = 64 * 1024 * 1024
 
 
 def required(names: str, kind: str = "STRING") -> dict[str, tuple[str, Any]]:
@@ -127,23 +122,23 @@ ORDINALS = {
 
 def schema(table: str) -> str:
     extra = [f"`{name}` BIGINT" for name in ORDINALS[table] if name not in RECORDS[table]]
-    return ", ".join([f"`{name}` {kind}" for name, (kind, _) in RECORDS[table].items()] + extra)
+    return ", ".join([f"`{name}` {type_}" for name, (type_, _) in RECORDS[table].items()] + extra)
 
 
 def checked(rows: DataFrame, table: str) -> DataFrame:
     """Defaults filled in; a missing required value stops the job with its name."""
 
-    def value(name: str, kind: str, default: Any) -> Column:
+    def value(name: str, type_: str, default: Any) -> Column:
         if default is REQUIRED:
-            problem = F.raise_error(F.lit(f"Missing required field `{name}` for `{table}`.")).cast(kind)
+            problem = F.raise_error(F.lit(f"Missing required field `{name}` for `{table}`.")).cast(type_)
             return F.coalesce(F.col(name), problem)
         fallback = F.array() if isinstance(default, list) else F.lit(default)
-        return F.coalesce(F.col(name), fallback.cast(kind))
+        return F.coalesce(F.col(name), fallback.cast(type_))
 
     extra = [name for name in ORDINALS[table] if name not in RECORDS[table]]
     place = F.monotonically_increasing_id()
     return rows.select(
-        *[value(name, kind, default).alias(name) for name, (kind, default) in RECORDS[table].items()],
+        *[value(name, type_, default).alias(name) for name, (type_, default) in RECORDS[table].items()],
         *[F.coalesce(F.col(name), place).alias(name) for name in extra],
     )
 
@@ -153,62 +148,31 @@ def read_records(spark: SparkSession, path: str, table: str, run_id: str, option
 
     Unknown fields are ignored. Records of a single file without positions keep their file order.
     """
-    if optional_file and not os.path.exists(path):
+    found = kind(path)
+    if optional_file and found is None:
         rows = spark.createDataFrame([], schema(table))
     else:
         reader = spark.read.schema(schema(table))
-        is_folder = os.path.isdir(path)
-        rows = (reader if is_folder else reader.option("multiLine", "true")).json(literal(path))
+        rows = (reader if found == FOLDER else reader.option("multiLine", "true")).json(literal(absolute(path)))
     return checked(rows, table).withColumn("run_id", F.lit(run_id))
 
 
-def write_records(rows: DataFrame, path: str, table: str, single: bool = False) -> str:
-    """Write an artifact as a JSON array, or a folder of JSON lines if it is large.
+def write_records(rows: DataFrame, path: str, table: str, single: bool = False, form: str = FILE) -> str:
+    """Write an artifact as a folder of ordered JSON lines, or as one file with a JSON array.
 
-    ``single`` writes the only record as a JSON object.
+    ``single`` writes the only record as a JSON object. The form is what the caller asks for, whatever the size.
     """
     extra = [name for name in ORDINALS[table] if name not in RECORDS[table]]
-    shaped = rows.select(*RECORDS[table], *extra)
-    ordered = shaped.orderBy(*ORDINALS[table]) if ORDINALS[table] else shaped
-
-    def assembled(lines: Iterator[str]) -> str:
-        records = [json.loads(line) for line in lines]
-        return json.dumps(records[0] if single else records, indent=2, ensure_ascii=False)
-
-    as_json = ordered.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    return write_lines(as_json, path, assembled)
-
-
-def write_lines(rows: DataFrame, path: str, assembled: Callable[[Iterator[str]], str]) -> str:
-    """Write ordered text rows; executors write parts, small parts are put together into one file.
-
-    The rows are computed once and their size is known before the driver reads any of them.
-    """
-    parts = f"{path}.parts"
-    rows.write.mode("overwrite").text(parts)
-    files = sorted(Path(parts).glob("part-*"))
-    if os.path.isdir(path):
-        shutil.rmtree(path)
-    if sum(file.stat().st_size for file in files) > SINGLE_FILE_BYTES:
-        Path(path).unlink(missing_ok=True)
-        os.rename(parts, path)
-        return path
-
-    def lines() -> Iterator[str]:
-        for file in files:
-            # Only newlines end a row; other break characters belong to the texts.
-            with file.open(encoding="utf-8", newline="\n") as handle:
-                yield from (line.removesuffix("\n") for line in handle)
-
-    Path(path).write_text(assembled(lines()), encoding="utf-8")
-    shutil.rmtree(parts)
-    return path
+    shaped, whole = rows.select(*RECORDS[table], *extra), F.struct("*")
+    if form == FOLDER:
+        return write_artifact(shaped, F.to_json(whole, {"ignoreNullFields": "false"}), ORDINALS[table], path)
+    if single:
+        return write_artifact(shaped.limit(1), pretty(whole, ""), [], path, FILE)
+    return write_artifact(shaped, pretty(whole), ORDINALS[table], path, FILE, "[\n", ",\n", "\n]")
 
 
 def write_json(path: str, payload: Any) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2, ensure_ascii=False), encoding="utf-8")
-    return path
+    return write_text(path, json.dumps(payload, indent=2, ensure_ascii=False))
 
 
 def write_table(rows: DataFrame, folder: str) -> DataFrame:

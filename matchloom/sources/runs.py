@@ -11,7 +11,7 @@ from matchloom.config import load_config
 from matchloom.functions import naming as nm
 from matchloom.operators import viewer
 from matchloom.sources import listing
-from matchloom.sources.paths import absolute, filesystem, literal
+from matchloom.sources.paths import absolute, filesystem, kind, literal
 from matchloom.sources.records import read_records
 from matchloom.sources.uploads import read_upload_items
 
@@ -133,25 +133,26 @@ def ingested_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
     rows = spark.createDataFrame([], fields)
     for part in ("candidate_inputs", "jd_inputs"):
         path = os.path.join(run_dir, "ingest", f"{part}.json")
-        if os.path.isdir(path):
-            rows = rows.unionByName(spark.read.schema(fields).json(literal(path)))
+        if kind(path) == "folder":
+            rows = rows.unionByName(spark.read.schema(fields).json(literal(absolute(path))))
     manifest = os.path.join(run_dir, "ingest", "manifest.json")
-    if not os.path.isdir(os.path.join(run_dir, "ingest", "jd_inputs.json")) and os.path.exists(manifest):
+    if kind(os.path.join(run_dir, "ingest", "jd_inputs.json")) != "folder" and kind(manifest) is not None:
         item = "STRUCT<" + fields.replace(" STRING", ": STRING").replace(" BIGINT", ": BIGINT") + ">"
         lists = spark.read.schema(f"candidate_inputs ARRAY<{item}>, jd_inputs ARRAY<{item}>").option("multiLine", "true")
         both = F.concat(*[F.coalesce(name, F.array().cast(f"ARRAY<{item}>")) for name in ("candidate_inputs", "jd_inputs")])
-        rows = lists.json(literal(manifest)).select(F.inline(both))
+        rows = lists.json(literal(absolute(manifest))).select(F.inline(both))
     return rows.withColumn("run_id", F.lit(run_id))
 
 
 def load_report(spark: SparkSession, folder: str, run_id: str) -> DataFrame | None:
     """Report lines of a run in order, or None when it has no report."""
     path = os.path.join(folder, run_id, "report", "summary.md")
-    if not os.path.exists(path):
+    found, place = kind(path), literal(absolute(path))
+    if found is None:
         return None
-    if not os.path.isdir(path):
-        return spark.read.text(literal(path))
-    blocks = spark.read.schema("rank BIGINT, block STRING").json(literal(path))
+    if found == "file":
+        return spark.read.text(place)
+    blocks = spark.read.schema("rank BIGINT, block STRING").json(place)
     # A newline at the very end closes the last line and begins none.
     last = F.col("rank") == blocks.agg(F.max("rank")).scalar()
     text = F.when(last, F.regexp_replace("block", r"\n\z", "")).otherwise(F.col("block"))

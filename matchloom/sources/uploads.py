@@ -17,7 +17,7 @@ from matchloom.functions import naming as nm
 from matchloom.functions import text as tx
 from matchloom.operators.ordering import last_per_key
 from matchloom.sources.files import UNPARSEABLE
-from matchloom.sources.paths import literal
+from matchloom.sources.paths import absolute, exists, literal
 
 # Format version, place and error texts of upload drafts.
 MANIFEST_VERSION = "v0.5.1-upload-manifest"
@@ -78,10 +78,10 @@ def upload_items(manifests: DataFrame) -> DataFrame:
 
 def read_upload_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
     path = os.path.join(run_dir, MANIFEST_PATH)
-    if not os.path.exists(path):
+    if not exists(path):
         empty = "run_id STRING, path_key STRING, upload_role STRING, upload_name STRING, upload_path STRING, upload_size BIGINT"
         return spark.createDataFrame([], empty)
-    return upload_items(spark.read.text(literal(path), wholetext=True).select(F.lit(run_id).alias("run_id"), "value"))
+    return upload_items(spark.read.text(literal(absolute(path)), wholetext=True).select(F.lit(run_id).alias("run_id"), "value"))
 
 
 def below(path: Column, folder: str) -> Column:
@@ -95,7 +95,7 @@ def below(path: Column, folder: str) -> Column:
 def manifest_items(documents: DataFrame, uploads: DataFrame, role: str, run_dir: str) -> DataFrame:
     """Manifest rows of documents: upload metadata overrides what the scan found."""
     resolved = F.col("resolved_path")
-    in_run = below(resolved, os.path.realpath(run_dir))
+    in_run = below(resolved, absolute(run_dir).removeprefix("file://"))
     is_fixture = below(resolved, os.path.join(PROJECT_ROOT, "fixtures")).isNotNull()
     display = F.coalesce(
         F.when(is_fixture, below(resolved, PROJECT_ROOT)), in_run, below(resolved, os.getcwd()), F.col("source_value")
