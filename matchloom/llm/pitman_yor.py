@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import dropped, stored
 from .texts import mixed, slices, split_words, text_of, utf8, word_hashes
 
 BURN_IN, SAMPLES = 1, 3
@@ -468,18 +468,21 @@ def scored(documents: DataFrame, train: Column, doc_id: str = "doc_id", text: st
             samples.append(sample)
             new = (WORD_STRENGTH + WORD_DISCOUNT * tables_after) / (WORD_STRENGTH + seats)
             unknown += new * max(1.0 - mass, 0.0) / SAMPLES
-        state = stored(_weighed(state, sample))
-        pairs = stored(_seated_pairs(pairs, contexts, state, turn))
+        before, state = state, stored(_weighed(state, sample))
+        dropped(before)
+        before, pairs = pairs, stored(_seated_pairs(pairs, contexts, state, turn))
+        dropped(before)  # the sweep before; a lost executor reads this one's files
         contexts = pairs.groupBy("u").agg(
             F.first("single").alias("single"), (F.first("single") + F.sum("t")).alias("tables")
         )
         if turn < BURN_IN + SAMPLES:
             seated = pairs.groupBy("w").agg(F.sum("t").cast("bigint").alias("t")).withColumnRenamed("w", "h")
-            state = stored(
+            before, state = state, stored(
                 state.join(seated, "h").select(
                     "word", "h", "n", "follows", "single", (F.col("single") + F.col("t")).alias("c"), "p", "sum"
                 )
             )
+            dropped(before)
         letters, tables = after, tables_after
     shared = spark.sparkContext.broadcast(samples)
 

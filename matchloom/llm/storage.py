@@ -54,4 +54,11 @@ def stored(rows: DataFrame, *by: str) -> DataFrame:
     spark, schema = rows.sparkSession, rows.schema
     path = new_folder(spark)
     (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(rows: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nothing may read it any more."""
+    remove(rows.sparkSession, rows.stored_at)
