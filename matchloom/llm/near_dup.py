@@ -12,8 +12,9 @@ sets have a Jaccard similarity of 0.75 or more; a group is what links connect.
 3. Each class is compared with the least class under each of its keys, on full sets, and what is linked
    is joined to components. Copies of one text are so found by one link each, not by all pairs.
 4. Under a key with classes of several components, pairs across them are compared: pair by pair where
-   there are few, and otherwise in blocks of classes by an index of their shingles inside a task, which
-   returns links only. Nothing is left out, and no pairs of one component are formed.
+   there are few. The classes under crowded keys meet by prefixes of their sets, rarest shingles first,
+   which all linked pairs share; a passage that thousands have stands last there and proposes nothing.
+   Nothing is left out, and no pairs of one component are formed.
 
 Defined results: an empty or null text has an empty set, is linked with nothing and is kept. Rows with
 one id count as one document. A row without an id is not compared: no component, kept. Ties go to the
@@ -25,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,8 +42,10 @@ SYMBOLS, SYMBOL_BITS, CHUNK = 48, 16, 4
 PART = (100, 75)
 #: Text bytes whose sets a task holds at once.
 SET_BYTES = 1_000_000
-#: Pairs across components under one key that are compared as rows; more are compared in blocks of classes.
-ROW_PAIRS, BLOCK = 500, 256
+#: Pairs across components under one key that are compared as rows; with more, classes meet by rare shingles.
+ROW_PAIRS = 500
+#: Slots of the table of shingle counts that goes to all tasks.
+RARITY_SLOTS = 1 << 20
 _rng = np.random.RandomState(75)
 _A = _rng.randint(0, 2**62, SYMBOLS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.randint(0, 2**62, SYMBOLS).astype(np.uint64)
@@ -169,86 +171,93 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.where(_linked(common, F.size("left"), F.size("right"))).select("x", "y")
 
 
-def _block_links(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple[object, object]]:
-    """Links between two blocks that join components: counts of common shingles by an index of the left."""
-    if not len(left) or not len(right):
-        return []
-    sets = [np.asarray(s, np.int64) for s in left["shingles"]]
-    sizes, classes = np.array([len(s) for s in sets]), left["class"].tolist()
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    top = {label: label for label in [*left["label"], *right["label"]]}
-
-    def root(label: object) -> object:
-        while top[label] != label:
-            top[label] = label = top[top[label]]
-        return label
-
-    labels, found = left["label"].tolist(), []
-    for name, label, shingles in zip(right["class"], right["label"], right["shingles"], strict=True):
-        shingles = np.asarray(shingles, np.int64)
-        low, high = np.searchsorted(flat, shingles), np.searchsorted(flat, shingles, side="right")
-        many = high - low
-        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        common = np.bincount(owner[at], minlength=len(sets))
-        for i in np.flatnonzero(PART[0] * common >= PART[1] * (sizes + len(shingles) - common)):
-            a, b = root(labels[i]), root(label)
-            if a != b:
-                top[max(a, b)] = min(a, b)
-                found.append((classes[i], name))
-    return found
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles stand in ``sets``, counted in ``RARITY_SLOTS`` slots by their hash."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            values = batch.column("shingles").flatten().to_numpy().view(np.uint64)
+            counts += np.bincount((values % RARITY_SLOTS).astype(np.int64), minlength=RARITY_SLOTS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
+
+    rows = sets.select("shingles").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found, out = rows.toArrow(), np.zeros(RARITY_SLOTS, np.int64)  # no more rows than slots
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-def _crowded_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components under keys with many pairs, block by block.
 
-    A component's classes fill blocks of their own where it is large; small components share blocks. Two
-    blocks of one large component are never compared.
+def _prefixes(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """Rows (s, class, label, n, i): the rarest shingles of each set with their places in its order.
+
+    Of two sets of n <= m shingles that are linked, the first n - ceil(6 n / 7) + 1 of the one and the first
+    m - ceil(3 m / 4) + 1 of the other share one, in any order that is the same for both. Rarest first keeps
+    what all sets have out of the prefixes. A shingle that is alone in its slot is in no other set.
     """
-    per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"))
-    small = per_label.where(F.col("members") <= BLOCK).groupBy("key").agg(F.sum("members").alias("others"))
-    large = F.col("members") > BLOCK
-    spread = lambda n, by: F.pmod(F.xxhash64(by), F.ceil(n / BLOCK)).cast("int")
-    placed = (
-        rows.join(per_label, ["key", "label"])
-        .join(small, "key", "left")
-        .select(
-            "key",
-            "class",
-            "label",
-            F.when(large, F.col("label")).alias("owner"),
-            F.when(large, spread(F.col("members"), F.col("class"))).otherwise(
-                spread(F.coalesce("others", F.lit(1)), F.col("label"))
-            ).alias("block"),
-        )
-    )
-    placed = stored(placed)
-    blocks = placed.select("key", "owner", "block").distinct()
-    other = blocks.select("key", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
-    name = lambda owner, block: F.struct(F.coalesce(owner.cast("string"), F.lit("")), block)
-    pairs = blocks.join(other, "key").where(
-        (name(F.col("owner"), F.col("block")) <= name(F.col("owner2"), F.col("block2")))
-        & F.coalesce(F.col("owner") != F.col("owner2"), F.lit(True))
-    )
-    pairs = stored(pairs.withColumn("pair", F.xxhash64("key", "owner", "block", "owner2", "block2")))
-    full = placed.join(sets, "class")
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, rows, out = batch.column("shingles"), [], []
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for row, (start, end) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                mine = values[start:end]
+                often = shared.value[(mine % RARITY_SLOTS).astype(np.int64)]
+                first = np.lexsort((mine, often))[: _prefix(len(mine), PART[1], PART[0])]
+                places = np.flatnonzero(often[first] > 1)
+                rows.append(np.full(len(places), row))
+                out.append((mine[first[places]].view(np.int64), np.full(len(places), len(mine)), places))
+            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            s, n, i = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True)) if out else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays(
+                [s, batch.column("class").take(take), batch.column("label").take(take), n, i], ["s", "class", "label", "n", "i"]
+            )
 
-    def side(owner: str, block: str) -> DataFrame:
-        rows = pairs.select("pair", "key", F.col(owner).alias("owner"), F.col(block).alias("block"))
-        same = (
-            (full["key"] == rows["key"]) & full["owner"].eqNullSafe(rows["owner"]) & (full["block"] == rows["block"])
-        )
-        # New names: both sides come from the same tables.
-        return full.join(rows, same).select(*[F.col(c).alias(c) for c in ("pair", "class", "label", "shingles")])
+    kind = sets.schema["class"].dataType.simpleString()
+    return sets.select("class", "label", "shingles").mapInArrow(cut, f"s bigint, class {kind}, label {kind}, n bigint, i bigint")
 
-    kind = rows.schema["class"].dataType.simpleString()
 
-    def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_block_links(left, right), columns=["x", "y"])
+def _prefix(n: int, part: int, whole: int) -> int:
+    """Length of a prefix that leaves fewer than part / whole of n behind it."""
+    return n + (-part * n) // whole + 1
 
-    left, right = side("owner", "block"), side("owner2", "block2")
-    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(compared, f"x {kind}, y {kind}")
+
+def _crowded_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components among the classes under crowded keys, found by their rarest shingles.
+
+    Under each such shingle every class is first compared with the least one, and components are joined by
+    what is linked. Then pairs that still lie in different components are compared, as far as their sizes
+    and the places of the shingle allow a link at all.
+    """
+    full = stored(sets.join(rows.select("class", "label").distinct(), "class"))
+    prefixes = stored(_prefixes(full, _rarity(full)))
+    lead = prefixes.groupBy("s").agg(
+        F.min(F.struct("class", "label", "n")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    stars = (
+        prefixes.join(lead.where("low <> high").select("s", "lead"), "s")
+        .where((F.col("label") != F.col("lead.label")) & _similar(F.col("n"), F.col("lead.n")))
+        .select(F.col("lead.class").alias("x"), F.col("class").alias("y"))
+    )
+    near = stored(_links(stars.distinct(), sets))
+    label_of = lambda c: full.select(F.col("class").alias(c), F.col("label").alias(f"{c}_label"))
+    bridges = near.join(label_of("x"), "x").join(label_of("y"), "y").select(F.col("x_label").alias("x"), F.col("y_label").alias("y"))
+    joined = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    prefixes = prefixes.join(joined, "label", "left").select("s", "class", F.coalesce("top", "label").alias("label"), "n", "i")
+    short = F.col("i") < F.col("n") - F.ceil(F.col("n") * 2 * PART[1] / (PART[0] + PART[1])) + 1
+    side = lambda kept, end: kept.select("s", *[F.col(c).alias(f"{c}{end}") for c in ("class", "label", "n", "i")])
+    # What the sets can still have in common from the shingle on, and what a link takes.
+    rest = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
+    least = F.ceil((F.col("n1") + F.col("n2")) * PART[1] / (PART[0] + PART[1]))
+    pairs = (
+        side(prefixes.where(short), 1)
+        .join(side(prefixes, 2), "s")
+        .where("n1 < n2 OR (n1 = n2 AND class1 < class2)")
+        .where((F.col("label1") != F.col("label2")) & _similar(F.col("n1"), F.col("n2")) & (rest >= least))
+        .select(F.col("class1").alias("x"), F.col("class2").alias("y"))
+    )
+    return near.union(_links(pairs.distinct(), sets))
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

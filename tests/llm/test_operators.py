@@ -95,16 +95,32 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert [tuple(r) for r in found] == groups(texts)
 
 
-def test_crowded_keys_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("slots", [1 << 20, 64])
+def test_crowded_keys_meet_by_rare_shingles(spark, monkeypatch, slots):
     monkeypatch.setattr(near_dup, "ROW_PAIRS", 3)
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "RARITY_SLOTS", slots)
     rng, base = random.Random(4), " ".join(f"p{i}" for i in range(40))
     # One passage with endings of growing length: links in chains, and many pairs that are none.
     texts = [base + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 14))) for _ in range(90)]
+    texts += [edited(base + " " + " ".join(f"r{i}" for i in range(rng.randrange(30))), rng, rng.randrange(5)) for _ in range(90)]
     found = near_dup.near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == groups(texts)
 
 
+def test_prefixes_of_linked_sets_share_a_shingle():
+    rng = random.Random(5)
+    for _ in range(3000):
+        n, m = sorted((rng.randrange(1, 60), rng.randrange(1, 60)))
+        both = rng.randrange(n + 1)
+        if 100 * both < 75 * (n + m - both):
+            continue
+        order = rng.sample(range(n + m - both), n + m - both)  # the worst a common order can do is not avoided
+        one, two = sorted(order[:n]), sorted(order[n - both :])
+        short = n - -(-6 * n // 7) + 1
+        assert set(one[:short]) & set(two[: near_dup._prefix(m, 75, 100)])
+        assert near_dup._prefix(m, 75, 100) == m - -(-3 * m // 4) + 1
+
+
 def test_hamming_keys_cover_the_distance():
     rng = np.random.RandomState(0)
     one = rng.randint(0, 2**16, near_dup.SYMBOLS).astype(np.uint16)
