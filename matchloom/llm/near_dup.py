@@ -44,8 +44,8 @@ PART = (100, 75)
 SET_BYTES = 1_000_000
 #: Pairs across components under one key that are compared as rows; with more, classes meet by rare shingles.
 ROW_PAIRS = 500
-#: Slots of the table of shingle counts that goes to all tasks.
-RARITY_SLOTS = 1 << 20
+#: Slots of the table of shingle counts that goes to all tasks, and slots that are added up together.
+RARITY_SLOTS, RARITY_BLOCK = 1 << 20, 1 << 11
 _rng = np.random.RandomState(75)
 _A = _rng.randint(0, 2**62, SYMBOLS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.randint(0, 2**62, SYMBOLS).astype(np.uint64)
@@ -172,19 +172,43 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
-    """How often shingles stand in ``sets``, counted in ``RARITY_SLOTS`` slots by their hash."""
+    """How often shingles stand in ``sets``, counted in ``RARITY_SLOTS`` slots by their hash.
+
+    A task gives one row for each block of slots that it has counts in, so rows do not grow with the sets.
+    """
+
+    def rows_of(counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        some = np.flatnonzero(counts)
+        cuts = np.flatnonzero(np.diff(some // RARITY_BLOCK)) + 1
+        for at in np.split(some, cuts) if len(some) else ():
+            yield int(at[0] // RARITY_BLOCK), at, counts[at]
+
+    def packed(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        ends = pa.array(np.cumsum([0, *(len(at) for _, at, _ in rows)]).astype(np.int32))
+        flat = lambda k: pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]))
+        lists = [pa.ListArray.from_arrays(ends, flat(k)) for k in (1, 2)]
+        return [pa.array([block for block, *_ in rows], pa.int32()), *lists]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(RARITY_SLOTS, np.int64)
         for batch in batches:
             values = batch.column("shingles").flatten().to_numpy().view(np.uint64)
             counts += np.bincount((values % RARITY_SLOTS).astype(np.int64), minlength=RARITY_SLOTS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
-
-    rows = sets.select("shingles").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    found, out = rows.toArrow(), np.zeros(RARITY_SLOTS, np.int64)  # no more rows than slots
-    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+        yield pa.RecordBatch.from_arrays(packed(list(rows_of(counts))), ["block", "slots", "n"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        slots, n = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("slots", "n"))
+        block = rows.column("block")[0].as_py()
+        counts = np.bincount(slots - block * RARITY_BLOCK, n, RARITY_BLOCK).astype(np.int64)
+        at = np.flatnonzero(counts)
+        return pa.table(packed([(block, at + block * RARITY_BLOCK, counts[at])]), ["block", "slots", "n"])
+
+    schema = "block int, slots array<bigint>, n array<bigint>"
+    found = sets.select("shingles").mapInArrow(counted, schema).groupBy("block").applyInArrow(summed, schema).toArrow()
+    out = np.zeros(RARITY_SLOTS, np.int64)  # no more than the slots come to the driver
+    if len(found):
+        slots, n = (found.column(c).combine_chunks().flatten().to_numpy() for c in ("slots", "n"))
+        out[slots] = n
     return out
 
 
