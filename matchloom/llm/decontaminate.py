@@ -4,8 +4,9 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characte
 window is ten consecutive words of an item; an item of fewer words, but not none, is one window.
 
 The benchmark goes to the tasks as a hash set of windows, in parts of at most ``part_bytes`` of its
-text: a larger benchmark makes more parts, and the texts pass through one scan after the other in the
-same stage. Hashes only propose a window; a hit is confirmed word by word.
+text. A larger benchmark makes more parts: the documents are scanned and written once for each, with what
+was found so far, and a part's broadcast is gone before the next one is made. Hashes only propose a
+window; a hit is confirmed word by word.
 
 Defined results: a null text, or one without words, has no words and no hits. Items without words
 or with a null text have no windows; an item with a null id marks words but is not named. Repeated
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored, unused_name
+from .storage import dropped, stored, unused_name
 from .texts import ALNUM_TABLE, SLICE_BYTES, slices, split_words, text_of, translated, utf8
 
 WINDOW = 10
@@ -99,9 +100,8 @@ def _parts(benchmark: DataFrame, item_id: str, text: str, window: int, part_byte
         yield WindowSet([tuple(r) for r in rows.collect()], window)
 
 
-def _scanned(rows: DataFrame, text: str, found: str, windows: WindowSet) -> DataFrame:
+def _scanned(rows: DataFrame, text: str, found: str, shared: Broadcast[bytes]) -> DataFrame:
     """Append the hits of one window set to column ``found``: word ranges with the item's id."""
-    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(windows))
     schema = rows.schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +136,17 @@ def with_hits(
 ) -> DataFrame:
     """Documents with column ``found``: every occurrence of a window, as words start to end and item id."""
     rows = documents.drop(found).withColumn(found, F.lit(None).cast(_FOUND))
+    before: DataFrame | None = None
+    shared: Broadcast[bytes] | None = None
     for windows in _parts(benchmark, item_id, item_text, window, part_bytes):
-        rows = _scanned(rows, text, found, windows)
+        if shared is not None:  # one part at a time is with the tasks
+            rows = stored(rows)
+            shared.destroy()
+            if before is not None:
+                dropped(before)
+            before = rows
+        shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(windows))
+        rows = _scanned(rows, text, found, shared)
     return rows
 
 
