@@ -28,9 +28,6 @@ PREFERENCES = ("Product-oriented AI roles",)
 MISSING_EVIDENCE = ("Large-scale online experiment ownership",)
 ROLE_TRACKS = ("LLM Product Engineer", "Applied AI Ops")
 
-# A run whose text is larger than this stays in pieces; a single value would not fit a row.
-MAX_TEXT_CHARS = 256 * 1024 * 1024
-
 
 def text_pieces(documents: DataFrame) -> DataFrame:
     """The pieces a run's candidate text consists of, each with its position in that text.
@@ -48,28 +45,36 @@ def text_pieces(documents: DataFrame) -> DataFrame:
 
 
 def joined_text(documents: DataFrame) -> DataFrame:
-    """One text per run, for runs whose text fits a row; larger ones are refused by name."""
+    """One text per run, for those that need it whole, such as a prompt; profiles are made without it."""
     chunk = F.concat(F.lit("Source: "), F.col("source_value"), F.lit("\n"), tx.strip(F.col("text")))
     filled = documents.filter(~tx.is_blank(F.col("text"))).select("run_id", "input_ord", chunk.alias("piece"))
-    size = filled.groupBy("run_id").agg(F.sum(F.length("piece") + 2).alias("chars"))
-    oversize = size.filter(F.col("chars") > MAX_TEXT_CHARS).select("run_id").head(1)
-    if oversize:
-        raise ValueError(f"candidate text of run `{oversize[0]['run_id']}` exceeds one row; use text_pieces")
     ordered = F.array_sort(F.collect_list(F.struct("input_ord", "piece")))
     return filled.groupBy("run_id").agg(
         F.array_join(F.transform(ordered, lambda item: item["piece"]), "\n\n").alias("resume_text")
     )
 
 
+def experiences(documents: DataFrame) -> DataFrame:
+    """Bullets of all documents of a run, in input order: the same as those of their joined text.
+
+    Bullets are cut out where the document is, so a run's text never has to fit a row, only its bullets.
+    """
+    chunk = F.concat(F.lit("Source: "), F.col("source_value"), F.lit("\n"), tx.strip(F.col("text")))
+    filled = documents.filter(~tx.is_blank(F.col("text")))
+    found = filled.select("run_id", "input_ord", tx.bullets(chunk).alias("bullets"))
+    ordered = F.array_sort(F.collect_list(F.struct("input_ord", "bullets")))
+    return found.groupBy("run_id").agg(F.flatten(F.transform(ordered, lambda item: item["bullets"])).alias("experiences"))
+
+
 def candidate_profiles(
     resumes: DataFrame,
     skills: list[tuple[str, str]] | Column = SKILL_LEXICON,
     project_words: tuple[str, ...] = PROJECT_WORDS,
 ) -> DataFrame:
-    """Profile of each resume row (run_id, candidate_id, base_resume_path, resume_text)."""
-    lined = resumes.withColumn("experiences", tx.bullets(F.col("resume_text"))).withColumn(
-        "_lowered", F.lower(tx.spaced(F.col("experiences")))
-    )
+    """Profile of each resume row (run_id, candidate_id, base_resume_path, and resume_text or its ``experiences``)."""
+    given = "experiences" in resumes.columns
+    lined = resumes if given else resumes.withColumn("experiences", tx.bullets(F.col("resume_text")))
+    lined = lined.withColumn("_lowered", F.lower(tx.spaced(F.col("experiences"))))
 
     def is_project(line: Column) -> Column:
         return reduce(or_, [F.contains(F.lower(line), F.lit(word)) for word in project_words])

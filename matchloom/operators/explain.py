@@ -32,13 +32,6 @@ def reasons(**parts: Column) -> Column:
     return F.create_map(*[item for name, value in parts.items() for item in (F.lit(name), value)])
 
 
-def matched_evidence() -> Column:
-    """Candidate lines that hold the first word of some keyword (the line lower-cased, the word as is)."""
-    lines = F.concat("experiences", "projects", "skills", "verified_evidence")
-    tokens = F.transform("keywords", tx.first_token)
-    return F.filter(lines, lambda line: F.exists(tokens, lambda token: F.contains(F.lower(line), token)))
-
-
 def summary_text() -> Column:
     """Why the score is what it is: the judge's words, or what replaced them."""
     rule_score = F.concat(
@@ -77,7 +70,7 @@ def with_explanation(evaluations: DataFrame) -> DataFrame:
             "dimension_reasons": dimension_reasons,
             "positive_signals": F.array(labelled(final_score=ranking_score()), source),
             "risk_flags": tx.or_default(col("guardrail_flags"), tx.head(col("untraceable_claim_flags"), 2)),
-            "evidence_refs": F.when(cited, col("evidence_citations")).otherwise(tx.head(matched_evidence(), 3)),
+            "evidence_refs": F.when(cited, col("evidence_citations")).otherwise(tx.head(col("matched_lines"), 3)),
         }
     )
 

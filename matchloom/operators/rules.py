@@ -37,17 +37,41 @@ def with_variant_norms(variants: DataFrame) -> DataFrame:
     return variants.withColumn("variant_text", tx.normalised(whole))
 
 
+def with_candidate_hits(documents: DataFrame) -> DataFrame:
+    """What a document's keywords find in its candidate, once per document and not once per variant of it.
+
+    ``documents`` are joined with their candidates. Added are the normalised keywords, which of them the
+    candidate's text has, the gaps, and the candidate's lines that back a keyword.
+    """
+    needles = documents.withColumn("keyword_needles", F.transform("keywords", tx.normalised))
+    return needles.withColumns(
+        {
+            "candidate_hits": F.transform("keyword_needles", lambda needle: F.contains(F.col("rule_text"), needle)),
+            "gaps": gap_items(F.col("keywords"), F.col("gap_text")),
+            "matched_lines": matched_evidence(),
+        }
+    ).drop("gap_text", "claim_text")
+
+
+def matched_evidence() -> Column:
+    """Candidate lines that hold the first word of some keyword (the line lower-cased, the word as is)."""
+    lines = F.concat("experiences", "projects", "skills", "verified_evidence")
+    tokens = F.transform("keywords", tx.first_token)
+    lowered = F.transform(lines, lambda line: F.struct(line.alias("line"), F.lower(line).alias("lowered")))
+    found = F.filter(lowered, lambda item: F.exists(tokens, lambda token: F.contains(item["lowered"], token)))
+    return F.transform(found, lambda item: item["line"])
+
+
 def evidence_columns(pairs: DataFrame) -> DataFrame:
-    """Add coverage, binding and untraceable claims.
+    """Add coverage, binding and untraceable claims to pairs of ``with_candidate_hits`` rows and variants.
 
     An item without ASCII letters or digits normalises to an empty text, which every text
     contains: it always counts as found.
     """
     in_variant, in_candidate = F.col("variant_text"), F.col("rule_text")
 
-    def covered(keyword: Column) -> Column:
-        needle = tx.normalised(keyword)
-        return F.contains(in_variant, needle) | F.contains(in_candidate, needle)
+    def covered(keyword: Column, at: Column) -> Column:
+        return F.get("candidate_hits", at) | F.contains(in_variant, F.get("keyword_needles", at))
 
     def bound(strength: Column) -> Column:
         return F.contains(in_candidate, tx.normalised(strength))
@@ -130,5 +154,4 @@ def gap_items(keywords: Column, gap_text: Column) -> Column:
 
 def rule_evaluations(pairs: DataFrame) -> DataFrame:
     """All rule columns of the work items; a projection without any shuffle."""
-    scored = score_columns(evidence_columns(pairs))
-    return scored.withColumn("gaps", gap_items(F.col("keywords"), F.col("gap_text")))
+    return score_columns(evidence_columns(pairs)).drop("keyword_needles", "candidate_hits")

@@ -88,3 +88,9 @@ def with_variant_index(items: DataFrame) -> DataFrame:
         items, ["run_id", "jd_index"], ["variant_ord"], [F.col("variant_ord")], "variant_index", carry=True
     )
     return ordered.withColumn("variant_index", F.col("variant_index") - 1)
+
+
+def in_task_order(items: DataFrame) -> DataFrame:
+    """Number the pairs of each run from 1 (``task``): documents in input order, then their variants."""
+    order = [F.col("jd_index"), F.col("variant_ord")]
+    return numbered(items, ["run_id"], ["jd_index", "variant_ord"], order, "task", carry=True)

@@ -187,7 +187,10 @@ def report_summary(tops: DataFrame, strategies: DataFrame, explanations: DataFra
 
 
 def input_sources(manifest: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Input rows of every run: the ingest manifest if it lists any, else the uploaded draft files."""
+    """Input rows of every run: the ingest manifest if it lists any, else the uploaded draft files.
+
+    ``position`` is the place in that list.
+    """
     from_manifest = manifest.select(
         "run_id",
         F.coalesce("role", F.lit("cv")).alias("role"),
@@ -197,6 +200,7 @@ def input_sources(manifest: DataFrame, drafts: DataFrame) -> DataFrame:
         F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"),
         F.coalesce("extraction_status", F.lit("unknown")).alias("extraction_status"),
         F.coalesce("extraction_error", F.lit("")).alias("extraction_error"),
+        "position",
     )
     ingested = manifest.select("run_id").distinct()
     from_draft = drafts.join(ingested, "run_id", "left_anti").select(
@@ -208,5 +212,6 @@ def input_sources(manifest: DataFrame, drafts: DataFrame) -> DataFrame:
         F.col("size_bytes").cast("long").alias("size_bytes"),
         F.lit("draft").alias("extraction_status"),
         F.lit("").alias("extraction_error"),
+        "position",
     )
     return from_manifest.unionByName(from_draft).withColumn("shown_size", nm.byte_size(F.col("size_bytes")))

@@ -243,6 +243,7 @@ def input_sources(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_chars").alias("size_bytes"),
         F.lit("extracted").alias("extraction_status"),
         F.lit(None).cast("string").alias("extraction_error"),
+        F.col("doc_id").alias("position"),
     )
     drafts = labels.join(documents.select("doc_id", "lang"), "doc_id").select(
         F.concat(F.lit("draft-"), "lang").alias("run_id"),
@@ -250,6 +251,7 @@ def input_sources(spark: SparkSession, folder: str) -> DataFrame:
         F.format_string("label-%d.md", "doc_id").alias("original_name"),
         F.format_string("input_files/cv/label-%d.md", "doc_id").alias("relative_path"),
         (F.col("quality") * 3000).alias("size_bytes"),
+        F.col("doc_id").alias("position"),
     )
     rows = viewer.input_sources(ingested, drafts)
     return rows.select(
@@ -258,6 +260,22 @@ def input_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered(
+    "text_inputs",
+    """SELECT lang AS run_id, doc_id % 50 AS role, count(*) AS n_inputs, CASE WHEN NOT bool_or(n_chars % 40 = 0 AND text <> '')
+        THEN 'At least one ' || doc_id % 50 || ' input must contain extractable text.' END AS problem
+    FROM documents GROUP BY lang, doc_id % 50""",
+)
+def text_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Which roles of a run have no usable input: most texts are blanked, with the white space of several scripts."""
+    blank = F.regexp_replace("text", r"[^ \n]+", "\u00a0\u2003")
+    rows = ad.table(spark, folder, "documents").select(
+        F.col("lang").alias("run_id"), (F.col("doc_id") % 50).alias("role"),
+        F.when(F.col("n_chars") % 40 == 0, F.col("text")).otherwise(blank).alias("text"),
+    )
+    return files.text_problems(rows, ["run_id", "role"], F.col("role").cast("string"))
+
+
 @registered(
     "path_names",
     """SELECT page_id, regexp_replace(replace('.\\\\' || replace(url, '/', chr(92)), chr(92), '/'), '^[./]+', '') AS path,

@@ -10,7 +10,7 @@ from matchloom.plans import adapters as ad
 from matchloom.plans import oracle as sql
 from matchloom.plans import stages
 from matchloom.plans.parse_queries import shown
-from matchloom.plans.registry import registered
+from matchloom.plans.registry import ORACLES, registered
 from matchloom.session import durable
 from matchloom.sources.records import checked
 
@@ -78,6 +78,21 @@ def relevant_variants(spark: SparkSession, folder: str) -> DataFrame:
     ).select("run_id", "jd_id", "variant_id", "variant_index")
 
 
+@registered(
+    "task_order",
+    sql.query(
+        """SELECT run_id, jd_id, variant_id, row_number() OVER (PARTITION BY run_id ORDER BY jd_index, variant_ord) AS task
+        FROM jd JOIN target USING (run_id, jd_id)"""
+    ),
+)
+def task_order(spark: SparkSession, folder: str) -> DataFrame:
+    documents = ad.jd_blocks(spark, folder).select("run_id", "jd_index", "jd_id")
+    items = variants.work_items(documents, made_variants(spark, folder))
+    return variants.in_task_order(items.select("run_id", "jd_index", "jd_id", "variant_id", "variant_ord")).select(
+        "run_id", "jd_id", "variant_id", "task"
+    )
+
+
 @registered(
     "keyword_coverage",
     sql.query(f"SELECT jd_id, variant_id, {sql.joined('keyword_hits')} AS hits, kc AS coverage FROM shares"),
@@ -412,6 +427,15 @@ def report_lines(spark: SparkSession, folder: str) -> DataFrame:
     return report.report_blocks(stages.strategies(evaluated(spark, folder)))
 
 
+@registered("report_joins", ORACLES["report_lines"])
+def report_joins(spark: SparkSession, folder: str) -> DataFrame:
+    """The report once more, its parts joined from strategies, documents, scorecards and explanations."""
+    rows = stored_evaluations(spark, folder)
+    plans = stages.strategies(rows).select(*strategy.STRATEGY_COLUMNS)
+    documents = ad.jd_profiles(spark, folder).select("run_id", "jd_index", "jd_id", "title", "company")
+    return report.report_blocks(stages.report_joined(plans, documents, stages.scorecards(rows), explain.explanation_rows(rows)))
+
+
 def stored_evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluations written once, as the stage boundary does, for plans that read them several times."""
     columns = [*stages.SCORECARD_COLUMNS, *stages.PLAN_COLUMNS, *explain.EXPLANATION_COLUMNS, "gaps"]

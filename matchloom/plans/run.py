@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from matchloom import config as cfg
 from matchloom.operators import candidate as cand
 from matchloom.operators import evidence_map, explain, judge, parse, ranking, remote, replies, report, strategy, variants
-from matchloom.operators.ordering import last_per_key
 from matchloom.plans import stages
 from matchloom.session import durable
 from matchloom.sources import files, uploads
@@ -196,11 +195,11 @@ def analyze(
     endpoint = cfg.endpoint(settings, "analyzer", "analyze", run_dir)
     head = manifest_head(spark, run_dir)
     cvs, inputs = read_inputs(spark, run_dir, "candidate_inputs"), read_inputs(spark, run_dir, "jd_inputs")
-    resumes = cand.joined_text(cvs).select(
+    resumes = cand.experiences(cvs).select(
         "run_id",
         F.lit(head["candidate_id"]).alias("candidate_id"),
         F.lit(head["candidate_resume_path"]).alias("base_resume_path"),
-        "resume_text",
+        "experiences",
     )
     blocks = parse.number_blocks(
         inputs.select("run_id", "input_ord", "source_type", "source_value", F.col("text").alias("content"))
@@ -208,6 +207,7 @@ def analyze(
     people, documents, evidence = cand.candidate_profiles(resumes), parse.jd_profiles(blocks), None
     if endpoint is not None:
         log = reply_log(run_dir, "analyze")
+        resumes = resumes.join(cand.joined_text(cvs), "run_id")
         people, documents, evidence = remote_profiles(resumes, inputs, people, documents, endpoint, transport, log)
     write_records(people, artifact(run_dir, "analyze", "candidate_profile"), "candidate_profile", single=True, form=form)
     write_records(documents, artifact(run_dir, "analyze", "jd_profiles"), "jd_profiles", form=form)
@@ -295,14 +295,21 @@ def generate(
     documents = read(spark, run_dir, "analyze", "jd_profiles")
     made = variants.jd_variants(documents, people)
     if endpoint is not None:
-        told = documents.select("run_id", F.col("jd_index").alias("variant_ord"), "title", "company", "keywords")
-        asked = made.join(told, ["run_id", "variant_ord"]).join(people.select("run_id", "strengths"), "run_id")
-        made = remote.remote_summaries(asked, endpoint, transport, reply_log(run_dir, "generate"))
+        made = told_summaries(made, documents, people, endpoint, transport, reply_log(run_dir, "generate"))
     path = artifact(run_dir, "generate", "resume_variants")
     write_records(made.withColumnRenamed("variant_cluster", "cluster"), path, "resume_variants", form=form)
     return {"variants": read(spark, run_dir, "generate", "resume_variants").count()}
 
 
+def told_summaries(
+    made: DataFrame, documents: DataFrame, people: DataFrame, endpoint: cfg.Endpoint, transport: remote.Transport, log: str
+) -> DataFrame:
+    """Variants with the remote generator's summaries, which is told of their documents and candidates."""
+    told = documents.select("run_id", F.col("jd_index").alias("variant_ord"), "title", "company", "keywords")
+    asked = made.join(told, ["run_id", "variant_ord"]).join(people.select("run_id", "strengths"), "run_id")
+    return remote.remote_summaries(asked, endpoint, transport, log).select(*made.columns)
+
+
 def task_total(spark: SparkSession, run_dir: str) -> int:
     documents = read(spark, run_dir, "analyze", "jd_profiles").select("run_id", "jd_id")
     return variants.work_items(documents, variants_of(spark, run_dir)).count()
@@ -388,27 +395,8 @@ def plan(
 def report_rows(spark: SparkSession, run_dir: str) -> DataFrame:
     """Report blocks of a run from its stored artifacts."""
     cards = read(spark, run_dir, "evaluate", "scorecards")
-    notes = explanations_of(spark, run_dir, cards)
-    place = F.struct("jd_index", "variant_ord").alias("_at")
-
-    def last(rows: DataFrame, columns: list[str]) -> DataFrame:
-        named = rows.select(*stages.PAIR, *columns, place)
-        return last_per_key(named, stages.PAIR, "_at").drop("_at").withColumnRenamed(
-            "variant_id", "recommended_variant_id"
-        )
-
-    documents = last_per_key(
-        read(spark, run_dir, "analyze", "jd_profiles").select("run_id", "jd_id", "title", "company", "jd_index"),
-        ["run_id", "jd_id"], "jd_index",
-    ).drop("jd_index")
-    pair = ["run_id", "jd_id", "recommended_variant_id"]
-    joined = (
-        read(spark, run_dir, "plan", "application_strategies")
-        .join(documents, ["run_id", "jd_id"])
-        .join(last(cards, ["final_overall_score", "overall_score", "final_decision_source"]), pair)
-        .join(last(notes, ["evidence_refs"]), pair)
-    )
-    return report.report_blocks(joined)
+    plans, documents = read(spark, run_dir, "plan", "application_strategies"), read(spark, run_dir, "analyze", "jd_profiles")
+    return report.report_blocks(stages.report_joined(plans, documents, cards, explanations_of(spark, run_dir, cards)))
 
 
 def write_report(spark: SparkSession, run_dir: str, title: str = report.TITLE, form: str = FORM) -> str:

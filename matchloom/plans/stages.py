@@ -66,12 +66,12 @@ PLAN_COLUMNS = [
 def scored_pairs(jds: DataFrame, candidates: DataFrame, variants_df: DataFrame) -> DataFrame:
     """Rule-scored work items.
 
-    Texts are normalised on the side they belong to, before the joins. The pair join is an
-    equi-join on (run_id, jd_id); the candidate is a lookup on run_id.
+    Texts are normalised on the side they belong to, before the joins. A document looks up its candidate on
+    run_id and finds its keywords there once; the variants then meet it in one equi-join on (run_id, jd_id).
     """
-    items = variants.work_items(rules.with_jd_norms(jds), rules.with_variant_norms(variants_df))
-    pairs = items.join(cand.with_match_texts(candidates), "run_id")
-    return rules.rule_evaluations(pairs)
+    known = rules.with_jd_norms(jds).join(cand.with_match_texts(candidates), "run_id")
+    items = variants.work_items(rules.with_candidate_hits(known), rules.with_variant_norms(variants_df))
+    return rules.rule_evaluations(items)
 
 
 def settled(judged: DataFrame, provider: str = judge.DETERMINISTIC, model: str = judge.HEURISTIC_MODEL) -> DataFrame:
@@ -167,3 +167,26 @@ def rejoined(
         .join(notes, PAIR)
         .withColumn("assessed", F.coalesce("assessed", F.lit(False)))
     )
+
+
+def report_joined(plans: DataFrame, jds: DataFrame, cards: DataFrame, notes: DataFrame) -> DataFrame:
+    """Strategies with title, company, scores and evidence, put together from separate tables.
+
+    Of repeated keys the last record counts; a strategy without its document, scorecard or explanation is
+    left out.
+    """
+    place = F.struct("jd_index", "variant_ord").alias("_at")
+
+    def last(rows: DataFrame, columns: list[str]) -> DataFrame:
+        named = rows.select(*PAIR, *columns, place)
+        return last_per_key(named, PAIR, "_at").drop("_at").withColumnRenamed("variant_id", "recommended_variant_id")
+
+    documents = last_per_key(
+        jds.select("run_id", "jd_id", "title", "company", "jd_index"), ["run_id", "jd_id"], "jd_index"
+    ).drop("jd_index")
+    pair = ["run_id", "jd_id", "recommended_variant_id"]
+    return (
+        plans.join(documents, ["run_id", "jd_id"])
+        .join(last(cards, ["final_overall_score", "overall_score", "final_decision_source"]), pair)
+        .join(last(notes, ["evidence_refs"]), pair)
+    )

@@ -309,10 +309,44 @@ def collect_documents(
     return extract(open_files(spark, placed, plain), extractors)
 
 
+def collect_runs(spark: SparkSession, root: str, extractors: Extractors | None = None) -> DataFrame:
+    """Extracted documents of many runs, kept as ``root/<run>/<role>/...``: one listing, one numbering and one
+    opening of files for all of them. Files that lie above a role's folder belong to no run."""
+    system, target = filesystem(spark, root)
+    if not system.exists(target):
+        raise InputExtractionError(f"Input source `{root}` does not exist.")
+    base = system.resolvePath(target).toString()
+    listed = list_files(listing.names_below(spark, base), F.lit(base))
+    parts = F.split("relative", "/")
+    named = with_sidecars(without_sidecars(listed), listed).filter(F.size(parts) > 2).select(
+        parts[0].alias("run_id"),
+        parts[1].alias("role"),
+        F.lit(0).alias("source_ord"),
+        parts.alias("parts"),
+        F.col("relative").alias("source_value"),
+        F.regexp_replace("path", "^file:/+", "/").alias("resolved_path"),
+        "suffix",
+        F.col("length").alias("size_bytes"),
+        "path",
+        F.col("sidecar.path").alias("sidecar_path"),
+    )
+    placed = numbered(named, ["run_id", "role"], ["resolved_path"], [F.col("parts")], "input_ord", carry=True)
+    return extract(open_files(spark, placed, [root]), extractors)
+
+
+def text_problems(documents: DataFrame, key: list[str], label: Column) -> DataFrame:
+    """Per key: its number of inputs and what is wrong with them, null where some input has text."""
+    counts = documents.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_inputs"), F.max(~tx.is_blank(F.col("text"))).alias("_filled")
+    )
+    message = F.concat(F.lit("At least one "), label, F.lit(" input must contain extractable text."))
+    return counts.select(*key, "n_inputs", F.when(~F.col("_filled"), message).alias("problem"))
+
+
 def require_text(documents: DataFrame, role: str) -> None:
     """Raise unless some document has text. Reads one flag, not the documents."""
-    seen = documents.agg(F.count("*").alias("n"), F.max(~tx.is_blank(F.col("text"))).alias("filled")).head()
-    if seen["n"] == 0:
+    found = text_problems(documents.withColumn("_all", F.lit(1)), ["_all"], F.lit(role)).head()
+    if found is None:
         raise ValueError(f"At least one {role} input is required for ingest.")
-    if not seen["filled"]:
-        raise ValueError(f"At least one {role} input must contain extractable text.")
+    if found["problem"]:
+        raise ValueError(found["problem"])

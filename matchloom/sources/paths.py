@@ -61,10 +61,14 @@ def read_text(path: str) -> str:
         return stream.read().decode("utf-8")
 
 
-def write_text(path: str, text: str) -> str:
+def write_bytes(path: str, data: bytes) -> str:
     """Write a small file, with the folders above it."""
     system, place = opened_system(path)
     system.create_dir(place.rpartition("/")[0] or "/", recursive=True)
     with system.open_output_stream(place) as stream:
-        stream.write(text.encode("utf-8"))
+        stream.write(data)
     return path
+
+
+def write_text(path: str, text: str) -> str:
+    return write_bytes(path, text.encode("utf-8"))

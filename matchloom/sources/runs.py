@@ -16,8 +16,9 @@ from matchloom.sources.records import read_records
 from matchloom.sources.uploads import read_upload_items
 
 RUNS_DIR_VARIABLE = "MATCHLOOM_RUNS_DIR"
+ROLES = ("analyzer", "generator", "judge", "planner")
 CONFIG_SCHEMA = ", ".join(
-    [f"{role} STRUCT<provider: STRING>" for role in ("analyzer", "generator", "judge", "planner")]
+    [f"{role} STRUCT<provider: STRING>" for role in ROLES]
     + ["run_metadata STRUCT<label: STRING>"]
 )
 
@@ -75,7 +76,6 @@ def list_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
     configs = _per_run(spark, folder, "config/run_config.json", CONFIG_SCHEMA)
     drafts = _per_run(spark, folder, viewer.DRAFT_FILE, "label STRING")
-    roles = ("analyzer", "generator", "judge", "planner")
     if configs is None:
         configs = spark.createDataFrame([], CONFIG_SCHEMA + ", run_id STRING")
     if drafts is None:
@@ -85,7 +85,7 @@ def list_runs(spark: SparkSession, folder: str) -> DataFrame:
         "run_id",
         "last_modified",
         "completed_stages",
-        *[F.coalesce(F.col(role)["provider"], F.lit("unknown")).alias(f"{role}_provider") for role in roles],
+        *[F.coalesce(F.col(role)["provider"], F.lit("unknown")).alias(f"{role}_provider") for role in ROLES],
         F.coalesce(F.nullif("run_metadata.label", F.lit("")), F.nullif("_draft_label", F.lit("")), F.lit("")).alias("label"),
         viewer.draft_status().alias("draft_status"),
     )
@@ -95,11 +95,12 @@ def list_runs(spark: SparkSession, folder: str) -> DataFrame:
 def load_run(spark: SparkSession, folder: str, run_id: str) -> dict[str, DataFrame]:
     """Tables of one run for a reader; what a stage has not written yet is an empty table.
 
-    Beside the stored tables there are ``variants`` with display names, ``top_variants`` and
-    ``input_sources``. A run without a configuration raises.
+    Beside the stored tables there are ``detail`` (one row: label, providers, completed stages, draft
+    state), ``variants`` with display names, ``top_variants`` and ``input_sources`` in input order
+    (``position``). A run without a configuration raises.
     """
     run_dir = os.path.join(folder, run_id)
-    load_config(run_dir)
+    config = load_config(run_dir)
     places = {
         "candidate_profile": "analyze", "jd_profiles": "analyze", "resume_variants": "generate",
         "scorecards": "evaluate", "gap_maps": "evaluate", "ranking_explanations": "evaluate",
@@ -109,6 +110,7 @@ def load_run(spark: SparkSession, folder: str, run_id: str) -> dict[str, DataFra
         name: read_records(spark, os.path.join(run_dir, stage, f"{name}.json"), name, run_id, optional_file=True)
         for name, stage in places.items()
     }
+    tables["detail"] = run_detail(spark, run_dir, run_id, config)
     tables["variants"] = tables["resume_variants"].withColumns(
         {
             "variant_display_name": nm.variant_display_name(F.col("variant_id")),
@@ -121,26 +123,48 @@ def load_run(spark: SparkSession, folder: str, run_id: str) -> dict[str, DataFra
     uploaded = read_upload_items(spark, run_dir, run_id).select(
         "run_id", F.col("upload_role").alias("role"), F.col("upload_name").alias("original_name"),
         F.col("upload_path").alias("relative_path"), F.col("upload_size").alias("size_bytes"),
+        F.col("upload_ord").alias("position"),
     )
     tables["input_sources"] = viewer.input_sources(ingested_items(spark, run_dir, run_id), uploaded)
     return tables
 
 
+def run_detail(spark: SparkSession, run_dir: str, run_id: str, config: dict[str, dict[str, str]]) -> DataFrame:
+    """Label, providers, completed stages and draft state of one run, from the names of its files."""
+    known = [path for path, _ in viewer.REQUIRED_FILES] + [viewer.DRAFT_FILE]
+    present = [(run_id, path) for path in known if kind(os.path.join(run_dir, path)) is not None]
+    files = spark.createDataFrame(present, "run_id STRING, artifact STRING")
+    facts = [(run_id, config["run_metadata"]["label"] or "", *(config[role]["provider"] for role in ROLES))]
+    names = ", ".join(f"{role}_provider STRING" for role in ROLES)
+    detail = spark.createDataFrame(facts, f"run_id STRING, label STRING, {names}")
+    joined = detail.join(viewer.completed_stages(files), "run_id", "left").withColumns(
+        {
+            "completed_stages": F.coalesce("completed_stages", F.array().cast("array<string>")),
+            "has_draft": F.coalesce("has_draft", F.lit(False)),
+        }
+    )
+    return joined.withColumn("draft_status", viewer.draft_status())
+
+
 def ingested_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
-    """Input rows of a run's ingest, without their texts."""
+    """Input rows of a run's ingest, without their texts, numbered as the manifest lists them."""
     names = ("role", "source_origin", "original_name", "relative_path", "source_value", "extraction_status", "extraction_error")
     fields = ", ".join(f"{name} STRING" for name in names) + ", size_bytes BIGINT"
-    rows = spark.createDataFrame([], fields)
-    for part in ("candidate_inputs", "jd_inputs"):
+    rows, parts = spark.createDataFrame([], fields + ", position BIGINT"), ("candidate_inputs", "jd_inputs")
+    before = F.lit(0).cast("long")
+    for part in parts:
         path = os.path.join(run_dir, "ingest", f"{part}.json")
         if kind(path) == "folder":
-            rows = rows.unionByName(spark.read.schema(fields).json(literal(absolute(path))))
+            table = spark.read.schema(fields + ", input_ord BIGINT").json(literal(absolute(path)))
+            rows = rows.unionByName(table.withColumn("position", F.col("input_ord") + before).drop("input_ord"))
+            before = F.coalesce(table.agg(F.max("input_ord")).scalar(), F.lit(0))
     manifest = os.path.join(run_dir, "ingest", "manifest.json")
     if kind(os.path.join(run_dir, "ingest", "jd_inputs.json")) != "folder" and kind(manifest) is not None:
         item = "STRUCT<" + fields.replace(" STRING", ": STRING").replace(" BIGINT", ": BIGINT") + ">"
-        lists = spark.read.schema(f"candidate_inputs ARRAY<{item}>, jd_inputs ARRAY<{item}>").option("multiLine", "true")
-        both = F.concat(*[F.coalesce(name, F.array().cast(f"ARRAY<{item}>")) for name in ("candidate_inputs", "jd_inputs")])
-        rows = lists.json(literal(absolute(manifest))).select(F.inline(both))
+        lists = spark.read.schema(", ".join(f"{part} ARRAY<{item}>" for part in parts)).option("multiLine", "true")
+        both = F.concat(*[F.coalesce(name, F.array().cast(f"ARRAY<{item}>")) for name in parts])
+        listed = lists.json(literal(absolute(manifest))).select(F.posexplode(both).alias("position", "item"))
+        rows = listed.select("item.*", (F.col("position") + 1).cast("long").alias("position"))
     return rows.withColumn("run_id", F.lit(run_id))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -17,7 +18,7 @@ from matchloom.functions import naming as nm
 from matchloom.functions import text as tx
 from matchloom.operators.ordering import last_per_key
 from matchloom.sources.files import UNPARSEABLE
-from matchloom.sources.paths import absolute, exists, literal
+from matchloom.sources.paths import absolute, exists, literal, write_bytes, write_text
 
 # Format version, place and error texts of upload drafts.
 MANIFEST_VERSION = "v0.5.1-upload-manifest"
@@ -71,15 +72,15 @@ def upload_items(manifests: DataFrame) -> DataFrame:
         text("originalName").alias("upload_name"),
         stored.alias("upload_path"),
         F.coalesce(F.try_variant_get("item", "$.sizeBytes", "bigint"), F.lit(0)).alias("upload_size"),
-        "_pos",
+        (F.col("_pos") + 1).cast("long").alias("upload_ord"),
     )
-    return last_per_key(items.filter(F.col("upload_path") != ""), ["run_id", "path_key"], "_pos").drop("_pos")
+    return last_per_key(items.filter(F.col("upload_path") != ""), ["run_id", "path_key"], "upload_ord")
 
 
 def read_upload_items(spark: SparkSession, run_dir: str, run_id: str) -> DataFrame:
     path = os.path.join(run_dir, MANIFEST_PATH)
     if not exists(path):
-        empty = "run_id STRING, path_key STRING, upload_role STRING, upload_name STRING, upload_path STRING, upload_size BIGINT"
+        empty = "run_id STRING, path_key STRING, upload_role STRING, upload_name STRING, upload_path STRING, upload_size BIGINT, upload_ord BIGINT"
         return spark.createDataFrame([], empty)
     return upload_items(spark.read.text(literal(absolute(path)), wholetext=True).select(F.lit(run_id).alias("run_id"), "value"))
 
@@ -166,16 +167,14 @@ def create_draft(
             raise DraftError(row["error_code"], row["name"])
     run_id, command = checked[0]["run_id"], checked[0]["command"]
     run_dir = os.path.join(runs_dir, run_id)
-    if os.path.exists(run_dir):
+    if exists(run_dir):
         raise DraftError("run_exists")
     stamp = moment.strftime("%Y-%m-%dT%H:%M:%S.") + f"{moment.microsecond // 1000:03d}Z"
     try:
         files = []
         for row, (role, upload) in zip(checked, uploads, strict=True):
             stored = f"input_files/{role}/{row['stored']}"
-            target = _inside(run_dir, stored)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            Path(target).write_bytes(upload.content)
+            write_bytes(_inside(run_dir, stored), upload.content)
             files.append(
                 {
                     "role": role,
@@ -194,21 +193,18 @@ def create_draft(
             "files": files,
             "nextCommand": command,
         }
-        os.makedirs(os.path.join(run_dir, "config"), exist_ok=True)
-        os.makedirs(os.path.join(run_dir, "ingest"), exist_ok=True)
         config = default_config()
         config["run_metadata"]["label"] = label
-        with open(os.path.join(run_dir, "config", "run_config.json"), "x", encoding="utf-8") as handle:
-            json.dump(config, handle, indent=2, ensure_ascii=False)
-        with open(os.path.join(run_dir, MANIFEST_PATH), "w", encoding="utf-8") as handle:
-            json.dump(manifest, handle, indent=2, ensure_ascii=False)
+        for place, content in (("config/run_config.json", config), (MANIFEST_PATH, manifest)):
+            write_text(os.path.join(run_dir, place), json.dumps(content, indent=2, ensure_ascii=False))
     except OSError as error:
         raise DraftError("write_failed") from error
     return {"runId": run_id, "status": "draft", "uploadManifestPath": MANIFEST_PATH, "nextCommand": command}
 
 
 def _inside(folder: str, relative: str) -> str:
-    target = os.path.abspath(os.path.join(folder, relative))
-    if os.path.commonpath([target, os.path.abspath(folder)]) != os.path.abspath(folder):
+    """``relative`` below ``folder``; what leads out of it is refused."""
+    place = posixpath.normpath(relative)
+    if posixpath.isabs(place) or place.split("/")[0] == "..":
         raise DraftError("unsafe_filename")
-    return target
+    return f"{folder.rstrip('/')}/{place}"

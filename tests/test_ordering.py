@@ -77,11 +77,16 @@ def test_text_pieces_and_joined_text_agree(spark):
         assert whole[piece["start_char"]:].startswith(piece["piece"])
 
 
-def test_oversize_text_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(candidate, "MAX_TEXT_CHARS", 10)
-    documents = spark.createDataFrame([("r", 1, "a", "long text")], "run_id STRING, input_ord BIGINT, source_value STRING, text STRING")
-    with pytest.raises(ValueError, match="text_pieces"):
-        candidate.joined_text(documents)
+def test_profiles_need_no_whole_text(spark):
+    rows = [("r", i, f"{i}.md", f"\n- bullet {i % 7}\n  -- python tool {i} - \nplain\u2028- after a break\n") for i in range(60)]
+    rows += [("s", 1, "a.md", " "), ("s", 2, "- b.md", "no bullet"), ("t", 1, "x.md", "- one")]
+    documents = spark.createDataFrame(rows, "run_id STRING, input_ord BIGINT, source_value STRING, text STRING").repartition(7)
+    people = [F.lit("c").alias("candidate_id"), F.lit("p").alias("base_resume_path")]
+    whole = candidate.candidate_profiles(candidate.joined_text(documents).select("*", *people))
+    parts = candidate.candidate_profiles(candidate.experiences(documents).select("*", *people))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert parts.filter("run_id = 's'").head()["experiences"] == []
+    assert len(parts.filter("run_id = 'r'").head()["experiences"]) == 180
 
 
 def test_relevant_variants_by_containment(spark):

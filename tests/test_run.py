@@ -135,6 +135,10 @@ def test_reader_tables(spark, finished):
     inputs = {r["original_name"]: r for r in tables["input_sources"].collect()}
     assert (inputs["resume.md"]["role"], inputs["batch.txt"]["role"]) == ("cv", "jd")
     assert inputs["batch.txt"]["extraction_status"] == "extracted"
+    assert [r["original_name"] for r in tables["input_sources"].orderBy("position").collect()] == ["resume.md", "batch.txt"]
+    detail = tables["detail"].head()
+    assert (detail["label"], detail["judge_provider"], detail["draft_status"]) == ("", "deterministic", "complete")
+    assert detail["completed_stages"] == ["ingest", "analyze", "generate", "evaluate", "plan", "report"]
     assert runs.load_report(spark, str(finished.parent), finished.name).head()["value"].startswith("# ")
     listed = runs.list_runs(spark, str(finished.parent)).filter("run_id = 'run'").head()
     assert (listed["draft_status"], len(listed["completed_stages"])) == ("complete", 6)
@@ -144,6 +148,8 @@ def test_reader_of_an_unfinished_run(spark, tmp_path):
     (tmp_path / "new" / "config").mkdir(parents=True)
     (tmp_path / "new" / "config" / "run_config.json").write_text("{}")
     tables = runs.load_run(spark, str(tmp_path), "new")
+    detail = tables.pop("detail").head()
+    assert (detail["completed_stages"], detail["draft_status"]) == ([], "ingest-ready")
     assert {name: table.count() for name, table in tables.items()} == dict.fromkeys(tables, 0)
     assert runs.load_report(spark, str(tmp_path), "new") is None
     with pytest.raises(FileNotFoundError):

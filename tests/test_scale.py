@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import variants
+from matchloom.operators import candidate, parse, variants
 from matchloom.plans import adapters, batch, match_queries, queries, stages
 from matchloom.session import split_hot_keys
+from matchloom.sources import files
 from test_run import BATCH, RESUME
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,3 +96,27 @@ def test_every_query_has_rows_and_unique_columns(spark):
         frame = queries.QUERIES[name](spark, FOLDER)
         assert len(set(frame.columns)) == len(frame.columns)
         assert frame.head(1)
+
+
+def test_scan_shuffles_names_and_opens_files_last(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"a{i}.txt").write_text(f"text {i}")
+    plan = plan_of(files.collect_documents(spark, [str(tmp_path)], "r"))
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+    assert not [line for line in plan.split("\n") if "Exchange" in line and ("content" in line or "sidecar#" in line)]
+
+
+def test_numbers_reach_texts_without_a_shuffle(spark):
+    rows = adapters.table(spark, FOLDER, "documents").select(
+        F.col("lang").alias("run_id"), F.col("doc_id").alias("input_ord"), F.lit("file").alias("source_type"),
+        F.lit("x").alias("source_value"), F.col("text").alias("content"),
+    )
+    for plan in (plan_of(parse.number_blocks(rows)), plan_of(candidate.text_pieces(rows.withColumnRenamed("content", "text")))):
+        assert "Exchange" not in plan.replace("BroadcastExchange", "") and "BroadcastHashJoin" in plan
+    assert "ExistingRDD" not in plan_of(parse.number_blocks(rows))  # no checkpoint
+
+
+def test_pairs_are_joined_once(spark):
+    plan = plan_of(match_queries.scored(spark, FOLDER))
+    pairs = plan.split("variant_text")[0]
+    assert pairs.count("Join") == 1  # above the variants there is the pair join alone
