@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.session import remove, shared_folder
-from matchloom.sources.paths import absolute, exists, literal, opened_system
+from matchloom.sources.paths import absolute, exists, literal, opened_system, opens_in_tasks
 
 SCHEMA = "request STRING, reply STRING, error_type STRING, error_message STRING, at DOUBLE"
 #: Calls that a task has open at once, and calls of one log file.
@@ -115,6 +115,8 @@ def replies(
     """A reply for each row: (key, reply, error_type, error_message), through the log."""
     spark = rows.sparkSession
     log = log or new_log(spark)
+    if not opens_in_tasks(log):
+        raise ValueError(f"tasks cannot write the reply log `{log}`; name a folder on a file system that they open themselves")
     name = F.sha2(F.to_json(F.struct(*key, prompt.alias("_prompt"), F.lit(endpoint_name).alias("_endpoint"))), 256)
     text = F.lit("") if label is None else label
     told = rows.select(*key, name.alias("request"), prompt.alias("prompt"), text.alias("label"))

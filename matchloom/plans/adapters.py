@@ -7,8 +7,6 @@ or by joins on keys, so the work grows with the tables and no table is paired wi
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,23 +34,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def size_of(setting: str) -> int:
-    """Bytes of a size setting such as ``128MB`` or ``134217728b``."""
-    number, unit = re.fullmatch(r"\s*([0-9]+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
-    return int(number) << 10 * " kmgtp".index(unit or " ")
-
-
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores if the input is too small for its file splits to do that.
+    """Rows over all cores if the input has fewer splits than there are cores.
 
-    Row-wise text work on a table of one row group would run in one task. A large input has
-    splits enough and is left as it is, so nothing is shuffled there.
+    Row-wise text work on a table of one row group would run in one task. A large input has splits enough
+    and is left as it is, so nothing is shuffled there.
     """
-    session = rows.sparkSession
-    cores = session.sparkContext.defaultParallelism
-    split = size_of(session.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return rows.repartition(cores, key) if int(str(size)) < cores * split else rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from matchloom.plans import stages
 from matchloom.session import durable
 from matchloom.sources import files, uploads
 from matchloom.sources.artifacts import FILE, FOLDER, write_artifact
-from matchloom.sources.paths import absolute, kind, literal
+from matchloom.sources.paths import absolute, kind, literal, opens_in_tasks
 from matchloom.sources.records import read_records, write_json, write_records
 
 RUN = "run"
@@ -336,10 +336,9 @@ def evaluate(
     asks = assess is None and endpoint is not None
     log = reply_log(run_dir, "evaluate")
     notes = os.path.join(log, remote.ASSESSED) if asks else replies.new_log(spark)
-    if progress is None:
-        watch = contextlib.nullcontext()
-    else:
-        watch = replies.Watch(notes, task_total(spark, run_dir), progress)
+    # Where tasks cannot write notes, there is no progress to tell of.
+    watched = progress is not None and opens_in_tasks(notes)
+    watch = replies.Watch(notes, task_total(spark, run_dir), progress) if watched else contextlib.nullcontext()
     with watch:
         if asks:
             provider, model = endpoint.provider, endpoint.model
@@ -347,7 +346,7 @@ def evaluate(
         else:
             judged = judge.with_assessment(pairs) if assess is None else assess(pairs)
         rows = stages.settled(judged, provider, model)
-        rows = durable(rows if progress is None or asks else replies.noted(rows, notes))
+        rows = durable(replies.noted(rows, notes) if watched and not asks else rows)
     gaps = ranking.gap_maps(documents, people, rows)
     tables = {
         "scorecards": rows,

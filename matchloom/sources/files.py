@@ -16,7 +16,7 @@ from matchloom.functions import naming as nm
 from matchloom.functions import text as tx
 from matchloom.operators.ordering import numbered
 from matchloom.sources import listing
-from matchloom.sources.paths import filesystem
+from matchloom.sources.paths import filesystem, opens_in_tasks
 
 # Extraction states and providers.
 EXTRACTED, OCR, VISION, SIDECAR, UNPARSEABLE = "extracted", "ocr", "vision", "sidecar", "unparseable"
@@ -145,7 +145,7 @@ def open_files(spark: SparkSession, names: DataFrame, sources: list[str]) -> Dat
     contents = {"content": "path", "sidecar": "sidecar_path"}
     roots = [filesystem(spark, source) for source in sources]
     roots = [system.resolvePath(place).toString() for system, place in roots]
-    if all(map(listing.opens_in_tasks, roots)):
+    if all(map(opens_in_tasks, roots)):
         return listing.opened(spread, contents).drop("path", "sidecar_path")
     found = listing.hadoop_files(spark, sorted({os.path.split(root)[0] for root in roots}), recursive=True)
     return listing.opened_through_hadoop(spread, contents, found).drop("path", "sidecar_path")

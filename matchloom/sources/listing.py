@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from matchloom.functions import naming as nm
-from matchloom.sources.paths import as_uri, filesystem, literal
+from matchloom.sources.paths import as_uri, filesystem, literal, opens_in_tasks
 
 NAMES = pa.schema([("path", pa.string()), ("length", pa.int64())])
 #: Directories that the driver opens at most before the tasks go on.
@@ -101,17 +101,6 @@ class PathListing(DataSource):
         return PathReader(self.options["root"], tasks, every)
 
 
-def opens_in_tasks(root: str) -> bool:
-    """Whether tasks reach the file system of ``root`` by themselves; others are read through Hadoop."""
-    from pyarrow import fs
-
-    try:
-        fs.FileSystem.from_uri(as_uri(root))
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-        return False
-    return True
-
-
 def _hadoop_names(spark: SparkSession, root: str) -> DataFrame:
     """Names through Spark's own listing, and one by one those below an underscore, which it leaves out."""
     system, place = filesystem(spark, root)

@@ -38,6 +38,17 @@ def opened_system(path: str):
     return fs.FileSystem.from_uri(as_uri(absolute(path)))
 
 
+def opens_in_tasks(path: str) -> bool:
+    """Whether tasks reach the file system of ``path`` by themselves; others are read through Hadoop."""
+    import pyarrow
+
+    try:
+        opened_system(path)
+    except (pyarrow.ArrowInvalid, pyarrow.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
 def kind(path: str) -> str | None:
     """``file`` or ``folder``, or None where there is nothing."""
     from pyarrow import fs

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.config import load_config
 from matchloom.functions import naming as nm
 from matchloom.operators import viewer
+from matchloom.session import durable
 from matchloom.sources import listing
 from matchloom.sources.paths import absolute, filesystem, kind, literal
 from matchloom.sources.records import read_records
@@ -40,46 +41,42 @@ def run_folders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def artifact_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Artifacts of all runs (run_id, artifact), listed by tasks; file contents are not read."""
+def run_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of all files of all runs (run_id, relative, path), listed by tasks and written once."""
     system, root = filesystem(spark, folder)
     base = system.resolvePath(root).toString()
-    files = listing.names_below(spark, base, every=True)
     relative = F.regexp_replace(F.substring("path", len(base) + 1, 1 << 20), "^/+", "")
-    return files.select(
-        F.regexp_extract(relative, "^([^/]+)/", 1).alias("run_id"),
-        # A table may be a folder of parts; the artifact is the second and third path step.
-        F.regexp_extract(relative, "^[^/]+/([^/]+/[^/]+)", 1).alias("artifact"),
-    )
+    names = listing.names_below(spark, base, every=True).select("path", relative.alias("_below"))
+    parts = F.split("_below", "/", 2)
+    return durable(names.filter(F.size(parts) == 2).select(parts[0].alias("run_id"), parts[1].alias("relative"), "path"))
 
 
-def _per_run(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame | None:
-    system, _ = filesystem(spark, folder)
-    place = f"{literal(absolute(folder))}/*/{pattern}"
-    matches = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place))
-    if not len(matches):
-        return None
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{pattern}$", 1)
-    return spark.read.schema(schema).option("multiLine", "true").json(place).withColumn("run_id", F.url_decode(name))
+def artifact_listing(files: DataFrame) -> DataFrame:
+    """Artifacts of all runs (run_id, artifact); a table may be a folder of parts."""
+    return files.select("run_id", F.regexp_extract("relative", "^([^/]+/[^/]+)", 1).alias("artifact"))
+
+
+def _per_run(files: DataFrame, name: str, schema: str) -> DataFrame:
+    """One small JSON file of every run that has it, opened by tasks; what is no JSON has null fields."""
+    found = listing.opened(files.filter(F.col("relative") == name).select("run_id", "path"), {"content": "path"})
+    return found.select("run_id", F.from_json(F.decode("content", "UTF-8"), schema).alias("_file")).select("run_id", "_file.*")
 
 
 def list_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """All runs with stages, providers, label and draft state, the latest first by ``position``."""
-    runs = run_folders(spark, folder).join(
-        viewer.completed_stages(artifact_listing(spark, folder)), "run_id", "left"
-    )
+    """All runs with stages, providers, label and draft state, the latest first by ``position``.
+
+    One listing serves stages, configurations and drafts; the driver makes one call, for the runs' times.
+    """
+    files = run_files(spark, folder)
+    runs = run_folders(spark, folder).join(viewer.completed_stages(artifact_listing(files)), "run_id", "left")
     runs = runs.withColumns(
         {
             "completed_stages": F.coalesce("completed_stages", F.array().cast("array<string>")),
             "has_draft": F.coalesce("has_draft", F.lit(False)),
         }
     )
-    configs = _per_run(spark, folder, "config/run_config.json", CONFIG_SCHEMA)
-    drafts = _per_run(spark, folder, viewer.DRAFT_FILE, "label STRING")
-    if configs is None:
-        configs = spark.createDataFrame([], CONFIG_SCHEMA + ", run_id STRING")
-    if drafts is None:
-        drafts = spark.createDataFrame([], "label STRING, run_id STRING")
+    configs = _per_run(files, "config/run_config.json", CONFIG_SCHEMA)
+    drafts = _per_run(files, viewer.DRAFT_FILE, "label STRING")
     joined = runs.join(configs, "run_id", "left").join(drafts.withColumnRenamed("label", "_draft_label"), "run_id", "left")
     listed = joined.select(
         "run_id",
