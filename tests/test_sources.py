@@ -221,15 +221,15 @@ def test_records_fill_defaults_and_name_what_is_missing(spark, tmp_path):
         records.read_records(spark, str(path), "scorecards", "r").collect()
 
 
-def test_large_artifacts_become_a_folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(records, "SINGLE_FILE_BYTES", 100)
+@pytest.mark.parametrize("form", ["folder", "file"])
+def test_records_of_both_forms_are_read_back(spark, tmp_path, form):
     rows = spark.range(12).select(
         F.lit("r").alias("run_id"), F.col("id").alias("jd_index"), F.format_string("jd-%d", "id").alias("jd_id"),
         F.lit("c").alias("candidate_id"), F.array().cast(f"ARRAY<{records.GAP_ITEM}>").alias("items"),
     )
     path = str(tmp_path / "gap_maps.json")
-    records.write_records(rows, path, "gap_maps")
-    assert os.path.isdir(path)
+    records.write_records(rows, path, "gap_maps", form=form)
+    assert os.path.isdir(path) == (form == "folder")
     back = records.read_records(spark, path, "gap_maps", "r")
     assert {(r["jd_id"], r["jd_index"]) for r in back.collect()} == {(f"jd-{n}", n) for n in range(12)}
 
