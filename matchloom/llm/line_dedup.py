@@ -13,7 +13,7 @@ Defined results: a null text stays null and has no lines; an empty text stays em
 site are a site of their own. A line that a page repeats counts once for it. The share alone decides, on
 small sites as on large ones; only a line that a single page has is never boilerplate. A page of
 boilerplate only becomes an empty text, or with ``keep_whole`` stays as it was. Repeated pages are pages, unless
-``counted`` has other rows to count lines in. Other columns stay as they are.
+``unit`` says which of them count as one. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -43,13 +43,26 @@ def _digest(line: Column) -> Column:
     return F.when(line != "", F.md5(line.cast("binary")))
 
 
-def boilerplate(pages: DataFrame, site: Column, text: Column, breaks: str = BREAK, ratio: float = RATIO) -> DataFrame:
+def sketch(text: Column, size: int = 5) -> Column:
+    """The least hash of a text's runs of ``size`` words, which near copies mostly share; of the words, if fewer."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\n\x0b\f\r]+")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+    return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(size)))))
+
+
+def boilerplate(
+    pages: DataFrame, site: Column, text: Column, breaks: str = BREAK, ratio: float = RATIO, unit: Column | None = None
+) -> DataFrame:
     """Per site with boilerplate: its number of pages and its boilerplate line digests."""
-    rows = pages.select(F.coalesce(site.cast("string"), F.lit("")).alias("site"), text.alias("text"))
-    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
+    one = [] if unit is None else [unit.alias("unit")]
+    rows = pages.select(F.coalesce(site.cast("string"), F.lit("")).alias("site"), text.alias("text"), *one)
+    many = F.count(F.lit(1)) if unit is None else F.count_distinct("unit")
+    totals = rows.groupBy("site").agg(many.alias("n_pages"))
     lines = rows.select(
-        "site", F.explode(F.array_distinct(F.transform(F.split("text", breaks, -1), _digest))).alias("line")
+        "site", *(["unit"] if one else []), F.explode(F.array_distinct(F.transform(F.split("text", breaks, -1), _digest))).alias("line")
     ).where(F.col("line").isNotNull())
+    if one:  # a line counts once for all pages of a unit
+        lines = lines.distinct()
     counts = lines.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return (
         counts.join(totals, "site")
@@ -66,16 +79,15 @@ def without_boilerplate(
     breaks: str = BREAK,
     joint: str = "\n",
     ratio: float = RATIO,
-    counted: DataFrame | None = None,
+    unit: Column | None = None,
     keep_whole: bool = False,
 ) -> DataFrame:
     """Pages with their boilerplate lines taken out; a page without any keeps its text as it was.
 
-    ``counted`` are the pages whose lines are counted, all by default.
+    Pages of a site that agree in ``unit`` are counted as one.
     """
     names = pages.columns
-    counted = pages if counted is None else counted
-    found = stored(boilerplate(counted, site, F.col(text), breaks, ratio).select("site", "lines"))
+    found = stored(boilerplate(pages, site, F.col(text), breaks, ratio, unit).select("site", "lines"))
     if (found.agg(F.sum(F.size("lines"))).head()[0] or 0) <= SENT_LINES:
         found = F.broadcast(found)
     whole = pages.select(

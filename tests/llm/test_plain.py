@@ -17,7 +17,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from matchloom.llm import decontaminate, toxicity  # noqa: E402
+from matchloom.llm import decontaminate, line_dedup, toxicity  # noqa: E402
 from test_operators import DOCUMENTS, groups, prose  # noqa: E402
 
 # -- classifier
@@ -64,16 +64,15 @@ def test_scores_equal_plain_ftrl(spark):
 # -- stages of the pipeline
 
 
-def plain_lines(docs):
-    """Lines above a tenth of a source's documents go, a group of near duplicates counting once."""
-    texts = [t for _, t, *_ in docs]
-    first = {i for i, _, component, kept in groups(texts) if kept}
-    pages, carried = Counter(), Counter()
-    for place, (_, text, _, source, _) in enumerate(docs):
-        if place in first:
-            pages[source or ""] += 1
-            carried.update({(source or "", line.strip()) for line in re.split(r"\r\n|\n|\r", text or "") if line.strip()})
-    bad = {key for key, n in carried.items() if n > 1 and n > 0.1 * pages[key[0]]}
+def plain_lines(docs, sketches):
+    """Lines above a tenth of a source's documents go, documents of one sketch counting once."""
+    pages, carried = {}, {}
+    for place, text, _, source, _ in docs:
+        pages.setdefault(source or "", set()).add(sketches[place])
+        for line in re.split(r"\r\n|\n|\r", text or ""):
+            if line.strip():
+                carried.setdefault((source or "", line.strip()), set()).add(sketches[place])
+    bad = {key for key, of in carried.items() if len(of) > 1 and len(of) > 0.1 * len(pages[key[0]])}
     out = []
     for i, text, lang, source, n_chars in docs:
         lines = re.split(r"\r\n|\n|\r", text or "")
@@ -152,7 +151,11 @@ def test_stages_equal_plain_versions(spark, planted):
     kept = collected(docs)
     assert {r[0] for r in kept} == {i for i, kind in enumerate(kinds) if kind != "toxic"}
     assert kept == [r for r in rows if kinds[r[0]] != "toxic"]
-    for name, plain in (("line_dedup", plain_lines), ("near_dedup", plain_near), ("decontamination", lambda d: plain_clean(d, items))):
+    values = docs.select("doc_id", line_dedup.sketch(F.col("text")).alias("s")).collect()
+    sketches = {r.doc_id: r.s for r in values}
+    copies = [i for i, kind in enumerate(kinds) if kind == "copy"]
+    assert len({sketches[i] for i in copies}) <= 3 and len(set(sketches.values())) > 90
+    for name, plain in (("line_dedup", lambda d: plain_lines(d, sketches)), ("near_dedup", plain_near), ("decontamination", lambda d: plain_clean(d, items))):
         want = plain(kept)
         kept = collected(stages[name](spark, spark.createDataFrame(kept, DOCUMENTS), folder))
         assert kept == want, name
