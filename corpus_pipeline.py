@@ -5,8 +5,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and return
 ``documents``; the last one returns ids. Rows with a null text pass every filter. A text that loses lines
 gets a new ``n_chars``.
 
-The line stage counts each group of near duplicates as one document, so copies do not make their own lines
-boilerplate, and a text of boilerplate only stays as it was: the next stage reduces such groups to one document.
+The line stage counts documents of a source as one where the least hash of their word shingles agrees, as it does
+in copies and mostly in near copies, so these do not make their own lines boilerplate. A text of boilerplate
+only stays as it was: the next stage reduces such groups to one document.
 """
 
 from __future__ import annotations
@@ -28,12 +29,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents of their source carry; near duplicates count as one."""
+    """Texts without the lines that many documents of their source carry; documents of one sketch count as one."""
     before = unused_name(docs, "text_before")
-    copies = stored(near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
-    counted = docs.select("doc_id", "source", "text").join(copies, "doc_id", "left_anti")
     rows = line_dedup.without_boilerplate(
-        docs.withColumn(before, F.col("text")), F.col("source"), counted=counted, keep_whole=True
+        docs.withColumn(before, F.col("text")), F.col("source"), unit=line_dedup.sketch(F.col("text")), keep_whole=True
     )
     changed = ~F.col("text").eqNullSafe(F.col(before))
     n_chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
