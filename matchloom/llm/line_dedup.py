@@ -45,9 +45,14 @@ def _digest(line: Column) -> Column:
 
 def sketch(text: Column, size: int = 5) -> Column:
     """The least hash of a text's runs of ``size`` words, which near copies mostly share; of the words, if fewer."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\n\x0b\f\r]+")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(size)))))
+    split = F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\n\x0b\f\r]+")
+
+    def least(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(size)))))
+
+    # A variable of a lambda: the text is split once, not once for each of its words.
+    return F.transform(F.array(split), least)[0]
 
 
 def boilerplate(
