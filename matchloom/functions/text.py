@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 # Characters one by one instead of ranges: Java tests such a class with one table lookup.
 BREAKS = r"\n\x0b\f\r\x1c\x1d\x1e\x85\x{2028}-\x{2029}"
 WORD_CHARACTERS = string.ascii_lowercase + string.digits
+#: Characters that no trimming of a bullet takes away; other ends are trimmed.
+PLAIN_ENDS = string.ascii_letters + string.digits + "."
+MARK = "- "
 
 
 def strip(text: Column) -> Column:
@@ -50,9 +54,23 @@ def spaced(*arrays: Column) -> Column:
 
 
 def bullets(text: Column) -> Column:
-    """Lines that start with a hyphen, without the hyphens and blanks around them."""
-    marked = F.filter(lines(text), lambda line: F.startswith(F.ltrim(line, F.lit(WHITE)), F.lit("-")))
-    return F.transform(marked, lambda line: strip(F.btrim(line, F.lit("- "))))
+    """Lines that start with a hyphen, without the hyphens and blanks around them.
+
+    Trimming looks every end up in all white-space characters and measures the whole line, so a line with
+    nothing but the mark to take off is cut instead.
+    """
+    hyphen, mark, plain = F.lit("-"), F.lit(MARK), F.lit(PLAIN_ENDS)
+
+    def item(line: Column) -> Column:
+        first, last = F.substring(line, len(MARK) + 1, 1), F.substring(line, -1, 1)
+        only_marked = F.startswith(line, mark) & F.contains(plain, first) & F.contains(plain, last)
+        cut = F.substring(line, len(MARK) + 1, 2**31 - 1)
+        return F.when(only_marked, cut).otherwise(strip(F.btrim(line, mark)))
+
+    marked = F.filter(
+        lines(text), lambda line: F.startswith(line, hyphen) | F.startswith(F.ltrim(line, F.lit(WHITE)), hyphen)
+    )
+    return F.transform(marked, item)
 
 
 def header(block: Column, label: str) -> Column:
@@ -84,8 +102,17 @@ def head(array: Column, size: int) -> Column:
     return F.slice(array, 1, size)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it.
+
+    A column named twice in one expression is worked out twice where code generation does not see that they
+    are the same: inside lambdas and branches.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def or_default(array: Column, default: Column) -> Column:
-    return F.when(F.size(array) > 0, array).otherwise(default)
+    return once(array, lambda items: F.when(F.size(items) > 0, items).otherwise(default))
 
 
 def first_item(array: Column, message: str) -> Column:
@@ -100,7 +127,8 @@ def lexicon_labels(lowered: Column, lexicon: list[tuple[str, str]] | Column) ->
     array of (needle, label) structs.
     """
     if isinstance(lexicon, Column):
-        found = F.filter(lexicon, lambda entry: F.contains(lowered, entry["needle"]))
+        # Named in a lambda alone, the text would be made anew for every needle.
+        found = once(lowered, lambda text: F.filter(lexicon, lambda entry: F.contains(text, entry["needle"])))
         return F.transform(found, lambda entry: entry["label"])
     return F.array_compact(
         F.array(*[F.when(F.contains(lowered, F.lit(needle)), F.lit(label)) for needle, label in lexicon])

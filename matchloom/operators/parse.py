@@ -15,6 +15,7 @@ SENIORITY = "mid"
 LEVEL_CONFIDENCE = 0.72
 NO_CLUSTER = "general"
 BONUS_LEAD = "Bonus for "
+BONUS_WORD = "bonus"
 
 # Keyword lexicon, needle and label, in order of precedence.
 KEYWORD_LEXICON = [
@@ -79,7 +80,7 @@ def cluster(title: Column, body: Column) -> Column:
 
 
 def bonuses(body: Column) -> Column:
-    named = F.filter(body, lambda line: F.contains(F.lower(line), F.lit("bonus")))
+    named = F.filter(body, lambda line: F.contains(F.lower(line), F.lit(BONUS_WORD)))
     return F.transform(named, lambda line: tx.strip(F.replace(line, F.lit(BONUS_LEAD), F.lit(""))))
 
 
@@ -107,7 +108,10 @@ def jd_profiles(blocks_df: DataFrame, lexicon: list[tuple[str, str]] | Column =
     derived = parsed.withColumns(
         {
             "keywords": keywords(F.col("_lowered"), lexicon),
-            "bonuses": bonuses(F.col("responsibilities")),
+            # Lines are looked at one by one only where the word occurs at all.
+            "bonuses": F.when(
+                F.contains("_lowered", F.lit(BONUS_WORD)), bonuses(F.col("responsibilities"))
+            ).otherwise(tx.no_texts()),
             "risk_signals": risk_signals(F.col("_lowered")),
         }
     )

@@ -34,7 +34,13 @@ def with_jd_norms(jds: DataFrame) -> DataFrame:
 
 def with_variant_norms(variants: DataFrame) -> DataFrame:
     whole = tx.spaced(F.array("summary"), F.col("emphasized_strengths"), F.col("stretch_points"))
-    return variants.withColumn("variant_text", tx.normalised(whole))
+    return variants.withColumns(
+        {
+            "variant_text": tx.normalised(whole),
+            "strength_needles": F.transform("emphasized_strengths", tx.normalised),
+            "point_needles": F.transform("stretch_points", tx.normalised),
+        }
+    )
 
 
 def with_candidate_hits(documents: DataFrame) -> DataFrame:
@@ -56,14 +62,16 @@ def with_candidate_hits(documents: DataFrame) -> DataFrame:
 def matched_evidence() -> Column:
     """Candidate lines that hold the first word of some keyword (the line lower-cased, the word as is)."""
     lines = F.concat("experiences", "projects", "skills", "verified_evidence")
-    tokens = F.transform("keywords", tx.first_token)
-    lowered = F.transform(lines, lambda line: F.struct(line.alias("line"), F.lower(line).alias("lowered")))
-    found = F.filter(lowered, lambda item: F.exists(tokens, lambda token: F.contains(item["lowered"], token)))
-    return F.transform(found, lambda item: item["line"])
+    tokens = F.when(F.size(lines) > 0, F.transform("keywords", tx.first_token))
+
+    def holds(line: Column, words: Column) -> Column:
+        return tx.once(F.lower(line), lambda lowered: F.exists(words, lambda word: F.contains(lowered, word)))
+
+    return tx.once(tokens, lambda words: F.filter(lines, lambda line: holds(line, words)))
 
 
 def evidence_columns(pairs: DataFrame) -> DataFrame:
-    """Add coverage, binding and untraceable claims to pairs of ``with_candidate_hits`` rows and variants.
+    """Add coverage, binding and untraceable claims to pairs of ``with_candidate_hits`` and ``with_variant_norms`` rows.
 
     An item without ASCII letters or digits normalises to an empty text, which every text
     contains: it always counts as found.
@@ -73,27 +81,28 @@ def evidence_columns(pairs: DataFrame) -> DataFrame:
     def covered(keyword: Column, at: Column) -> Column:
         return F.get("candidate_hits", at) | F.contains(in_variant, F.get("keyword_needles", at))
 
-    def bound(strength: Column) -> Column:
-        return F.contains(in_candidate, tx.normalised(strength))
+    def bound(needle: Column) -> Column:
+        return F.contains(in_candidate, needle)
 
-    def untraceable(point: Column) -> Column:
-        needle = tx.normalised(point)
+    def untraceable(point: Column, at: Column) -> Column:
+        needle = F.get("point_needles", at)
         return ~F.contains(in_candidate, needle) & ~F.contains(F.col("jd_text"), needle)
 
     keywords, strengths, points = F.col("keywords"), F.col("emphasized_strengths"), F.col("stretch_points")
     found = pairs.withColumns(
         {
             "keyword_hits": F.filter(keywords, covered),
-            "evidence_binding": sc.ratio(F.size(F.filter(strengths, bound)), F.size(strengths)),
+            "_bound": F.size(F.filter("strength_needles", bound)),
             "untraceable_claim_flags": F.filter(points, untraceable),
         }
     )
     return found.withColumns(
         {
             "keyword_coverage": sc.ratio(F.size("keyword_hits"), F.size(keywords)),
+            "evidence_binding": sc.ratio(F.col("_bound"), F.size(strengths)),
             "flag_ratio": sc.ratio(F.size("untraceable_claim_flags"), F.greatest(F.lit(1), F.size(points))),
         }
-    )
+    ).drop("_bound", "strength_needles", "point_needles")
 
 
 def by_variant_type(values: dict[str, float]) -> Column:
@@ -136,20 +145,22 @@ def score_columns(pairs: DataFrame) -> DataFrame:
 
 def gap_items(keywords: Column, gap_text: Column) -> Column:
     """No item when every keyword occurs in experiences, projects and skills, else exactly one."""
-    missing = tx.absent_from(keywords, gap_text)
-    named = tx.head(missing, 2)
-    item = F.struct(
-        F.lit(GAP_AREA).alias("area"),
-        F.lit(GAP_STATE).alias("current_state"),
-        F.concat(F.lit(GAP_TARGET), F.array_join(named, ", ")).alias("target_state"),
-        F.when(F.size(missing) >= 2, F.lit(HIGH)).otherwise(F.lit(MEDIUM)).alias("priority"),
-        tx.head(missing, 3).alias("catch_up_concepts"),
-        F.transform(
-            named, lambda word: F.concat(F.lit("Evidence for "), word, F.lit(" is currently indirect."))
-        ).alias("weak_points"),
-    )
-    items = F.array(item)
-    return F.when(F.size(missing) > 0, items).otherwise(F.slice(items, 1, 0))
+
+    def items(missing: Column) -> Column:
+        named = tx.head(missing, 2)
+        item = F.struct(
+            F.lit(GAP_AREA).alias("area"),
+            F.lit(GAP_STATE).alias("current_state"),
+            F.concat(F.lit(GAP_TARGET), F.array_join(named, ", ")).alias("target_state"),
+            F.when(F.size(missing) >= 2, F.lit(HIGH)).otherwise(F.lit(MEDIUM)).alias("priority"),
+            tx.head(missing, 3).alias("catch_up_concepts"),
+            F.transform(
+                named, lambda word: F.concat(F.lit("Evidence for "), word, F.lit(" is currently indirect."))
+            ).alias("weak_points"),
+        )
+        return F.slice(F.array(item), 1, F.least(F.size(missing), F.lit(1)))
+
+    return tx.once(tx.absent_from(keywords, gap_text), items)
 
 
 def rule_evaluations(pairs: DataFrame) -> DataFrame:

@@ -39,8 +39,10 @@ def emphasized_strengths(keywords: Column, evidence: Column, strengths: Column)
     """Per keyword the first evidence line with its first word; duplicates stay, three at most."""
 
     def first_line(keyword: Column) -> Column:
-        token = tx.first_token(keyword)
-        return F.get(F.filter(evidence, lambda line: F.contains(F.lower(line), token)), F.lit(0))
+        token = F.when(F.size(evidence) > 0, tx.first_token(keyword))
+        return tx.once(
+            token, lambda word: F.get(F.filter(evidence, lambda line: F.contains(F.lower(line), word)), F.lit(0))
+        )
 
     matched = F.array_compact(F.transform(keywords, first_line))
     return tx.or_default(tx.head(matched, 3), tx.head(strengths, 2))
